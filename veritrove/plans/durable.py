@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -9,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
@@ -22,11 +26,10 @@ def shared_folder(spark: SparkSession) -> str:
         master = context.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="veritrove-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        import atexit
-
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = _OWN.get(context.applicationId)
+        if not folder:
+            folder = _OWN[context.applicationId] = tempfile.mkdtemp(prefix="veritrove-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
