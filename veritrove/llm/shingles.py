@@ -6,6 +6,8 @@ from functools import lru_cache
 
 import numpy as np
 
+#: Code points that are hashed in one go.
+TOGETHER = 200_000
 #: MinHash values per set.
 SIGNATURE = 64
 _BASE = 0x9E3779B97F4A7C15
@@ -48,9 +50,22 @@ def shingle_sets(texts: list[str | None], words: int) -> list[np.ndarray]:
     """For each text the sorted distinct hashes of all runs of ``words`` consecutive words.
 
     Words are maximal runs of letters and digits, lower-cased. Fewer words than
-    ``words`` give an empty set.
+    ``words`` give an empty set. Texts are taken together up to ``TOGETHER``
+    code points, so that the arrays stay small.
     """
-    clean = [lowered(t) if t else "" for t in texts]
+    out: list[np.ndarray] = []
+    group: list[str] = []
+    size = 0
+    for text in texts:
+        group.append(lowered(text) if text else "")
+        size += len(group[-1])
+        if size > TOGETHER:
+            out += _sets(group, words)
+            group, size = [], 0
+    return out + _sets(group, words)
+
+
+def _sets(clean: list[str], words: int) -> list[np.ndarray]:
     points = np.frombuffer("\n".join(clean).encode("utf-32-le", "surrogatepass"), np.uint32)
     if not len(points):
         return [np.zeros(0, np.uint64) for _ in clean]
