@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from veritrove.llm.copies import copies, copy_counts
 from veritrove.llm.distinctive import distinctive_terms
+from veritrove.llm.markup import clean_documents
 from veritrove.llm.near import near_pairs
 from veritrove.llm.packing import pack_documents
 from veritrove.llm.pieces import oversized_pieces, split_chunks
+from veritrove.llm.prose import text_statistics
+from veritrove.llm.spam import spam_scores
 from veritrove.llm.tokens import token_ids
 from veritrove.sources.tables import table
 
@@ -15,11 +20,16 @@ QUERIES = {
     "p1_copy_counts": lambda spark, folder: copy_counts(table(spark, folder, "documents")),
     "p2_found": lambda spark, folder: oversized_pieces(table(spark, folder, "chunks")).select("chunk_id").distinct(),
     "p2_pieces": lambda spark, folder: split_chunks(table(spark, folder, "chunks")),
+    "p3_found": lambda spark, folder: clean_documents(table(spark, folder, "documents"), table(spark, folder, "common_words")).select("doc_id", F.explode("markup").alias("markup")),
+    "p3_clean": lambda spark, folder: clean_documents(table(spark, folder, "documents"), table(spark, folder, "common_words")),
+    "p4_found": lambda spark, folder: text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words")).where(~F.col("prose")).select("doc_id"),
+    "p4_statistics": lambda spark, folder: text_statistics(table(spark, folder, "documents"), table(spark, folder, "common_words")),
     "p5_found": lambda spark, folder: distinctive_terms(table(spark, folder, "chunks"), 4, (2, 12)).select("chunk_id", "term"),
     "p5_scores": lambda spark, folder: distinctive_terms(table(spark, folder, "chunks")),
     "p6_found": lambda spark, folder: near_pairs(table(spark, folder, "documents"), 3, 0.6),
     "p7_ids": lambda spark, folder: token_ids(table(spark, folder, "documents")),
     "p8_containers": lambda spark, folder: pack_documents(table(spark, folder, "documents")),
+    "p9_found": lambda spark, folder: spam_scores(table(spark, folder, "documents"), table(spark, folder, "common_words")).where("spam").select("doc_id"),
 }
 
 SQL = {
