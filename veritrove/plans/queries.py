@@ -1,6 +1,412 @@
-"""The registered queries of the core, and their SQL."""
+"""The registered queries of the core, over whole tables, and their SQL.
+
+Arrays come out as text joined by ``|`` and scores rounded to six decimals, so
+that both sides compare by value.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veritrove.functions.text import content_tokens
+from veritrove.operators import answers, conflicts, grounding, metrics, policy, prompts, search
+from veritrove.operators.chunking import chunk_words
+from veritrove.operators.ingest import fingerprint, first_by_content, ingest_plan, ingest_report
+from veritrove.plans.durable import stored
+from veritrove.plans.sql import SQL
+from veritrove.sources.files import parse_metadata
+from veritrove.sources.tables import table
+
+__all__ = ["QUERIES", "SQL"]
+
+ARRIVAL = ["ingested_at", "doc_id"]
+
+
+def _joined(column) -> Column:
+    return F.array_join(column, "|")
+
+
+def _rounded(*columns: str) -> list[Column]:
+    return [F.round(c, 6).alias(c) for c in columns]
+
+
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents").select("doc_id", "text", "source", "media_type", "ingested_at")
+
+
+def _firsts(spark, folder):
+    return first_by_content(_documents(spark, folder), ARRIVAL)
+
+
+def _chunks(spark, folder) -> DataFrame:
+    return search.distinct_chunks(table(spark, folder, "chunks"))
+
+
+def _questions(spark, folder) -> DataFrame:
+    return table(spark, folder, "eval_cases").select(F.col("case_id").alias("query_id"), "question")
+
+
+def _retrieval(spark, folder) -> DataFrame:
+    """The stored rankings with the chunks' texts, one row per case and chunk."""
+    rows = table(spark, folder, "retrieval_rows").groupBy("case_id", "chunk_id").agg(F.min(F.struct("rank_no", "score", "doc_id")).alias("r"))
+    chunks = _chunks(spark, folder).select("chunk_id", "source", "text")
+    return rows.join(chunks, "chunk_id").select(F.col("case_id").alias("query_id"), F.col("r.rank_no").alias("rank"), "r.score", "chunk_id", "r.doc_id", "source", "text")
+
+
+def _cases_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("query_id").alias("case_id"), "chunk_id", "text")
+
+
+def doc_fingerprint(spark, folder):
+    return fingerprint(_documents(spark, folder)).select("doc_id", "content_sha256", "doc_key")
+
+
+def dedup_documents(spark, folder):
+    return _firsts(spark, folder).select("doc_id", "doc_key", "content_sha256", "source")
+
+
+def ingest_report_query(spark, folder):
+    return ingest_report(_documents(spark, folder), ARRIVAL)
+
+
+def chunk_documents(spark, folder):
+    _, chunks = ingest_plan(_documents(spark, folder), ARRIVAL)
+    return chunks.select("chunk_id", "doc_key", "ordinal", "text")
+
+
+def chunk_counts(spark, folder):
+    _, chunks = ingest_plan(_documents(spark, folder), ARRIVAL)
+    return chunks.groupBy("doc_key").agg(F.count(F.lit(1)).alias("chunks"))
+
+
+def chunk_short_overlap(spark, folder):
+    made = chunk_words(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", 90, 20)
+    return made.select("chunk_id", "doc_id", "ordinal", F.length("text").alias("size"), F.sha2("text", 256).alias("digest"))
+
+
+def incremental_ingest(spark, folder):
+    """Documents that came after the median arrival, against a store that holds the earlier ones."""
+    documents = _documents(spark, folder).withColumn("late", F.col("ingested_at") >= F.lit("2025-07-01").cast("timestamp"))
+    known = fingerprint(documents.where("not late")).select("content_sha256").where("content_sha256 is not null").distinct()
+    new, chunks = ingest_plan(documents.where("late").drop("late"), ARRIVAL, known=known)
+    counts = chunks.groupBy("doc_key").agg(F.count(F.lit(1)).alias("n"))
+    return new.join(counts, "doc_key", "left").select("doc_id", "doc_key", F.coalesce("n", F.lit(0)).alias("chunks"))
+
+
+def store_health(spark, folder):
+    documents = _firsts(spark, folder).agg(F.count(F.lit(1)).alias("documents"))
+    _, chunks = ingest_plan(_documents(spark, folder), ARRIVAL)
+    return documents.join(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("chunks"))))
+
+
+def list_documents(spark, folder):
+    rows = table(spark, folder, "documents").select("doc_id", "source", "media_type", "content_sha256", "metadata_json", "created_at")
+    metadata = parse_metadata(F.col("metadata_json"))
+    listed = rows.withColumn("m", metadata)
+    names = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), "|")
+    return listed.orderBy(F.col("created_at").desc(), "doc_id").select("doc_id", "source", "media_type", "content_sha256", names.alias("metadata"))
+
+
+def list_chunks(spark, folder):
+    return _chunks(spark, folder).select("chunk_id", "doc_id", "source", "ordinal", F.sha2("text", 256).alias("digest")).orderBy("doc_id", "ordinal")
+
+
+def csv_row_text(spark, folder):
+    rows = table(spark, folder, "sources").select("source", "owner_team")
+    return rows.select("source", F.concat(F.lit("source: "), "source", F.lit(" | owner_team: "), F.coalesce("owner_team", F.lit("None"))).alias("line"))
+
+
+def word_terms(spark, folder):
+    return search.term_counts(_chunks(spark, folder)).select("chunk_id", "term", "tf")
+
+
+def _idf(kind):
+    def query(spark, folder):
+        chunks = stored(_chunks(spark, folder))
+        found = search.with_idf(search.document_frequencies(chunks, (kind,)), chunks.count())
+        return found.select("term", "df", *_rounded("idf"))
+
+    return query
+
+
+def _norms(kind):
+    def query(spark, folder):
+        chunks = stored(_chunks(spark, folder))
+        frequencies = stored(search.document_frequencies(chunks, (kind,)))
+        return search.norms(chunks, frequencies, chunks.count(), kind).select("chunk_id", *_rounded("norm"))
+
+    return query
+
+
+def baseline_search(spark, folder):
+    index = search.build_index(table(spark, folder, "chunks"), ("word",))
+    return search.word_search(_questions(spark, folder), index).select("query_id", "rank", *_rounded("score"), "chunk_id", "doc_id", "source")
+
+
+def hybrid_search(spark, folder):
+    index = search.build_index(table(spark, folder, "chunks"))
+    found = search.hybrid_search(_questions(spark, folder), index)
+    return found.select("query_id", "rank", *_rounded("score", "word_score", "character_score"), "chunk_id", "doc_id", "source")
+
+
+def diversity_rerank(spark, folder):
+    """The stored rankings picked again with a strong penalty."""
+    rows = table(spark, folder, "retrieval_rows").groupBy("case_id", "chunk_id").agg(F.min(F.struct("score", "doc_id")).alias("r"))
+    candidates = rows.select(F.col("case_id").alias("query_id"), "chunk_id", "r.doc_id", F.split("chunk_id", ":")[1].try_cast("int").alias("ordinal"), F.round("r.score", search.DECIMALS).alias("score"))
+    sizes = candidates.groupBy("query_id").agg(F.ceil(F.count(F.lit(1)) / 2).alias("cap"))
+    return search.diversity_rank(candidates.join(sizes, "query_id"), 5, 0.3, F.col("cap")).select("query_id", "rank", "chunk_id", "doc_id", *_rounded("score"))
+
+
+def retrieve_evidence(spark, folder):
+    rows = _retrieval(spark, folder).where("score > 0")
+    return rows.select("query_id", "rank", "chunk_id", "source", F.length("text").alias("size"))
+
+
+def signal_flags(spark, folder):
+    found = policy.signals(F.col("text"))
+    rows = _chunks(spark, folder).withColumn("s", found)
+    return rows.select("chunk_id", *[F.array_contains("s", name).alias(name) for name in policy.SIGNALS])
+
+
+def assess_evidence(spark, folder):
+    return policy.assess_evidence(_chunks(spark, folder).select("chunk_id", "text")).select("chunk_id", _joined("signals").alias("signals"), "severity", "quarantined")
+
+
+def apply_policy(spark, folder):
+    allowed, _ = policy.apply_policy(_retrieval(spark, folder).where("score > 0"), ["query_id", "chunk_id"])
+    return allowed.select("query_id", "rank", "chunk_id")
+
+
+def quarantine_summary(spark, folder):
+    rows = answers.evidence_of(_retrieval(spark, folder)).where("quarantined")
+    return rows.groupBy("query_id").agg(F.count(F.lit(1)).alias("quarantined"), _joined(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"])).alias("chunk_ids"))
+
+
+def content_tokens_query(spark, folder):
+    return table(spark, folder, "answers").select("answer_id", _joined(F.array_sort(content_tokens(F.col("answer")))).alias("tokens"))
+
+
+def _audit(spark, folder):
+    return grounding.audit_grounding(table(spark, folder, "answers"), _cases_of(_retrieval(spark, folder)))
+
+
+def citation_audit(spark, folder):
+    return _audit(spark, folder).select(
+        "answer_id",
+        *[_joined(c).alias(c) for c in ("citations", "valid_citations", "invalid_citations")],
+        *_rounded("citation_validity_rate", "lexical_grounding_rate"),
+        "answer_content_tokens",
+        "supported_content_tokens",
+        "insufficient_citation_support",
+    )
+
+
+def grounding_by_mode(spark, folder):
+    modes = table(spark, folder, "answers").select("answer_id", "prompt_mode")
+    means = [F.round(F.avg(c), 6).alias(c) for c in ("citation_validity_rate", "lexical_grounding_rate")]
+    return _audit(spark, folder).join(modes, "answer_id").groupBy("prompt_mode").agg(F.count(F.lit(1)).alias("answers"), *means)
+
+
+def sentence_claims(spark, folder):
+    return grounding.answer_claims(table(spark, folder, "answers")).select("answer_id", "claim_no", "claim")
+
+
+def claim_support(spark, folder):
+    traced = grounding.trace_claims(table(spark, folder, "answers"), _cases_of(_retrieval(spark, folder)))
+    return traced.select("answer_id", "claim_no", "claim", "best_chunk_id", *_rounded("lexical_support"), _joined("supported_tokens").alias("supported_tokens"))
+
+
+def _requirements(spark, folder):
+    return conflicts.described(table(spark, folder, "requirements"))
+
+
+def requirement_tokens(spark, folder):
+    return _requirements(spark, folder).select("requirement_id", "text", _joined("tokens").alias("tokens"))
+
+
+def numeric_facts(spark, folder):
+    rows = _requirements(spark, folder).select("requirement_id", "text", F.posexplode("facts").alias("fact_no", "f"))
+    return rows.select("requirement_id", "text", "fact_no", "f.value", "f.unit")
+
+
+def requirement_polarity(spark, folder):
+    return _requirements(spark, folder).select("requirement_id", "text", F.col("modality.word").alias("word"), F.col("modality.rank").alias("rank"), "negated")
+
+
+def overlap_pairs(spark, folder):
+    rows = _requirements(spark, folder).select("requirement_id", "text", "tokens")
+    pairs = conflicts.overlapping_pairs(rows, 0.6)
+    sides = [rows.select(F.col("requirement_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_key"), F.col("tokens").alias(f"{s}_tokens")) for s in ("l", "r")]
+    both = pairs.join(sides[0], ["l_id", "l_key"]).join(sides[1], ["r_id", "r_key"])
+    shared = F.size(F.array_intersect("l_tokens", "r_tokens"))
+    overlap = shared / (F.size("l_tokens") + F.size("r_tokens") - shared)
+    return both.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), overlap.alias("overlap")).where("overlap >= 0.6").select("left_id", "right_id", *_rounded("overlap"))
+
+
+def find_conflicts(spark, folder):
+    found = conflicts.find_conflicts(table(spark, folder, "requirements"))
+    return found.select("left_id", "right_id", "kind", *_rounded("score"), "explanation")
+
+
+def conflict_summary(spark, folder):
+    found = conflicts.find_conflicts(table(spark, folder, "requirements"))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("conflicts"), F.round(F.avg("score"), 6).alias("score"))
+
+
+def _prompt_cases(spark, folder):
+    flags = table(spark, folder, "eval_cases").select(F.col("case_id").alias("query_id"), "question", "expected_insufficient_evidence")
+    return answers.prompt_cases(flags, _retrieval(spark, folder))
+
+
+def build_prompts(spark, folder):
+    made = prompts.build_prompts(_prompt_cases(spark, folder))
+    return made.select("query_id", "mode", F.length("prompt").alias("size"), F.sha2("prompt", 256).alias("digest"))
+
+
+def prompt_sizes(spark, folder):
+    made = prompts.build_prompts(_prompt_cases(spark, folder))
+    return made.groupBy("mode").agg(F.count(F.lit(1)).alias("prompts"), F.round(F.avg(F.length("prompt")), 6).alias("average_size"), F.max(F.length("prompt")).alias("largest"))
+
+
+def extractive_answer(spark, folder):
+    found = answers.extractive_answers(_questions(spark, folder), _retrieval(spark, folder))
+    return found.select("query_id", "answer", _joined("citations").alias("citations"), *_rounded("confidence"), "insufficient_evidence", _joined("quarantined_chunk_ids").alias("quarantined_chunk_ids"))
+
+
+def _payloads(spark, folder):
+    return table(spark, folder, "answers").select("answer_id", F.col("case_id").alias("query_id"), F.col("prompt_mode").alias("mode"), "answer", "citations", "confidence", "insufficient_evidence")
+
+
+def generated_answer(spark, folder):
+    found = answers.generated_answers(_prompt_cases(spark, folder), _payloads(spark, folder))
+    return found.select("answer_id", "query_id", "answer", _joined("citations").alias("citations"), _joined("rejected_citations").alias("rejected_citations"), *_rounded("confidence"), "insufficient_evidence")
+
+
+def _relevant(spark, folder):
+    return table(spark, folder, "eval_cases").where("relevant_doc_id is not null").select(F.col("case_id").alias("query_id"), F.col("relevant_doc_id").alias("doc_id"), "expected_phrase")
+
+
+def case_metrics(spark, folder):
+    found = metrics.case_metrics(_retrieval(spark, folder), _relevant(spark, folder), 5)
+    return found.select("query_id", *_rounded("hit", "recall", "precision", "reciprocal_rank", "ndcg"))
+
+
+def ranked_metrics(spark, folder):
+    found = metrics.ranked_metrics(_retrieval(spark, folder), _relevant(spark, folder), 5)
+    return found.select("cases", *_rounded(*metrics.RANKED))
+
+
+def evaluate_end_to_end(spark, folder):
+    retrieval = stored(_retrieval(spark, folder))
+    cases = _relevant(spark, folder)
+    made = stored(answers.extractive_answers(cases, retrieval))
+    asked = made.select(F.col("query_id").alias("answer_id"), F.col("query_id").alias("case_id"), "answer", "citations")
+    audits = grounding.audit_grounding(asked, _cases_of(retrieval)).withColumnRenamed("answer_id", "query_id")
+    found = metrics.evaluate_answers(cases, retrieval, made.select("query_id", "answer", "citations"), audits.select("query_id", "citation_validity_rate", "lexical_grounding_rate"), 5)
+    return found.select("cases", *_rounded(*metrics.RANKED, "citation_doc_accuracy", "citation_validity_rate", "lexical_grounding_rate", "answer_phrase_accuracy"))
+
+
+def schema_valid(spark, folder):
+    payload = F.to_json(F.struct("answer", "citations", "confidence", "insufficient_evidence"))
+    return _payloads(spark, folder).select("answer_id", metrics.schema_valid(F.try_parse_json(payload)).alias("valid"))
+
+
+def prompt_mode_benchmark(spark, folder):
+    cases = stored(_prompt_cases(spark, folder))
+    made = _payloads(spark, folder)
+    payloads = made.select("query_id", "mode", F.to_json(F.struct("answer", "citations", "confidence", "insufficient_evidence")).alias("payload"))
+    written = prompts.build_prompts(cases).select("query_id", "mode", "prompt")
+    found = metrics.prompt_mode_metrics(cases, payloads, written)
+    return found.select("mode", "cases", *_rounded("schema_validity_rate", "citation_validity_rate", "insufficiency_accuracy", "average_confidence", "average_prompt_characters"))
+
+
+#: A collection of three invented documents and questions on it.
+DEMO_DOCUMENTS = [
+    (1, "harbour", "Harbour pilots guide cargo vessels through narrow channels using tide tables and radio beacons."),
+    (2, "orchard", "Orchard keepers prune apple trees in winter. Pruning should remove crossing branches before sap rises."),
+    (3, "archive", "Archive clerks catalogue letters, maps and photographs with stable shelf marks and condition notes."),
+]
+DEMO_QUESTIONS = [(1, "How do pilots guide vessels?", 1), (2, "When are apple trees pruned?", 2), (3, "Which notes describe the condition of maps?", 3)]
+
+
+def demo_mrr(spark, folder):
+    documents = spark.createDataFrame(DEMO_DOCUMENTS, "doc_id bigint, source string, text string")
+    questions = spark.createDataFrame(DEMO_QUESTIONS, "query_id bigint, question string, doc_id bigint")
+    index = search.build_index(chunk_words(documents, "doc_id", 30, 5), ("word",))
+    found = search.word_search(questions.select("query_id", "question"), index, 3)
+    return metrics.ranked_metrics(found, questions.select("query_id", "doc_id"), 3).select("cases", F.round("mean_reciprocal_rank", 6).alias("mrr"))
+
+
+#: Counts and positions that come out as 64-bit integers.
+_WIDE = {
+    "chunk_documents": ("ordinal",),
+    "chunk_short_overlap": ("ordinal", "size"),
+    "baseline_search": ("rank",),
+    "hybrid_search": ("rank",),
+    "diversity_rerank": ("rank",),
+    "retrieve_evidence": ("size",),
+    "citation_audit": ("answer_content_tokens", "supported_content_tokens"),
+    "sentence_claims": ("claim_no",),
+    "claim_support": ("claim_no",),
+    "numeric_facts": ("fact_no",),
+    "build_prompts": ("size",),
+    "prompt_sizes": ("largest",),
+}
+
+
+def _wide(name: str, query):
+    if name not in _WIDE:
+        return query
+    return lambda spark, folder: query(spark, folder).withColumns({c: F.col(c).cast("long") for c in _WIDE[name]})
+
+
+_PLAIN = {
+    "doc_fingerprint": doc_fingerprint,
+    "dedup_documents": dedup_documents,
+    "ingest_report": ingest_report_query,
+    "incremental_ingest": incremental_ingest,
+    "chunk_documents": chunk_documents,
+    "chunk_counts": chunk_counts,
+    "chunk_short_overlap": chunk_short_overlap,
+    "store_health": store_health,
+    "list_documents": list_documents,
+    "list_chunks": list_chunks,
+    "csv_row_text": csv_row_text,
+    "word_terms": word_terms,
+    "word_idf": _idf("word"),
+    "word_norms": _norms("word"),
+    "char_idf": _idf("character"),
+    "char_norms": _norms("character"),
+    "baseline_search": baseline_search,
+    "hybrid_search": hybrid_search,
+    "diversity_rerank": diversity_rerank,
+    "retrieve_evidence": retrieve_evidence,
+    "signal_flags": signal_flags,
+    "assess_evidence": assess_evidence,
+    "apply_policy": apply_policy,
+    "quarantine_summary": quarantine_summary,
+    "content_tokens": content_tokens_query,
+    "citation_audit": citation_audit,
+    "grounding_by_mode": grounding_by_mode,
+    "sentence_claims": sentence_claims,
+    "claim_support": claim_support,
+    "requirement_tokens": requirement_tokens,
+    "numeric_facts": numeric_facts,
+    "requirement_polarity": requirement_polarity,
+    "overlap_pairs": overlap_pairs,
+    "find_conflicts": find_conflicts,
+    "conflict_summary": conflict_summary,
+    "build_prompts": build_prompts,
+    "prompt_sizes": prompt_sizes,
+    "extractive_answer": extractive_answer,
+    "generated_answer": generated_answer,
+    "case_metrics": case_metrics,
+    "ranked_metrics": ranked_metrics,
+    "evaluate_end_to_end": evaluate_end_to_end,
+    "schema_valid": schema_valid,
+    "prompt_mode_benchmark": prompt_mode_benchmark,
+    "demo_mrr": demo_mrr,
+}
+
+QUERIES = {name: _wide(name, query) for name, query in _PLAIN.items()}
