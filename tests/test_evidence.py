@@ -102,9 +102,9 @@ def test_blocking_finds_every_pair(spark):
     pick = random.Random(1)
     texts = [" ".join(pick.choices([f"word{i}" for i in range(12)], k=pick.randint(1, 7))) for _ in range(60)]
     frame = spark.createDataFrame([(f"R{i:02}", t) for i, t in enumerate(texts)], "requirement_id string, text string")
-    rows = C.described(frame).select("requirement_id", "text", "tokens")
+    rows = C.numbered(frame)
     for least in (0.18, 0.5, 1.0):
-        got = {(r["l_id"], r["r_id"]) for r in C.overlapping_pairs(rows, least).collect()}
+        got = {(r["l_requirement_id"], r["r_requirement_id"]) for r in C.with_sides(C.overlapping_pairs(rows, least), rows).collect()}
         sets = [set(t.split()) for t in texts]
         want = {(f"R{i:02}", f"R{j:02}") for i, j in itertools.combinations(range(60), 2) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least}
         assert want <= got

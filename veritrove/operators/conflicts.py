@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.functions.text import general_format
+from veritrove.plans.durable import stored
 
 # Ranks of modal words in the order in which ties are resolved, and negating words.
 MODALITIES = {"shall": 3, "must": 3, "required": 3, "should": 2, "recommended": 2, "may": 1, "optional": 1}
@@ -65,23 +66,54 @@ def described(requirements: DataFrame) -> DataFrame:
     )
 
 
-def overlapping_pairs(rows: DataFrame, minimum_overlap: float) -> DataFrame:
-    """Pairs of ``rows`` in order of (``requirement_id``, ``text``) whose token sets overlap by at least ``minimum_overlap``, which is positive.
+def overlapping_pairs(rows: DataFrame, minimum_overlap: float, condition=None) -> DataFrame:
+    """Pairs ``l``, ``r`` of different ``n`` of ``rows`` that may overlap by at least ``minimum_overlap``, which is positive; all that do are there.
+
+    ``rows``: ``n`` (unique), ``tokens``, and what ``condition``, a function of
+    two prefixes of columns, needs to rule pairs out early.
 
     Candidates come from an inverted join on prefixes: two sets of Jaccard
     similarity t share a token among the rarest |x| - ceil(t |x|) + 1 of each.
     The prefixes hold the rarest tokens, so common words, which a third of all
     rows may share, make no candidates unless nothing rarer is left.
     """
-    counts = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    exploded = rows.select(F.col("requirement_id").alias("id"), F.col("text").alias("key"), F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(counts, "token")
-    ranked = exploded.groupBy("id", "key", "size").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("sorted"))
+    rest = [c for c in rows.columns if c not in ("n", "tokens", "requirement_id", "text", "facts", "modality")]
+    exploded = rows.select("n", *rest, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
+    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = exploded.join(counts, "token").groupBy("n", "size", *rest).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("sorted"))
     length = F.col("size") - F.ceil(F.lit(minimum_overlap) * F.col("size") - 1e-9).cast("int") + 1
-    prefix = ranked.select("id", "key", "size", F.explode(F.slice("sorted", F.lit(1), F.greatest(F.lit(1), length))).alias("t")).select("id", "key", "size", "t.token")
-    left, right = (prefix.select("token", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "key", "size")]) for side in ("l", "r"))
-    order = (F.col("l_id") < F.col("r_id")) | ((F.col("l_id") == F.col("r_id")) & (F.col("l_key") < F.col("r_key")))
+    prefix = ranked.select("n", "size", *rest, F.explode(F.slice("sorted", F.lit(1), F.greatest(F.lit(1), length))).alias("t")).select("n", "size", *rest, "t.token")
+    left, right = (prefix.select("token", F.col("n").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *rest)]) for side in ("l", "r"))
     near = F.least("l_size", "r_size") >= F.lit(minimum_overlap) * F.greatest("l_size", "r_size") - 1e-9
-    return left.join(right, "token").where(order & near).select("l_id", "l_key", "r_id", "r_key").distinct()
+    met = left.join(right, "token").where((F.col("l") < F.col("r")) & near)
+    return (met if condition is None else met.where(condition("l_", "r_"))).select("l", "r").distinct()
+
+
+def numbered(requirements: DataFrame) -> DataFrame:
+    """``described`` requirements, written once, with a number ``n`` each and what rules pairs out early."""
+    once = stored(described(requirements))
+    return once.select(F.monotonically_increasing_id().alias("n"), "*", F.col("modality.rank").alias("rank"), (F.size("facts") > 0).alias("counted"))
+
+
+def may_conflict(a: str, b: str) -> Column:
+    """Whether any kind of conflict is possible, by prefixes of the columns of ``numbered``."""
+    ranks = (F.col(f"{a}rank") > 0) & (F.col(f"{b}rank") > 0) & (F.abs(F.col(f"{a}rank") - F.col(f"{b}rank")) >= 2)
+    return (F.col(f"{a}negated") != F.col(f"{b}negated")) | (F.col(f"{a}counted") & F.col(f"{b}counted")) | ranks
+
+
+def with_sides(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``pairs`` with both requirements' columns under ``l_`` and ``r_``, ``l`` being the one with the smaller id, then text."""
+    names = ["requirement_id", "text", "tokens", "facts", "modality", "negated"]
+    side = rows.select("n", F.struct(*names).alias("s"))
+    both = pairs.join(side.select(F.col("n").alias("l"), F.col("s").alias("a")), "l").join(side.select(F.col("n").alias("r"), F.col("s").alias("b")), "r")
+    ordered = (F.col("a.requirement_id") < F.col("b.requirement_id")) | ((F.col("a.requirement_id") == F.col("b.requirement_id")) & (F.col("a.text") < F.col("b.text")))
+    turned = both.select(F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("y"))
+    return turned.select(*[F.col(f"{v}.{c}").alias(f"{s}_{c}") for v, s in (("x", "l"), ("y", "r")) for c in names])
+
+
+def overlap_of(a: str, b: str) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared / (F.size(a) + F.size(b) - shared)).otherwise(F.lit(0.0))
 
 
 def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> DataFrame:
@@ -95,21 +127,15 @@ def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> Da
     """
     if not 0 <= minimum_overlap <= 1 or math.isnan(minimum_overlap):
         raise ValueError("minimum_overlap must lie between 0 and 1")
-    rows = described(requirements)
+    rows = numbered(requirements)
     if minimum_overlap > 0:
-        pairs = overlapping_pairs(rows, minimum_overlap)
+        pairs = overlapping_pairs(rows, minimum_overlap, may_conflict)
     else:
-        small = rows.select(F.col("requirement_id").alias("id"), F.col("text").alias("key")).limit(501)
+        small = rows.select("n").limit(501)
         if small.count() > 500:
             raise ValueError("without a minimum overlap at most 500 requirements can be compared")
-        a, b = small.select(F.col("id").alias("l_id"), F.col("key").alias("l_key")), small.select(F.col("id").alias("r_id"), F.col("key").alias("r_key"))
-        pairs = a.join(F.broadcast(b), (F.col("l_id") < F.col("r_id")) | ((F.col("l_id") == F.col("r_id")) & (F.col("l_key") < F.col("r_key"))))
-    sides = [rows.select(*[F.col(c).alias(f"{s}_{n}") for c, n in (("requirement_id", "id"), ("text", "key"), ("tokens", "tokens"), ("facts", "facts"), ("modality", "modality"), ("negated", "negated"))]) for s in ("l", "r")]
-    both = pairs.join(sides[0], ["l_id", "l_key"]).join(sides[1], ["r_id", "r_key"])
-    shared = F.size(F.array_intersect("l_tokens", "r_tokens"))
-    united = F.size("l_tokens") + F.size("r_tokens") - shared
-    overlap = F.when((F.size("l_tokens") > 0) & (F.size("r_tokens") > 0), shared / united).otherwise(F.lit(0.0))
-    scored = both.withColumn("overlap", overlap).where(F.col("overlap") >= minimum_overlap)
+        pairs = small.select(F.col("n").alias("l")).join(F.broadcast(small.select(F.col("n").alias("r"))), F.col("l") < F.col("r"))
+    scored = with_sides(pairs, rows).withColumn("overlap", overlap_of("l_tokens", "r_tokens")).where(F.col("overlap") >= minimum_overlap)
     differing = F.filter(
         F.flatten(F.transform("l_facts", lambda x: F.transform("r_facts", lambda y: F.struct(x["value"].alias("a"), x["unit"].alias("u"), y["value"].alias("b"), y["unit"].alias("v"))))),
         lambda p: (p["u"] == p["v"]) & (p["a"] != p["b"]),
@@ -134,5 +160,11 @@ def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> Da
     )
     found = judged.withColumn("kind", kind).where("kind is not null")
     return found.select(
-        F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), "kind", F.least(F.lit(1.0), score).alias("score"), explanation.alias("explanation"), F.array("l_id", "r_id").alias("evidence")
+        F.col("l_requirement_id").alias("left_id"),
+        F.col("r_requirement_id").alias("right_id"),
+        "kind",
+        F.least(F.lit(1.0), score).alias("score"),
+        explanation.alias("explanation"),
+        F.array("l_requirement_id", "r_requirement_id").alias("evidence"),
+   
     )

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from veritrove.functions.text import character_terms, word_terms
 from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 
 #: Decimals of scores before they are ranked, so that the order of summation can't decide.
 DECIMALS = 9
@@ -101,12 +102,12 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", kinds: tuple[str, ...]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], [key, "kind", "term", "tf"])
 
     kind = dict(chunks.dtypes)[key]
-    return chunks.select(key, "text").mapInArrow(run, f"{key} {kind}, kind string, term string, tf bigint")
+    return spread(chunks.select(key, "text")).mapInArrow(run, f"{key} {kind}, kind string, term string, tf bigint")
 
 
 def document_frequencies(chunks: DataFrame, kinds: tuple[str, ...] = ("word", "character")) -> DataFrame:
     """``kind``, ``term``, ``df``; counted in the scan's tasks, only sums per term are shuffled."""
-    return chunks.select("text").mapInArrow(_count_terms(kinds), "kind string, term string, df bigint").groupBy("kind", "term").agg(F.sum("df").alias("df"))
+    return spread(chunks.select("text")).mapInArrow(_count_terms(kinds), "kind string, term string, df bigint").groupBy("kind", "term").agg(F.sum("df").alias("df"))
 
 
 def with_idf(frequencies: DataFrame, n: int) -> DataFrame:
@@ -260,7 +261,7 @@ def _matrix_candidates(questions: DataFrame, index: Index, k: int, weights: tupl
         part = questions if passes == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number)
         asked = sorted((r["query_id"], r["question"]) for r in part.select("query_id", F.coalesce("question", F.lit("")).alias("question")).collect())
         held = spark.sparkContext.broadcast((asked, statistics))
-        found = index.chunks.select("chunk_id", F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text").mapInArrow(_score(held, k, weights), CANDIDATES)
+        found = spread(index.chunks.select("chunk_id", F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text")).mapInArrow(_score(held, k, weights), CANDIDATES)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], CANDIDATES)
 

@@ -235,13 +235,9 @@ def requirement_polarity(spark, folder):
 
 
 def overlap_pairs(spark, folder):
-    rows = _requirements(spark, folder).select("requirement_id", "text", "tokens")
-    pairs = conflicts.overlapping_pairs(rows, 0.6)
-    sides = [rows.select(F.col("requirement_id").alias(f"{s}_id"), F.col("text").alias(f"{s}_key"), F.col("tokens").alias(f"{s}_tokens")) for s in ("l", "r")]
-    both = pairs.join(sides[0], ["l_id", "l_key"]).join(sides[1], ["r_id", "r_key"])
-    shared = F.size(F.array_intersect("l_tokens", "r_tokens"))
-    overlap = shared / (F.size("l_tokens") + F.size("r_tokens") - shared)
-    return both.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), overlap.alias("overlap")).where("overlap >= 0.6").select("left_id", "right_id", *_rounded("overlap"))
+    rows = conflicts.numbered(table(spark, folder, "requirements"))
+    both = conflicts.with_sides(conflicts.overlapping_pairs(rows, 0.6), rows).withColumn("overlap", conflicts.overlap_of("l_tokens", "r_tokens")).where("overlap >= 0.6")
+    return both.select(F.col("l_requirement_id").alias("left_id"), F.col("r_requirement_id").alias("right_id"), *_rounded("overlap"))
 
 
 def find_conflicts(spark, folder):
