@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 
 _REST = re.compile(r"[\W_]+")
 _NAME = re.compile(r"\s*([^\W\d_][\w .\-]{0,39}?)\s*:\s*(.*?)\s*", re.S)
@@ -176,7 +177,7 @@ def content_keys(documents: DataFrame) -> DataFrame:
     key and are left out; a repeated id keeps its rows. Further columns are
     ignored; an empty table gives an empty result.
     """
-    whole = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    whole = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     keys = stored(whole.mapInArrow(_keys, "doc_id bigint, plain binary, records binary").where("plain is not null"))
     pairs = keys.where("records is not null").groupBy("plain", "records").agg(F.lit(1).alias("one")).select("plain", F.col("records").alias("r"))
     labels = stored(pairs.withColumn("content", F.col("r")))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrove.plans.parallel import spread
+
 LANGUAGES = ("html", "markdown", "wiki", "latex")
 
 # The element names of HTML.
@@ -336,4 +338,4 @@ def clean_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
                 ["doc_id", "text", "markup", "dropped"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id bigint, text string, markup array<string>, dropped int")
+    return spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id bigint, text string, markup array<string>, dropped int")

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from veritrove.llm.shingles import SIGNATURE, mixed, shingle_sets, signatures
 from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 
 #: Chance that a pair just at the similarity threshold is found.
 RECALL = 0.9995
@@ -249,7 +250,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     brought together with their texts again, by a broadcast up to
     ``BROADCAST_IDS`` ids and by a shuffle beyond.
     """
-    whole = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    whole = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     depth = depth_for(whole.count())
     described = stored(whole.mapInArrow(_describe(words, runs_for(similarity, depth), depth, False), DESCRIBED))
     members = described.select("digest", "doc_id")

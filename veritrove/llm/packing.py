@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from veritrove.llm.tokens import VOCABULARY, encoder
 from veritrove.operators.ranking import grouped_rank
 from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 
 CAPACITY = 1024
 #: Rows of one length that are numbered in one task.
@@ -105,7 +106,7 @@ def pack_documents(documents: DataFrame, capacity: int = CAPACITY, vocabulary: s
         encode = encoder(vocabulary, folder).encode_ordinary
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
 
-    sized = stored(documents.where(F.col("doc_id").isNotNull()).select("doc_id", tokens(F.col("text").cast("string")).alias("total")))
+    sized = stored(spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).select("doc_id", tokens(F.col("text").cast("string")).alias("total")))
     full = F.floor(F.col("total") / capacity)
     last = F.when((F.col("total") % capacity > 0) | (F.col("total") == 0), full).otherwise(full - 1)
     items = sized.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece")).select(

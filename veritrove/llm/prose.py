@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.llm.markup import convert
+from veritrove.plans.parallel import spread
 
 #: Kinds of events that a distribution is over.
 EVENTS = ("function", "word", "number", "link", "symbol", "end", "pause", "mark")
@@ -235,4 +236,4 @@ def text_statistics(documents: DataFrame, words: DataFrame) -> DataFrame:
             prose = pa.array([None if f is None else f["prose_share"] >= HALF for f in found], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, prose], ["doc_id", *names, "prose"])
 
-    return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, STATISTICS)
+    return spread(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, STATISTICS)

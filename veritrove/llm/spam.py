@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from veritrove.llm.markup import convert
 from veritrove.llm.prose import TOGETHER, Signs, common_words, shapes
 from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 
 FEATURES = ("function", "repetition", "entropy", "link", "promotion", "density", "number", "mark")
 # Words of advertising in the four languages.
@@ -151,7 +152,7 @@ def measured(documents: DataFrame, words: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(table[:, k]) for k in range(len(FEATURES)))], ["doc_id", "lang", *FEATURES])
 
     schema = "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES)
-    return documents.select(F.col("doc_id").cast("long"), language(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return spread(documents.select(F.col("doc_id").cast("long"), language(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string"))).mapInArrow(run, schema)
 
 
 def _and_all(table: DataFrame) -> DataFrame:

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrove.plans.parallel import spread
+
 VOCABULARY = "byte_bpe_50k"
 #: Code points under the rolling hash, and one place in so many is a cut.
 WINDOW, ONE_IN = 12, 64
@@ -206,7 +208,7 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str |
     once per task, and one that is met very often is spread over ``SPREAD``
     reducers), then the ids by document.
     """
-    pieces = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_cut, PARTS)
+    pieces = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_cut, PARTS)
     placed = pieces.repartition("key", "spread").sortWithinPartitions("key", F.col("text").isNull())
     encoded = placed.select("doc_id", "pos", "joined", "key", "text").mapInArrow(_encode(vocabulary, folder), "doc_id bigint, pos int, joined boolean, ids array<int>")
     parts = encoded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "joined", "ids"))).alias("parts"))
