@@ -1,0 +1,82 @@
+import random
+
+import numpy as np
+import pytest
+
+from veritrove.llm.prose import NAMES, PROFILES, divergence, text_statistics
+from veritrove.llm.spam import FEATURES, models_of, spam_scores
+
+NOUNS = "report budget sensor ledger visitor index window crate permit shift upload auditor filter panel tenant memo".split()
+
+
+def sentence(pick):
+    a, b, c = pick.sample(NOUNS, 3)
+    return pick.choice([f"The {a} of the {b} is checked by the {c} at noon.", f"It was found that the {a} and the {b} are not in the {c}.", f"As the {b} is on the {a}, it was moved to the {c} for a week."])
+
+
+def prose(seed, n=8):
+    pick = random.Random(seed)
+    return " ".join(sentence(pick) for _ in range(n))
+
+
+def listing(seed, n=14):
+    pick = random.Random(seed)
+    return "\n".join(f"- {pick.choice(['grey', 'late', 'minor', 'steady', 'brittle'])} {pick.choice(NOUNS)} {pick.choice(NOUNS)}" for _ in range(n))
+
+
+def record(seed, n=8):
+    pick = random.Random(seed)
+    return "\n".join(f"site: {pick.choice(NOUNS)} | pages: {pick.randint(1, 900)} | status: open" for _ in range(n))
+
+
+def test_statistics(frame, common):
+    texts = [prose(1), listing(1), record(1), None, "", " \n", "::: --- +++", prose(2).lower().replace(".", "").replace(",", ""), prose(3).upper(), f"{prose(4, 1)}\n{listing(2, 30)}", "\n".join(prose(5).split()[i : i + 4][0] for i in range(1)) or "x"]
+    got = {r["doc_id"]: r for r in text_statistics(frame(texts), common).collect()}
+    assert [got[i]["prose"] for i in range(1, 11)] == [True, False, False, None, None, None, False, True, True, False]
+    one = got[1]
+    assert one["words"] == len(texts[0].split()) and one["ended_lines"] == 1.0 and 0.3 < one["common_words"] < 0.8 and one["profile"].startswith("prose")
+    assert one["mean_word_length"] == pytest.approx(np.mean([len(w.strip(".,")) for w in texts[0].split()]))
+    solid = texts[0].replace(" ", "")
+    assert one["symbol_ratio"] == pytest.approx(sum(not c.isalnum() for c in solid) / len(solid))
+    assert got[7]["words"] == 0 and got[7]["symbol_ratio"] == 1.0 and got[4]["words"] is None
+    assert text_statistics(frame([]), common).count() == 0
+
+
+def test_divergence_is_that_of_the_definition():
+    p = np.array([[0.2, 0.3, 0.1, 0.05, 0.05, 0.1, 0.1, 0.1]])
+    got = divergence(p)[0]
+    for value, name in zip(got, NAMES):
+        q = np.array(PROFILES[name]) / sum(PROFILES[name]) + 1e-4
+        m = (p[0] + q) / 2
+        assert value == pytest.approx((np.sum(p[0] * np.log(p[0] / m)) + np.sum(q * np.log(q / m))) / 2)
+    assert divergence(np.array([PROFILES["list"]]))[0].argmin() == NAMES.index("list")
+
+
+SPAM = [
+    "\n".join(random.Random(1).choices(["buy cheap toner", "best free coupon", "discount printer", "official toner sale"], k=40)), "\n".join(f"https://shop{i}.example/buy/item-{i}.html" for i in range(20)),
+    "\n".join(f"- [cheap toner {i}](https://shop.example/{i})" for i in range(20)), " ".join(random.Random(2).choices(["#freeToner", "#coupon", "#buyNow", "#sale"], k=40)), "; ".join(f"best free voucher near town{i % 9}" for i in range(40)),
+]
+FINE = [listing(3), record(3), prose(9) + " See https://a.example/x for it.", " ".join([sentence(random.Random(4))] * 8), None, "", "x"]
+
+
+def test_spam(spark, common):
+    texts = [prose(i) for i in range(260)] + [listing(i) for i in range(20)] + SPAM + FINE
+    rows = [(i, "EN" if i % 3 else None, t) for i, t in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id bigint, lang string, text string").selectExpr("*", "'clash' as distance", "'clash' as function")
+    found = {r["doc_id"] for r in spam_scores(documents, common).where("spam").collect()}
+    assert found == set(range(280, 280 + len(SPAM)))
+    assert spam_scores(documents, common).count() == len([t for t in texts if t])
+
+
+def test_few_documents(spark, common):
+    few = spark.createDataFrame([(1, "en", prose(1)), (1, "en", prose(1)), (2, None, "word")], "doc_id bigint, lang string, text string")
+    assert spam_scores(few, common).count() == 3 and spam_scores(few.limit(0), common).count() == 0
+
+
+def test_models_resist_the_pages_looked_for(spark):
+    random = np.random.default_rng(1)
+    clean, bad = random.normal(0.3, 0.1, (700, len(FEATURES))), np.full((300, len(FEATURES)), 3.0)
+    rows = [(i, "en", *map(float, r)) for i, r in enumerate(np.concatenate((clean, bad)))]
+    table = spark.createDataFrame(rows, "doc_id bigint, lang string, " + ", ".join(f"{f} double" for f in FEATURES))
+    for centre, inverse in models_of(table).values():
+        assert np.abs(centre - 0.3).max() < 0.03 and np.allclose(inverse, inverse.T)

@@ -27,16 +27,12 @@ _RUN = re.compile(r"[^\W\d_]{4,}")
 
 def terms(text: str) -> list[str]:
     """Maximal runs of at least four letters of any script, lower-cased."""
-    if "İ" in text:  # its lower case holds a mark, which is no letter
-        found = [w.lower() for w in _RUN.findall(text)]
-    else:
-        found = _RUN.findall(text.lower())
-    if text.isascii() or all(map(str.isalpha, found)):
-        return found
-    out = []
-    for word in found:  # \w also holds numerals that are no digits
-        out += [word] if word.isalpha() or "İ" in text else [w for w in "".join(c if c.isalpha() else " " for c in word).split() if len(w) > 3]
-    return out
+    special = "İ" in text  # its lower case holds a mark, which is no letter, so runs are found before
+    found = _RUN.findall(text if special else text.lower())
+    if not text.isascii() and not all(map(str.isalpha, found)):
+        # \w also holds numerals that are no digits
+        found = [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split() if len(w) > 3]
+    return [w.lower() for w in found] if special else found
 
 
 COUNTED = "chunk_id string, term string, n bigint, size bigint, docs array<bigint>, many boolean"

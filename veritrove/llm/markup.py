@@ -51,7 +51,7 @@ _RULER = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)
 
 _WIKI_LINK = re.compile(r"\[\[(?=[^\s\"'\[\{])(?![-\d.,eE\s]*\]\])([^\[\]{}\n]+?)\]\]")
 _TEMPLATE = re.compile(r"\{\{(?=[^\s\"'{])([^{}]+?)\}\}")
-_RUN = re.compile(r"(?<!')('{2,3}|'{5})(?!')([^'\n`]+(?:'[^'\n`]+)*)\1(?!')")
+_RUN = re.compile(r"(?<![\d'])('{2,3}|'{5})(?=[^\s'])([^'\n`]+(?:'[^'\n`]+)*)\1(?!')")
 _WIKI_HEADING = re.compile(r"^[ \t]*(={1,6})[ \t]*([^=\n][^\n]*?[^=\n]|[^=\n])[ \t]*\1[ \t]*$", re.M)
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|[^\n]*\n(.*?)(?:^[ \t]*\|\}[^\n]*$|\Z)", re.M | re.S)
 
@@ -68,7 +68,7 @@ _TEX_LINE = re.compile(r"^[ \t]*%[^\n]*$", re.M)
 #: Stands for the # of a heading that is already converted.
 _HEAD = "\ue002"
 
-_BREAKS = re.compile(r"\n[^\S\n]*(?:\n[^\S\n]*)+")
+_BREAKS = re.compile(r"\n(?:[^\S\n]*\n)+")
 _SPACES = re.compile(r"[^\S\n]+")
 
 

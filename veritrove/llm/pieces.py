@@ -66,9 +66,13 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         pieces, start = [], 0
         for i in range(count - 1):
             target = round((i + 1) * (even - overlap) + overlap)
-            end = _snap(ends, max(start + overlap + LEEWAY + 1, target - reach), target, min(target + reach, start + limit))
+            high = min(start + limit, size - 1)
+            low = min(start + overlap + LEEWAY + 1, high)
+            end = _snap(ends, max(low, target - reach), target, min(target + reach, high))
+            if end is None:  # no boundary near the target: any that the limit allows, else a cut inside a word
+                end = _snap(ends, low, target, high)
             if end is None:
-                end = min(target, start + limit)
+                end = min(max(target, low), high)
             pieces.append((start, end))
             wanted = end - overlap
             # where a text runs on, a word's start is as good as a sentence's; a sentence's start is taken if it is near

@@ -163,7 +163,7 @@ def divergence(share: np.ndarray) -> np.ndarray:
     """Jensen-Shannon divergence of each row from each profile."""
     p, q = share[:, None, :], _TABLE[None, :, :] + 1e-4
     m = (p + q) / 2
-    return (p * np.log(p / m) + q * np.log(q / m)).sum(2) / 2
+    return (p * np.log(np.maximum(p, 1e-12) / m) + q * np.log(q / m)).sum(2) / 2
 
 
 def visible(text: str) -> str:
