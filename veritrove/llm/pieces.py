@@ -59,7 +59,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         return [(0, size)]
     marks = _marks(text)
     ends, starts = [m[0] for m in marks], [m[1] for m in marks]
-    reach = int(limit * REACH)
+    reach, leeway = int(limit * REACH), min(LEEWAY, overlap // 2)
     count = -(-(size - overlap) // (limit - overlap))
     while True:
         even = (size + (count - 1) * overlap) / count
@@ -67,7 +67,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         for i in range(count - 1):
             target = round((i + 1) * (even - overlap) + overlap)
             high = min(start + limit, size - 1)
-            low = min(start + overlap + LEEWAY + 1, high)
+            low = min(start + overlap + leeway + 1, high)
             end = _snap(ends, max(low, target - reach), target, min(target + reach, high))
             if end is None:  # no boundary near the target: any that the limit allows, else a cut inside a word
                 end = _snap(ends, low, target, high)
@@ -76,7 +76,7 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
             pieces.append((start, end))
             wanted = end - overlap
             # where a text runs on, a word's start is as good as a sentence's; a sentence's start is taken if it is near
-            begin = _snap([starts[2], starts[4]], max(start + 1, wanted - LEEWAY), wanted, wanted + LEEWAY)
+            begin = _snap([starts[2], starts[4]], max(start + 1, wanted - leeway), wanted, wanted + leeway)
             start = wanted if begin is None else begin
         pieces.append((start, size))
         if pieces[-1][1] - pieces[-1][0] <= limit and all(0 < b - a <= limit for a, b in pieces):
