@@ -19,8 +19,8 @@ from veritrove.plans.durable import stored
 
 #: Exponent of the terms' counts.
 SMOOTHING = 0.75
-#: Distinct terms that a task holds before it hands on its partial counts.
-HELD = 300_000
+#: Distinct terms, and pairs of term and document, that a task holds before it hands on its partial counts.
+HELD, HELD_PAIRS = 300_000, 1_500_000
 
 _RUN = re.compile(r"[^\W\d_]{4,}")
 
@@ -51,6 +51,7 @@ def _count(least: int, most_docs: int | None):
         total: Counter[str] = Counter()
         docs: dict[str, set[int]] = {}
         rows: list[tuple[str, str, int, int]] = []
+        pairs = 0
 
         def give() -> pa.RecordBatch:
             there = [r for r in rows if keep < 0 or len(docs[r[1]]) <= keep]
@@ -75,6 +76,7 @@ def _count(least: int, most_docs: int | None):
                 counts = Counter(terms(text))
                 total.update(counts)
                 size = sum(counts.values())
+                pairs += len(counts) if keep < 0 else 0
                 for term, n in counts.items():
                     have = docs.get(term)
                     if have is None:
@@ -83,7 +85,8 @@ def _count(least: int, most_docs: int | None):
                         have.add(doc)
                     if n >= least:
                         rows.append((chunk, term, n, size))
-            if len(total) > HELD or len(rows) > HELD:
+            if len(total) > HELD or len(rows) > HELD or pairs > HELD_PAIRS:
+                pairs = 0
                 yield give()
         yield give()
 
