@@ -56,7 +56,7 @@ def test_command_line(spark, tmp_path, server, monkeypatch, capsys):
     first = run("ingest", str(tmp_path / "a.txt"))
     assert first[0]["inserted"] and run("health") == [{"documents": 1, "chunks": 1}] and run("list")[0]["doc_id"] == first[0]["doc_id"]
     assert "seven years" in run("query", "How long are logs kept?")[0]["answer"]
-    assert run("query", "How long are logs kept?", "--llm", "--prompt-mode", "one_shot")[0]["generator"] == "generated"
+    assert run("query", "How long are logs kept?", "--llm", "--prompt-mode", "one_shot")[0]["generator"] == "openai-compatible"
     benchmark = run("prompt-benchmark", "--cases", str(tmp_path / "cases.json"))
     assert benchmark[0]["quarantined_chunks"] == 0 and len(benchmark) == 4 and benchmark[1]["schema_validity_rate"] == 1.0
     (tmp_path / "labelled.json").write_text(json.dumps([{"question": "How long are logs kept?", "relevant_doc_id": first[0]["doc_id"]}]))

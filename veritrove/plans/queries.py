@@ -13,6 +13,7 @@ from veritrove.functions.text import content_tokens
 from veritrove.operators import answers, conflicts, grounding, metrics, policy, prompts, search
 from veritrove.operators.chunking import chunk_words
 from veritrove.operators.ingest import fingerprint, first_by_content, ingest_plan, ingest_report
+from veritrove.plans import demo
 from veritrove.plans.durable import stored
 from veritrove.plans.sql import SQL
 from veritrove.sources.files import parse_metadata
@@ -86,7 +87,7 @@ def chunk_short_overlap(spark, folder):
 
 
 def incremental_ingest(spark, folder):
-    """Documents that came after the median arrival, against a store that holds the earlier ones."""
+    """Documents that came from July 2025 on, against a store that holds the earlier ones."""
     documents = _documents(spark, folder).withColumn("late", F.col("ingested_at") >= F.lit("2025-07-01").cast("timestamp"))
     known = fingerprint(documents.where("not late")).select("content_sha256").where("content_sha256 is not null").distinct()
     new, chunks = ingest_plan(documents.where("late").drop("late"), ARRIVAL, known=known)
@@ -317,18 +318,9 @@ def prompt_mode_benchmark(spark, folder):
     return found.select("mode", "cases", *_rounded("schema_validity_rate", "citation_validity_rate", "insufficiency_accuracy", "average_confidence", "average_prompt_characters"))
 
 
-#: A collection of three invented documents and questions on it.
-DEMO_DOCUMENTS = [
-    (1, "harbour", "Harbour pilots guide cargo vessels through narrow channels using tide tables and radio beacons."),
-    (2, "orchard", "Orchard keepers prune apple trees in winter. Pruning should remove crossing branches before sap rises."),
-    (3, "archive", "Archive clerks catalogue letters, maps and photographs with stable shelf marks and condition notes."),
-]
-DEMO_QUESTIONS = [(1, "How do pilots guide vessels?", 1), (2, "When are apple trees pruned?", 2), (3, "Which notes describe the condition of maps?", 3)]
-
-
 def demo_mrr(spark, folder):
-    documents = spark.createDataFrame(DEMO_DOCUMENTS, "doc_id bigint, source string, text string")
-    questions = spark.createDataFrame(DEMO_QUESTIONS, "query_id bigint, question string, doc_id bigint")
+    documents = spark.createDataFrame(demo.DOCUMENTS, "doc_id bigint, source string, text string")
+    questions = spark.createDataFrame(demo.QUESTIONS, "query_id bigint, question string, doc_id bigint")
     index = search.build_index(chunk_words(documents, "doc_id", 30, 5), ("word",))
     found = search.word_search(questions.select("query_id", "question"), index, 3)
     return metrics.ranked_metrics(found, questions.select("query_id", "doc_id"), 3).select("cases", F.round("mean_reciprocal_rank", 6).alias("mrr"))

@@ -7,6 +7,7 @@ from veritrove.operators.answers import ALL_QUARANTINED, NOTHING_FOUND
 from veritrove.operators.conflicts import MODALITIES, NEGATIONS
 from veritrove.operators.policy import SEVERE, SIGNALS
 from veritrove.operators.prompts import MODES, PART, head
+from veritrove.plans import demo
 
 
 def _text(value: str) -> str:
@@ -287,5 +288,10 @@ SQL = {
         ) SELECT mode, count(*) AS cases, round(avg(valid::INT), 6) AS schema_validity_rate, round(avg(CASE WHEN valid THEN right_citations ELSE 0 END), 6) AS citation_validity_rate,
             round(avg(CASE WHEN valid THEN right_refusal ELSE 0 END), 6) AS insufficiency_accuracy, round(avg(CASE WHEN valid THEN confidence ELSE 0 END), 6) AS average_confidence, round(avg(size), 6) AS average_prompt_characters
         FROM judged GROUP BY mode""",
-    "demo_mrr": "SELECT 3::BIGINT AS cases, 1.0::DOUBLE AS mrr",
+    "demo_mrr": f"""WITH once(chunk_id, doc_id, ordinal, text) AS (VALUES {', '.join(f"('{d}:0', {d}, 0, {_text(t)})" for d, _, t in demo.DOCUMENTS)}),
+        questions(q, question, wanted) AS (VALUES {', '.join(f"({q}, {_text(t)}, {d})" for q, t, d in demo.QUESTIONS)}),
+        {_word_terms('terms', 'once', 'chunk_id', 'text')}, {_word_terms('asked', 'questions', 'q', 'question')}, {_idf('idfs', 'terms')}, {_scores('words', 'terms', 'asked', 'idfs')},
+        scored AS (SELECT q.q AS query_id, wanted, chunk_id, doc_id, ordinal, round(coalesce(s, 0), 9) AS score FROM questions q CROSS JOIN once o LEFT JOIN words w ON w.q = q.q AND w.k = o.chunk_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_TIES}) AS rank FROM scored)
+        SELECT count(*) AS cases, round(avg(reciprocal), 6) AS mrr FROM (SELECT query_id, coalesce(1.0 / min(rank) FILTER (doc_id = wanted AND rank <= 3), 0) AS reciprocal FROM ranked GROUP BY query_id)""",
 }
