@@ -186,7 +186,8 @@ def content_keys(documents: DataFrame) -> DataFrame:
         lowest = labels.groupBy("plain").agg(F.min("content").alias("m"), F.countDistinct("content").alias("n"))
         if lowest.where("n > 1").isEmpty():
             break
-        labels = stored(labels.join(lowest, "plain").groupBy("r").agg(F.min("m").alias("content"), F.collect_set("plain").alias("p")).select(F.explode("p").alias("plain"), "r", "content"))
+        by_record = labels.join(lowest, "plain").groupBy("r").agg(F.min("m").alias("content"))
+        labels = stored(labels.select("plain", "r").join(by_record, "r").select("plain", "r", "content"))
     named = labels.select("plain", "content").distinct()
     return keys.join(named, "plain", "left").select("doc_id", F.coalesce("content", "plain").alias("content"))
 
