@@ -5,10 +5,11 @@ term's number of chunks, idf = ln((1 + n) / (1 + df)) + 1, and vectors have unit
 length. A question keeps only terms that the collection holds, before its length
 is taken.
 
-Questions are scored in blocks against blocks of chunks as matrix products where
-the chunks are read; nothing about a chunk is shuffled but the few candidates of
-each block, so common terms cost no join. A relational form of the same, for
-vocabularies that are too large to hold, joins postings.
+The index keeps the length of each chunk's vectors, so that a search needs the
+statistics of the questions' terms only. Questions are scored in blocks against
+blocks of chunks as matrix products where the chunks are read; nothing about a
+chunk is shuffled but the few candidates of each block, so common terms cost no
+join.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from veritrove.plans.parallel import spread
 
 #: Decimals of scores before they are ranked, so that the order of summation can't decide.
 DECIMALS = 9
-#: Distinct terms whose statistics are held by every executor; beyond, scoring is relational.
+#: Distinct terms up to which their statistics are broadcast to measure the chunks' vectors; beyond, they are joined.
 HELD_TERMS = 1_000_000
 #: Questions that one pass over the chunks scores, and rows of the blocks of either side.
 AT_ONCE, QUESTION_BLOCK, CHUNK_BLOCK = 20_000, 512, 512
@@ -122,7 +123,7 @@ def norms(chunks: DataFrame, frequencies: DataFrame, n: int, kind: str) -> DataF
 
 @dataclass
 class Index:
-    """A collection ready for search: its distinct chunks, their number, and the terms' chunk counts, all written once."""
+    """A collection ready for search, written once: its distinct chunks with the lengths of their vectors, their number, and the terms' chunk counts."""
 
     chunks: DataFrame
     frequencies: DataFrame
@@ -130,16 +131,53 @@ class Index:
     kinds: tuple[str, ...]
 
 
-def build_index(chunks: DataFrame, kinds: tuple[str, ...] = ("word", "character")) -> Index:
+NORMS = ("word_norm", "character_norm")
+
+
+def _held_norms(chunks: DataFrame, frequencies: DataFrame, n: int, kinds: tuple[str, ...]) -> DataFrame:
+    terms = with_idf(frequencies, n).select("kind", "term", "idf").toArrow()
+    statistics: dict[str, dict[str, float]] = {kind: {} for kind in kinds}
+    for kind, term, idf in zip(*(c.to_pylist() for c in terms.columns)):
+        statistics[kind][term] = idf
+    held = chunks.sparkSession.sparkContext.broadcast(statistics)
+    names = ["chunk_id", "doc_id", "ordinal", "source", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(4).to_pylist()
+            lengths = []
+            for kind in ANALYZERS:
+                idf = held.value.get(kind)
+                lengths.append(pa.array([np.sqrt(sum((c * idf[t]) ** 2 for t, c in Counter(ANALYZERS[kind](x)).items())) if idf else 0.0 for x in texts], pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *lengths], [*names, *NORMS])
+
+    schema = ", ".join(f"{c} {t}" for c, t in chunks.select(*names).dtypes)
+    return spread(chunks.select(*names)).mapInArrow(run, f"{schema}, word_norm double, character_norm double")
+
+
+def _joined_norms(chunks: DataFrame, frequencies: DataFrame, n: int, kinds: tuple[str, ...]) -> DataFrame:
+    out = chunks
+    for kind, name in zip(ANALYZERS, NORMS):
+        if kind in kinds:
+            out = out.join(norms(chunks, frequencies.where(F.col("kind") == kind), n, kind).withColumnRenamed("norm", name), "chunk_id", "left").withColumn(name, F.coalesce(name, F.lit(0.0)))
+        else:
+            out = out.withColumn(name, F.lit(0.0))
+    return out.select("chunk_id", "doc_id", "ordinal", "source", "text", *NORMS)
+
+
+def build_index(chunks: DataFrame, kinds: tuple[str, ...] = ("word", "character"), held_terms: int = HELD_TERMS) -> Index:
     once = stored(distinct_chunks(chunks))
-    return Index(once, stored(document_frequencies(once, kinds)), once.count(), kinds)
+    frequencies = stored(document_frequencies(once, kinds))
+    n = once.count()
+    measure = _held_norms if frequencies.count() <= held_terms else _joined_norms
+    return Index(stored(measure(once, frequencies, n, kinds)), frequencies, n, kinds)
 
 
 def _vectors(questions: list[tuple], idf: dict[str, float], analyze) -> list[tuple[np.ndarray, list[str]]]:
     """Unit vectors of the questions: values and terms."""
     out = []
     for _, text in questions:
-        found = {t: c * idf[t] for t, c in Counter(analyze(text or "")).items() if t in idf}
+        found = {t: c * idf[t] for t, c in Counter(analyze(text)).items() if t in idf}
         values = np.fromiter(found.values(), float, len(found))
         length = np.sqrt((values**2).sum())
         out.append((values / length if length else values, list(found)))
@@ -149,16 +187,17 @@ def _vectors(questions: list[tuple], idf: dict[str, float], analyze) -> list[tup
 class _Side:
     """The questions' vectors of one analyzer, by blocks, and the chunks' vectors on the same terms."""
 
-    def __init__(self, questions, idf, analyze):
-        self.idf, self.analyze = idf, analyze
+    def __init__(self, questions, idf, analyze, block: int):
+        self.analyze = analyze
         vectors = _vectors(questions, idf, analyze)
         self.number: dict[str, int] = {}
         for _, terms in vectors:
             for t in terms:
                 self.number.setdefault(t, len(self.number))
+        self.idf = np.array([idf[t] for t in self.number])
         self.blocks = []
-        for first in range(0, len(vectors), QUESTION_BLOCK):
-            part = vectors[first : first + QUESTION_BLOCK]
+        for first in range(0, len(vectors), block):
+            part = vectors[first : first + block]
             used = sorted({self.number[t] for _, terms in part for t in terms})
             local = {g: i for i, g in enumerate(used)}
             matrix = np.zeros((len(used), len(part)))
@@ -166,20 +205,18 @@ class _Side:
                 matrix[[local[self.number[t]] for t in terms], j] = values
             self.blocks.append((np.array(used, np.int64), matrix))
 
-    def chunk_matrix(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chunk_matrix(self, texts: list[str], lengths: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term number and weight of each of the questions' terms in each chunk."""
+        get = self.number.get
         rows, columns, values = [], [], []
-        idf, number = self.idf, self.number
-        for i, text in enumerate(texts):
-            found = Counter(self.analyze(text))
-            weights = [c * idf[t] for t, c in found.items()]
-            length = float(np.sqrt(np.square(weights).sum())) if weights else 0.0
-            for (t, _), w in zip(found.items(), weights):
-                at = number.get(t)
-                if at is not None:
-                    rows.append(i)
-                    columns.append(at)
-                    values.append(w / length)
-        return np.array(rows, np.int64), np.array(columns, np.int64), np.array(values)
+        for i, (text, length) in enumerate(zip(texts, lengths)):
+            found = Counter(n for n in map(get, self.analyze(text)) if n is not None)
+            rows.append(np.full(len(found), i))
+            at = np.fromiter(found, np.int64, len(found))
+            columns.append(at)
+            values.append(np.fromiter(found.values(), float, len(found)) * self.idf[at] / (length or 1.0))
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *rows]), np.concatenate([none, *columns]), np.concatenate([none.astype(float), *values])
 
 
 def _score(held, k: int, weights: tuple[float, float]):
@@ -194,7 +231,7 @@ def _score(held, k: int, weights: tuple[float, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions, statistics = held.value
         ids = [q[0] for q in questions]
-        sides = [(w, _Side(questions, statistics[kind], ANALYZERS[kind])) if w and kind in statistics else None for w, kind in zip(weights, ("word", "character"))]
+        sides = [(w, _Side(questions, statistics[kind], ANALYZERS[kind], QUESTION_BLOCK)) if w and kind in statistics else None for w, kind in zip(weights, ("word", "character"))]
         bound = np.full(len(ids), -1.0)
         for batch in batches:
             table = [c.to_pylist() for c in batch.columns]
@@ -202,7 +239,7 @@ def _score(held, k: int, weights: tuple[float, float]):
             for first in range(0, len(order), CHUNK_BLOCK):
                 block = order[first : first + CHUNK_BLOCK]
                 texts = [table[3][i] for i in block]
-                sparse = [s and s[1].chunk_matrix(texts) for s in sides]
+                sparse = [s and s[1].chunk_matrix(texts, [table[column][i] for i in block]) for s, column in zip(sides, (4, 5))]
                 out = [[], [], [], [], []]
                 for number in range(-(-len(ids) // QUESTION_BLOCK)):
                     base = number * QUESTION_BLOCK
@@ -249,41 +286,27 @@ def _last(value):
 CANDIDATES = "query_id bigint, chunk_id string, doc_id bigint, ordinal int, score double, word_score double, character_score double"
 
 
-def _matrix_candidates(questions: DataFrame, index: Index, k: int, weights: tuple[float, float]) -> DataFrame:
+def _candidates(questions: DataFrame, index: Index, k: int, weights: tuple[float, float]) -> DataFrame:
     spark = questions.sparkSession
-    terms = with_idf(index.frequencies, index.n).select("kind", "term", "idf").toArrow()
-    statistics: dict[str, dict[str, float]] = {kind: {} for kind in index.kinds}
-    for kind, term, idf in zip(*(c.to_pylist() for c in terms.columns)):
-        statistics[kind][term] = idf
     passes = -(-questions.count() // AT_ONCE)
     out = None
     for number in range(passes):
         part = questions if passes == 1 else questions.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == number)
-        asked = sorted((r["query_id"], r["question"]) for r in part.select("query_id", F.coalesce("question", F.lit("")).alias("question")).collect())
+        part = part.select("query_id", F.coalesce("question", F.lit("")).alias("question"))
+        asked = sorted((r["query_id"], r["question"]) for r in part.collect())
+        # of the vocabulary, only the terms of these questions
+        own = term_counts(part.withColumnRenamed("question", "text"), "query_id", index.kinds).select("kind", "term").distinct()
+        terms = with_idf(own.join(index.frequencies, ["kind", "term"]), index.n).select("kind", "term", "idf").toArrow()
+        statistics: dict[str, dict[str, float]] = {kind: {} for kind in index.kinds}
+        for kind, term, idf in zip(*(c.to_pylist() for c in terms.columns)):
+            statistics[kind][term] = idf
         held = spark.sparkContext.broadcast((asked, statistics))
-        found = spread(index.chunks.select("chunk_id", F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text")).mapInArrow(_score(held, k, weights), CANDIDATES)
+        rows = spread(index.chunks.select("chunk_id", F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text", *NORMS))
+        found = rows.mapInArrow(_score(held, k, weights), CANDIDATES)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], CANDIDATES)
 
 
-def _relational_candidates(questions: DataFrame, index: Index, weights: tuple[float, float]) -> DataFrame:
-    """Scores of all chunks that share a term with a question, and of as many others as could be results at score 0."""
-    scores = []
-    for kind in index.kinds:
-        idf = with_idf(index.frequencies.where(F.col("kind") == kind), index.n)
-        postings = term_counts(index.chunks, "chunk_id", (kind,)).join(idf, ["kind", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-        length = postings.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("length"))
-        asked = term_counts(questions.select("query_id", F.col("question").alias("text")), "query_id", (kind,)).join(idf, ["kind", "term"]).withColumn("q", F.col("tf") * F.col("idf")).select("query_id", "term", "q")
-        asked_length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("q") ** 2)).alias("asked_length"))
-        product = postings.select("chunk_id", "term", "w").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("w") * F.col("q")).alias("dot"))
-        scores.append(product.join(length, "chunk_id").join(asked_length, "query_id").select("query_id", "chunk_id", F.lit(kind).alias("kind"), (F.col("dot") / F.col("length") / F.col("asked_length")).alias("s")))
-    every = scores[0] if len(scores) == 1 else scores[0].unionByName(scores[1])
-    value = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("s"))), F.lit(0.0))
-    joined = every.groupBy("query_id", "chunk_id").agg(value("word").alias("word_score"), value("character").alias("character_score"))
-    positive = joined.join(index.chunks.select("chunk_id", F.col("doc_id").cast("long").alias("doc_id"), F.col("ordinal").cast("int").alias("ordinal")), "chunk_id")
-    return positive.select("query_id", "chunk_id", "doc_id", "ordinal", F.round(weights[0] * F.col("word_score") + weights[1] * F.col("character_score"), DECIMALS).alias("score"), "word_score", "character_score")
-
-
 def diversity_rank(candidates: DataFrame, k: int, penalty: float, cap) -> DataFrame:
     """``candidates`` with ``rank``: greedy picking where each earlier pick of a document costs its others ``penalty``.
 
@@ -302,13 +325,12 @@ def diversity_rank(candidates: DataFrame, k: int, penalty: float, cap) -> DataFr
     return ranked.where(F.col("rank") <= F.least(F.lit(k), cap)).drop("__j", "__worth")
 
 
-def hybrid_search(questions: DataFrame, index: Index, k: int = 5, diversity_penalty: float = 0.08, weights: Weights | None = None, half_cap: bool = True, held_terms: int = HELD_TERMS) -> DataFrame:
+def hybrid_search(questions: DataFrame, index: Index, k: int = 5, diversity_penalty: float = 0.08, weights: Weights | None = None, half_cap: bool = True) -> DataFrame:
     """The best chunks of each question: ``query_id``, ``rank``, ``score``, ``word_score``, ``character_score``, ``chunk_id``, ``doc_id``, ``source``, ``text``.
 
     ``questions``: unique ``query_id``, ``question`` (null as empty). A question
     gets min(k, ceil(n / 2)) results of a collection of n chunks, or min(k, n)
-    without ``half_cap``. Chunks of score 0 fill up where fewer score, but not
-    beyond ``held_terms`` terms, where the scoring is relational. An empty
+    without ``half_cap``. Chunks of score 0 fill up where fewer score. An empty
     collection gives no rows.
     """
     if k < 1:
@@ -316,10 +338,7 @@ def hybrid_search(questions: DataFrame, index: Index, k: int = 5, diversity_pena
     if diversity_penalty < 0:
         raise ValueError("diversity_penalty cannot be negative")
     scaled = (weights or Weights()).scaled()
-    if index.frequencies.count() <= held_terms:
-        candidates = _matrix_candidates(questions, index, k, scaled)
-    else:
-        candidates = _relational_candidates(questions, index, scaled)
+    candidates = _candidates(questions, index, k, scaled)
     cap = -(-index.n // 2) if half_cap else index.n
     ranked = diversity_rank(candidates, k, diversity_penalty, F.lit(cap))
     texts = index.chunks.select("chunk_id", "source", "text")
