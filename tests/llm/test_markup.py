@@ -48,6 +48,20 @@ def test_blocks():
     assert classify(["Alone"], COMMON) == ["content"]
 
 
+def test_linked_structure_is_kept():
+    prose = "It is the custom of the house that the letters are read in the morning and that the answers are written by noon, as it was in the days of the founder and is to this day, for that is how it is done in the house and at the gate of it."
+    text, kinds, dropped = clean(f"{prose}\n\n* [[first page]]\n* [[second page]]\n* [[third page]]", COMMON)
+    assert kinds == ["wiki"] and dropped == 0 and text == f"{prose}\n\n* first page\n* second page\n* third page"
+    source = f"== [[Linked head]] ==\n\n[[only linked words]]\n\n* [[a list]]\n* [[by links]]\n\n{prose}\n\n[t](http://x.example) | [u](http://y.example)\n--- | ---\n[v](http://x.example) | [w](http://y.example)\n\n```\nwget https://a.example/long/path/of/a/file.txt\n```"
+    text, _, dropped = clean(source, COMMON)
+    assert dropped == 1 and text == f"## Linked head\n\n* a list\n* by links\n\n{prose}\n\nt | u\n\nv | w\n\n    wget https://a.example/long/path/of/a/file.txt"
+    menu = "<nav><h2>Menu</h2><ul><li><a href='/'>Home</a></li><li><a href='/us'>About us</a></li></ul></nav>"
+    bar = "<a href='/'>Home</a> | <a href='/us'>About us</a> | <a href='/c'>Contact</a>"
+    text, _, dropped = clean(f"{menu}<p>{prose}</p><p>{bar}</p>", COMMON)
+    assert text == prose and dropped > 1
+    assert classify(["# Head", "- a plain item\n- another", "\ue010Home\ue011 \ue010About us\ue011"], COMMON) == ["content", "content", "rest"]
+
+
 def test_documents(frame, common, spark):
     texts = ["**x**", None, "", "plain", "<b>" + "word " * 50_000 + "</b>", "**x**"]
     got = {r["doc_id"]: r for r in clean_documents(frame(texts), common).collect()}

@@ -3,8 +3,9 @@
 Each language's marks are recognised by their syntax and replaced by the plain
 form of what they mean: headings, lists, code, tables and formulas stay, in one
 notation. Then two-pass block rules decide what is content: stop-word density,
-length and link density classify the blocks, and short blocks in between inherit
-the label of their nearest decided neighbours.
+length and link density classify the blocks of text, and short ones in between
+inherit the label of their nearest decided neighbours. Headings, lists, code and
+tables are content however many links they hold.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ _ELEMENTS = (
 )
 _TAG = re.compile(r"<(/?)(" + "|".join(_ELEMENTS.split()) + r")(?=[\s/>])((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>", re.I)
 _COMMENT = re.compile(r"<!--.*?-->|<!doctype\b[^<>]*>|<!\[CDATA\[.*?\]\]>|<\?xml\b[^<>]*\?>", re.S | re.I)
+_NAV_PART = re.compile(r"</?(?:li|ul|ol|h[1-6]|table|tr|t[dh])\b[^<>]*>", re.I)
 _ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 
 _FENCE = re.compile(r"^[ \t]{0,3}(```+|~~~+)[^\n`]*\n(.*?)(?:^[ \t]{0,3}\1[`~]*[ \t]*$|\Z)", re.M | re.S)
@@ -109,6 +111,7 @@ def _from_html(t: _Text) -> None:
             t.kinds.add("html")
             t.text = re.sub(r"<(script|style)\b[^<>]*>.*?</\1\s*>", " ", t.text, flags=re.S | re.I)
             t.text = re.sub(r"<pre\b[^<>]*>(.*?)</pre\s*>", lambda m: t.hold(_code(html.unescape(_TAG.sub("", m[1])))), t.text, flags=re.S | re.I)
+            t.text = re.sub(r"<nav\b[^<>]*>(.*?)</nav\s*>", lambda m: "\n\n" + _NAV_PART.sub("\n", m[1]) + "\n\n", t.text, flags=re.S | re.I)
             t.text = re.sub(r"<h([1-6])\b[^<>]*>(.*?)</h\1\s*>", lambda m: f"\n\n{_HEAD * int(m[1])} {m[2]}\n\n" if m[2].strip() else " ", t.text, flags=re.S | re.I)
             t.text = re.sub(r"<a\b[^<>]*?>(.*?)</a\s*>", "\ue010\\1\ue011", t.text, flags=re.S | re.I)
             t.text = re.sub(r"<title\b[^<>]*>.*?</title\s*>", " ", t.text, flags=re.S | re.I)
@@ -253,6 +256,8 @@ def convert(text: str) -> tuple[str, list[str]]:
 STOP_LOW, STOP_HIGH, LINK_HIGH, SHORT, LONG = 0.15, 0.28, 0.3, 70, 200
 _ITEM = re.compile(r"\s*(?:[-*+•–·]|\(?\d{1,3}[.)])\s")
 _WORD = re.compile(r"[^\W\d_]+")
+_URL = r"(?:https?://|www\.)\S+"
+_BAR = re.compile(rf"[\s|]*(?:\ue010[^\ue010\ue011]*\ue011|{_URL})(?:[^\S\n]*\|[^\S\n]*(?:\ue010[^\ue010\ue011]*\ue011|{_URL}))+[\s|]*")
 
 
 def _kind(block: str) -> str:
@@ -271,17 +276,21 @@ def _kind(block: str) -> str:
 def classify(blocks: list[str], common: frozenset[str]) -> list[str]:
     """``content`` or ``rest`` for each block."""
     labels: list[str] = []
-    for block in blocks:
+    kinds = [_kind(block) for block in blocks]
+    for i, (block, kind) in enumerate(zip(blocks, kinds)):
         size = max(1, len(block))
-        linked = sum(len(x) for x in re.findall("\ue010([^\ue011]*)\ue011", block)) + sum(map(len, re.findall(r"(?:https?://|www\.)\S+", block)))
+        linked = sum(len(x) for x in re.findall("\ue010([^\ue011]*)\ue011", block)) + sum(map(len, re.findall(_URL, block)))
         words = _WORD.findall(block.lower())
         stop = sum(w in common for w in words) / max(1, len(words))
-        kind = _kind(block)
-        if linked / size > LINK_HIGH and stop < STOP_HIGH:
-            labels.append("rest")
-        elif kind in ("code", "table"):
+        # one line of links between bars is navigation, unless it is the head or the only row of a table in two blocks
+        bar = kind == "table" and "table" not in (*kinds[max(0, i - 1) : i], *kinds[i + 1 : i + 2]) and _BAR.fullmatch(block)
+        if kind in ("code", "table") and not bar:
             labels.append("content")
-        elif size < SHORT or kind in ("heading", "list"):
+        elif kind in ("heading", "list"):
+            labels.append("kept")
+        elif linked / size > LINK_HIGH and stop < STOP_HIGH:
+            labels.append("rest")
+        elif size < SHORT:
             labels.append("short")
         elif stop >= STOP_HIGH:
             labels.append("content" if size > LONG else "near")
@@ -291,8 +300,8 @@ def classify(blocks: list[str], common: frozenset[str]) -> list[str]:
     decided = [i for i, x in enumerate(labels) if x in ("content", "rest")]
     out = []
     for i, label in enumerate(labels):
-        if label in ("content", "rest"):
-            out.append(label)
+        if label in ("content", "rest", "kept"):
+            out.append("content" if label == "kept" else label)
             continue
         before = max((d for d in decided if d < i), default=None)
         after = min((d for d in decided if d > i), default=None)
@@ -321,8 +330,11 @@ def clean_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
     it is. Null texts stay null, with no markup; rows without an id stay; of
     repeated ids each row stays. Headings come out as ``#`` lines, lists as
     ``-`` lines, code indented by four, table rows as cells parted by ``|``,
-    formulas in their own notation. Blocks that consist of links alone are
-    dropped. Further columns are ignored; an empty table gives an empty result.
+    formulas in their own notation; all of these are kept, with links or without.
+    Dropped are other blocks that consist mainly of links: paragraphs, single
+    lines of links between bars, and what stands in ``nav`` elements; and short
+    paragraphs with no nearer content than these. Further columns are ignored;
+    an empty table gives an empty result.
     No shuffle.
     """
     listed = [r["word"] for r in words.select("word").where("word is not null").distinct().limit(10_001).collect()]
