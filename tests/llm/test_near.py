@@ -2,6 +2,8 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from veritrove.llm import near as N
@@ -84,6 +86,27 @@ def test_runs():
     assert all(len(set(p)) == 3 for p in N.paths(5, 3)) and len(N.paths(5, 3)) == 20
 
 
+def test_pairs_at_the_threshold_meet_at_the_depth_of_a_million_documents():
+    pick, pairs_made, depth = random.Random(11), 6000, N.depth_for(1_000_000)
+    texts = []
+    for _ in range(pairs_made):
+        words = [f"w{pick.getrandbits(40)}" for _ in range(50)]
+        texts += [" ".join(words[:40]), " ".join(words[:30] + words[40:])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    keys = np.concatenate([np.array(b.column(4).to_pylist()) for b in N._describe(1, N.runs_for(0.6, depth), depth, False)([batch])])
+    # 3 are expected to be lost; runs that share coordinates lose 40
+    assert (~(keys[::2] == keys[1::2]).any(1)).sum() <= 12
+
+
+def test_whole_runs():
+    for similarity, depth in itertools.product((0.5, 0.6, 0.8, 0.95), (2, 3, 4, 5)):
+        runs = N.whole_runs(similarity, depth)
+        assert runs >= N.runs_for(similarity, depth) and N.recall_of(similarity, runs, depth) >= N.RECALL
+    assert N.whole_runs(1.0, 3) == 1 and N.whole_runs(0.6, 3) == 10
+    used = [c for run in range(4) for c in {c for path in N.paths(4, 3)[run * 4 : run * 4 + 4] for c in path}]
+    assert len(used) == len(set(used)) == 40 and min(used) == N.SIGNATURE
+
+
 def test_sets():
     texts = ["A b c d", "a B c, D!", "", None, "a b", "x" * 300_000 + " b c", "ß_é ½ 日本"]
     found = shingle_sets(texts, 3)

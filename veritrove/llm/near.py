@@ -1,12 +1,13 @@
 """Pairs of documents with nearly the same content.
 
 Method: chosen-path join. Each document is the set of its word runs, embedded
-in a vector of MinHash values. One run of the join is a tree of splits: at every
-node a few coordinates are sampled, and each member goes down to the child that
-its value at the coordinate names, so that only documents with a shared token
-stay together. Small buckets are compared by brute force on sketches, large ones
-are split again, and runs repeat until the target recall. What is left is
-compared exactly.
+in a vector of MinHash values. One run of the join is a tree of splits: every
+node has a few coordinates, and each member goes down to the child that its
+value at the coordinate names, so that only documents with a shared token stay
+together. No two nodes of all runs have a coordinate in common, so that a pair's
+chances are independent of each other. Small buckets are compared by brute force
+on sketches, large ones are split again, and runs repeat until the target
+recall. What is left is compared exactly.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +26,10 @@ from veritrove.llm.shingles import SIGNATURE, mixed, shingle_sets, signatures
 from veritrove.plans.durable import stored
 from veritrove.plans.parallel import spread
 
-#: Chance that a pair just at the similarity threshold is found.
-RECALL = 0.9995
+#: Chance that a pair just at the similarity threshold is found; of the losses, the share that the sketches may have.
+RECALL, SKETCHED = 0.9995, 0.25
+#: MinHash values that are held at once while leaf keys are made.
+HELD = 2_000_000
 #: Buckets up to this size are compared by brute force; children of a node of a larger bucket.
 SMALL, CHILDREN = 1024, 4
 #: Times that a large bucket is split again; beyond, its members share nearly all tokens and are compared in blocks.
@@ -48,25 +52,63 @@ def runs_for(similarity: float, depth: int, recall: float = RECALL) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - alive))
 
 
+def _upto(most: int, trials: int, p: float) -> float:
+    """Chance of at most ``most`` successes."""
+    return sum(math.comb(trials, k) * p**k * (1 - p) ** (trials - k) for k in range(min(most, trials) + 1))
+
+
+def least_agreement(similarity: float) -> int:
+    """Two-bit sketch fields that a pair at the threshold shares but for a chance of ``SKETCHED`` of the losses."""
+    p = similarity + (1 - similarity) / 4
+    return next(n for n in range(SIGNATURE, -1, -1) if _upto(n - 1, SIGNATURE, p) <= (1 - RECALL) * SKETCHED)
+
+
+def recall_of(similarity: float, runs: int, depth: int) -> float:
+    """Chance that a pair at the threshold meets in a leaf and its sketches agree, though all its leaves are split again ``LEVELS`` times.
+
+    Sketches and further splits read the same ``SIGNATURE`` values; the sum is over how many of these agree.
+    """
+    least, found = least_agreement(similarity), 0.0
+    for same in range(SIGNATURE + 1):
+        alive = 1.0
+        for _ in range(LEVELS):
+            alive = 1 - (1 - same / SIGNATURE * alive) ** CHILDREN
+        alive *= similarity
+        for _ in range(depth - 1):
+            alive = 1 - (1 - similarity * alive) ** 2
+        passed = 1 - _upto(least - same - 1, SIGNATURE - same, 0.25)
+        found += math.comb(SIGNATURE, same) * similarity**same * (1 - similarity) ** (SIGNATURE - same) * passed * (1 - (1 - alive) ** runs)
+    return found
+
+
+def whole_runs(similarity: float, depth: int) -> int:
+    """Runs for ``RECALL`` with sketches and further splits.
+
+    At most twice ``runs_for``, which is enough down to a similarity of 0.4. Below, pairs whose leaves are all split again
+    may be lost more often.
+    """
+    runs = most = 1
+    if similarity < 1:
+        runs = runs_for(similarity, depth)
+        most = 2 * runs
+    while runs < most and recall_of(similarity, runs, depth) < RECALL:
+        runs += 1
+    return runs
+
+
 @lru_cache(maxsize=8)
 def paths(runs: int, depth: int) -> tuple[tuple[int, ...], ...]:
-    """The coordinates on the way to each leaf; leaves of a run share those of their common nodes."""
-    random = np.random.default_rng(7)
+    """The coordinates on the way to each leaf; leaves of a run share those of their common nodes, and no others are shared."""
+    fresh = count(SIGNATURE)  # those before are the sketches' and further splits'
     out: list[tuple[int, ...]] = []
     for _ in range(runs):
         level: list[tuple[int, ...]] = [()]
         for at in range(depth):
-            level = [(*node, c) for node in level for c in random.choice([c for c in range(SIGNATURE) if c not in node], 1 if at == depth - 1 else 2, replace=False).tolist()]
+            level = [(*node, next(fresh)) for node in level for _ in range(1 if at == depth - 1 else 2)]
         out += level
     return tuple(out)
 
 
-def least_agreement(similarity: float) -> int:
-    """Two-bit sketch fields that a pair at the threshold shares, less 3.7 standard deviations."""
-    p = similarity + (1 - similarity) / 4
-    return math.floor(SIGNATURE * p - 3.7 * math.sqrt(SIGNATURE * p * (1 - p)))
-
-
 def _sketches(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = (mixed(values) >> np.uint64(20)) & np.uint64(3)
     shifts = np.arange(0, 64, 2, dtype=np.uint64)
@@ -89,27 +131,32 @@ def _describe(words: int, runs: int, depth: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        leaves = () if whole else paths(runs, depth)
+        values_each = max((c for path in leaves for c in path), default=SIGNATURE - 1) + 1
+        step = max(1, HELD // values_each)
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
-            there = [i for i, s in enumerate(sets) if len(s)]
-            sets = [sets[i] for i in there]
-            values = signatures(sets)
-            if whole:
-                lists = values
-            else:
-                lists = np.empty((len(sets), len(leaves := paths(runs, depth))), np.uint64)
-                with np.errstate(over="ignore"):
-                    for at, path in enumerate(leaves):
-                        key = np.full(len(sets), at, np.uint64)
-                        for c in path:
-                            key = mixed(key * np.uint64(5) + values[:, c])
-                        lists[:, at] = key
-            low, high = _sketches(values)
-            offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * lists.shape[1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(there, pa.int64())), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _longs(low), _longs(high), pa.ListArray.from_arrays(offsets, _longs(lists.ravel()))],
-                ["doc_id", "digest", "low", "high", "list"],
-            )
+            every = shingle_sets(batch.column(1).to_pylist(), words)
+            held = [i for i, s in enumerate(every) if len(s)]
+            for begin in range(0, len(held), step):
+                there = held[begin : begin + step]
+                sets = [every[i] for i in there]
+                values = signatures(sets, values_each)
+                if whole:
+                    lists = values
+                else:
+                    lists = np.empty((len(sets), len(leaves)), np.uint64)
+                    with np.errstate(over="ignore"):
+                        for at, path in enumerate(leaves):
+                            key = np.full(len(sets), at, np.uint64)
+                            for c in path:
+                                key = mixed(key * np.uint64(5) + values[:, c])
+                            lists[:, at] = key
+                low, high = _sketches(values[:, :SIGNATURE])
+                offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * lists.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(there, pa.int64())), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), _longs(low), _longs(high), pa.ListArray.from_arrays(offsets, _longs(lists.ravel()))],
+                    ["doc_id", "digest", "low", "high", "list"],
+                )
 
     return run
 
@@ -185,16 +232,17 @@ def _buckets(members: DataFrame, least: int, small: int) -> DataFrame:
 
 
 def _children(level: int):
-    """Keys of the children that each member of a large bucket goes to; the coordinates depend on the node."""
+    """Keys of the children that each member of a large bucket goes to; the coordinates depend on the node, and its children's differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, doc, low, high = (batch.column(i).to_numpy().view(np.uint64) for i in range(4))
             values = batch.column(4).flatten().to_numpy().view(np.uint64).reshape(len(key), SIGNATURE)
+            first = (mixed(key * np.uint64(9) + np.uint64(level)) % np.uint64(SIGNATURE)).astype(np.int64)
             for child in range(CHILDREN):
                 with np.errstate(over="ignore"):
                     node = mixed(key * np.uint64(9) + np.uint64(level * CHILDREN + child))
-                    down = mixed(node + values[np.arange(len(key)), (node % np.uint64(SIGNATURE)).astype(np.int64)])
+                    down = mixed(node + values[np.arange(len(key)), (first + child * (SIGNATURE // CHILDREN)) % SIGNATURE])
                 yield pa.RecordBatch.from_arrays([_longs(down), _longs(doc), _longs(low), _longs(high)], ["key", "doc_id", "low", "high"])
 
     return run
@@ -252,7 +300,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     """
     whole = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     depth = depth_for(whole.count())
-    described = stored(whole.mapInArrow(_describe(words, runs_for(similarity, depth), depth, False), DESCRIBED))
+    described = stored(whole.mapInArrow(_describe(words, whole_runs(similarity, depth), depth, False), DESCRIBED))
     members = described.select("digest", "doc_id")
     first = members.groupBy("digest").agg(F.min("doc_id").alias("representative"))
     ones = described.join(first.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -19,10 +19,10 @@ def _alphanumeric() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
 
 
-@lru_cache(maxsize=1)
-def _coefficients() -> tuple[np.ndarray, np.ndarray]:
-    random = np.random.default_rng(20240229)
-    return random.integers(0, 1 << 63, SIGNATURE, np.uint64) * np.uint64(2) + np.uint64(1), random.integers(0, 1 << 63, SIGNATURE, np.uint64)
+@lru_cache(maxsize=2)
+def _coefficients(count: int) -> tuple[np.ndarray, np.ndarray]:
+    multiply, add = np.random.default_rng(20240229).integers(0, 1 << 63, (count, 2), np.uint64).T
+    return multiply * np.uint64(2) + np.uint64(1), add.copy()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,12 +86,12 @@ def _sets(clean: list[str], words: int) -> list[np.ndarray]:
     return [np.unique(runs[a : max(a, b - words + 1)]) for a, b in zip(limits[:-1].tolist(), limits[1:].tolist())]
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """MinHash values, one row per set; every set must hold something."""
-    out = np.empty((len(sets), SIGNATURE), np.uint64)
+def signatures(sets: list[np.ndarray], count: int = SIGNATURE) -> np.ndarray:
+    """``count`` MinHash values, one row per set; every set must hold something. Fewer values are the first of more."""
+    out = np.empty((len(sets), count), np.uint64)
     if not sets:
         return out
-    multiply, add = _coefficients()
+    multiply, add = _coefficients(count)
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     values = np.concatenate(sets)
     # cache-sized parts, cut between sets
@@ -102,7 +102,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         last = max(first + 1, int(np.searchsorted(ends, base + 30_000, "right")))
         part, offsets = values[base : ends[last - 1]], ends[first:last] - sizes[first:last] - base
         with np.errstate(over="ignore"):
-            for k in range(SIGNATURE):
+            for k in range(count):
                 out[first:last, k] = np.minimum.reduceat((part * multiply[k] + add[k]) >> np.uint64(32), offsets)
         first = last
     return out
