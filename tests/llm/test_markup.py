@@ -28,6 +28,12 @@ def test_markup(kind, text):
     assert convert(f"Some prose before.\n\n{text}\n\nSome after.")[1] == [kind]
 
 
+def test_markup_of_dashes_only():
+    assert convert("Title\n-----") == ("\n\n# Title\n\n", ["markdown"])
+    assert clean("Title\r\n-----\r\nSome prose after.", COMMON) == ("# Title\n\nSome prose after.", ["markdown"], 0)
+    assert convert("-----") == ("-----", []) and convert("a --- b\n--") == ("a --- b\n--", [])
+
+
 def test_structure_is_kept():
     source = "<h1>Head</h1><p>One &amp; two</p><ul><li>a</li><li>b</li></ul><pre><code>x &lt; 1\n  y</code></pre><table><tr><td>1</td><td>2</td></tr>\n<tr><td>3</td><td>4</td></tr></table>"
     text, kinds, dropped = clean(source, COMMON)

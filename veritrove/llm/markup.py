@@ -238,7 +238,7 @@ def _from_markdown(t: _Text) -> None:
 
 def convert(text: str) -> tuple[str, list[str]]:
     """Plain text with links between U+E010 and U+E011, and the markup languages found, in order of ``LANGUAGES``."""
-    if not any(c in text for c in "<&\\`*_[{|='#~$>"):
+    if not any(c in text for c in "<&\\`*_[{|='#~$>") and "---" not in text:
         return text, []
     t = _Text(text.replace("\r\n", "\n").replace("\r", "\n"))
     # code first, as it may hold any other mark; HTML's own code is taken with its tags
