@@ -34,6 +34,15 @@ def test_markup_of_dashes_only():
     assert convert("-----") == ("-----", []) and convert("a --- b\n--") == ("a --- b\n--", [])
 
 
+def test_long_and_triple_marks():
+    long = "the letters are read\nin the morning " * 40 + "end"
+    for mark in ("***", "___", "**", "__", "*", "_", "~~"):
+        assert convert(f"a {mark}{long}{mark} b") == (f"a {long} b", ["markdown"])
+        assert convert(f"{mark}x{mark}") == ("x", ["markdown"])
+        assert convert(f"a {mark}b c\n \nd e{mark} f")[1] == []
+    assert convert("*** and ___ and * * *")[1] == [] and convert("a***b***c ___")[1] == []
+
+
 def test_structure_is_kept():
     source = "<h1>Head</h1><p>One &amp; two</p><ul><li>a</li><li>b</li></ul><pre><code>x &lt; 1\n  y</code></pre><table><tr><td>1</td><td>2</td></tr>\n<tr><td>3</td><td>4</td></tr></table>"
     text, kinds, dropped = clean(source, COMMON)

@@ -42,9 +42,18 @@ _LINK = re.compile(r"\[([^\[\]]+)\]\(([^()\s]+)(?:\s+\"[^\"]*\")?\)")
 _REFERENCE = re.compile(r"\[([^\[\]\n]+)\]\[[\w .-]*\]")
 _FOOTNOTE = re.compile(r"\[\^[\w-]+\]:?")
 _DEFINITION = re.compile(r"^[ \t]{0,3}\[[^\[\]\n^]+\]:[ \t]+\S+[^\n]*$", re.M)
-_STRONG = re.compile(r"(?<![*\w])\*\*(?=[^\s*])([^*]{0,400}?[^\s*])\*\*(?![*\w])|(?<![_\w])__(?=[^\s_])([^_]{0,400}?[^\s_])__(?![_\w])")
-_EMPHASIS = re.compile(r"(?<![*\w\\/])\*(?=[^\s*])([^*]{0,400}?[^\s*])\*(?![*\w/])|(?<![_\w\\/])_(?=[^\s_])([^_]{0,400}?[^\s_])_(?![_\w/])")
-_STRIKE = re.compile(r"(?<![~\w])~~(?=[^\s~])([^~]{0,400}?[^\s~])~~(?![~\w])")
+
+
+def _marked(*forms: tuple[str, str, str, str]) -> re.Pattern:
+    """A span between two equal marks within a paragraph; each form has the mark, its character, and what may not stand before and after."""
+    # the span ends at the next mark character or with the paragraph, hence possessive
+    return re.compile("|".join(rf"(?<![{before}]){mark}(?=[^\s{c}])((?:[^{c}\n]++|\n(?![^\S\n]*(?:\n|\Z)))*+)(?<=[^\s{c}]){mark}(?![{after}])" for mark, c, before, after in forms))
+
+
+_TRIPLE = _marked((r"\*{3}", "*", r"*\w", r"*\w"), ("_{3}", "_", r"_\w", r"_\w"))
+_STRONG = _marked((r"\*{2}", "*", r"*\w", r"*\w"), ("__", "_", r"_\w", r"_\w"))
+_EMPHASIS = _marked((r"\*", "*", r"*\w\\/", r"*\w/"), ("_", "_", r"_\w\\/", r"_\w/"))
+_STRIKE = _marked(("~~", "~", r"~\w", r"~\w"))
 _ATX = re.compile(r"^[ ]{0,3}(#{1,6})[ \t]+(?=[^\n]*[^\W\d_])([^\n]*?)[ \t]*#*[ \t]*$", re.M)
 _SETEXT = re.compile(r"^([^\n]*[^\W_][^\n]*)\n[ ]{0,3}(={3,}|-{3,})[ \t]*$", re.M)
 _TASK = re.compile(r"^([ \t]*)[-*+][ \t]+\[[ xX]\][ \t]+", re.M)
@@ -230,6 +239,8 @@ def _from_markdown(t: _Text) -> None:
         t.swap(_QUOTE, "markdown", "")
     if "~~" in text:
         t.swap(_STRIKE, "markdown", r"\1")
+    if "***" in text or "___" in text:
+        t.swap(_TRIPLE, "markdown", lambda m: m[1] or m[2])
     if "**" in text or "__" in text:
         t.swap(_STRONG, "markdown", lambda m: m[1] or m[2])
     if "*" in text or "_" in text:
