@@ -39,6 +39,19 @@ def test_fields_may_change_places():
     assert same("name: a\nkind: b\n\nname: c\nkind: d", "kind: b\nname: a\n\nkind: d\nname: c")
 
 
+def test_fields_of_json_lines_and_of_single_records_may_change_places(frame):
+    assert same('{"a": 1, "b": "x y"}\n{"a": 2, "b": "z"}', '{"b":"X Y","a":1}\r\n\n{"b":"Z","a":2}\n')
+    assert same('{"a": 1, "b": 2}\n{"a": 3, "b": 4}', '[{"b": 2, "a": 1}, {"b": 4, "a": 3}]')
+    assert not same('{"a": 1, "b": 2}\n{"a": 3, "b": 4}', '{"b": 4, "a": 3}\n{"b": 2, "a": 1}')
+    assert not same('{"a": 1, "b": 2}\n{"a": 3, "b": 4}', '{"a": 2, "b": 1}\n{"a": 3, "b": 4}')
+    assert structure('{"a": 1}\nplain') is None and structure('{"a": 1}\n{"b"') is None and structure('{"a": 1}\n5') is None
+    assert same("name: a | kind: b", "kind: b | name: a") and not same("name: a | kind: b", "name: b | kind: a")
+    assert same("name: a\nkind: b\nsize: c", "size: c\nname: a\nkind: b") and not same("name: a\nkind: b", "name: b\nkind: a")
+    assert not same("step: a\nstep: b", "step: b\nstep: a") and not same("Note: a\nplain", "plain\nNote: a")
+    texts = ['{"a": "x", "b": "y"}\n{"a": "z", "b": "w"}', '{"b": "y", "a": "x"}\n{"b": "w", "a": "z"}', "name: a; kind: b", "kind: b; name: a", "id: p\nrole: q", "role: q\nid: p"]
+    assert groups(copies(frame(texts))) == {1: {2}, 3: {4}, 5: {6}}
+
+
 def test_both_relations_join_groups(frame):
     # 1 and 2 share fields, 3 has the letters of 2 but has lost its lines
     texts = ["a: x1 | b: y2 | c: z3", "b: y2 | a: x1 | c: z3", "b y2 a x1 c z3", "unrelated"]

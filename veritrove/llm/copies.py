@@ -84,12 +84,33 @@ class _Object:
         self.fields = fields
 
 
+_JSON = json.JSONDecoder(object_pairs_hook=_Object, parse_int=str, parse_float=str)
+_BLANK = re.compile(r"\s*")
+
+
+def _objects(text: str) -> list[_Object] | None:
+    """The JSON objects that follow one another in ``text``, one per line or not, if there is nothing else."""
+    found, at = [], 0
+    while at < len(text):
+        try:
+            value, at = _JSON.raw_decode(text, at)
+        except (ValueError, RecursionError):
+            return None
+        if not isinstance(value, _Object):
+            return None
+        found.append(value)
+        at = _BLANK.match(text, at).end()
+    return found
+
+
 def structure(text: str):
     """The records of ``text`` if it consists of named fields, else None.
 
-    JSON with an object in it; lines of two or more ``name: value`` fields;
-    blocks of such single fields that are parted by blank lines and share their
-    names; delimited rows under a header line. One title line may stand above.
+    JSON with an object in it; JSON objects one after another, as in JSON Lines;
+    lines of two or more ``name: value`` fields; one block of such single
+    fields, whose names differ, or several that are parted by blank lines and
+    share their names; delimited rows under a header line. One title line may
+    stand above lines and rows.
     """
     stripped = text.strip()
     if not stripped:
@@ -101,10 +122,12 @@ def structure(text: str):
             pass
         else:
             return _json(value) if "{" in stripped else None
+        if found := _objects(stripped):
+            return ("array", [_json(x) for x in found])
     lines = [x for x in text.splitlines() if x.strip()]
     if len(lines) == 1:
         found = _fields(lines[0])
-        return ("array", [("object", found)]) if found and len(found) > 2 else None
+        return ("array", [("object", found)]) if found else None
     for title in (0, 1):
         if len(lines) - title < 1 + (not title):
             continue
@@ -115,9 +138,10 @@ def structure(text: str):
         if len(lines) - title > 1 and (rows := _rows(lines[title:])):
             return ("array", [*lines[:title], ("table", ""), *(("object", r) for r in rows)])
     blocks = [b for b in re.split(r"\n[^\S\n]*(?:\n[^\S\n]*)+", text.replace("\r\n", "\n").strip()) if b.strip()]
-    if len(blocks) > 1 and ":" in lines[0]:
+    if ":" in lines[0]:
         records = [[m and (m[1], m[2]) for m in map(_NAME.fullmatch, b.splitlines())] for b in blocks]
-        if all(len(r) > 1 and all(r) for r in records) and len({tuple(sorted(letters(n) for n, _ in r)) for r in records}) == 1:
+        named = all(len(r) > 1 and all(r) for r in records)
+        if named and (len({tuple(sorted(letters(n) for n, _ in r)) for r in records}) == 1 if len(blocks) > 1 else len({letters(n) for n, _ in records[0]}) == len(records[0])):
             return ("array", [("object", r) for r in records])
     return None
 
