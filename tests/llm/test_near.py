@@ -63,6 +63,14 @@ def test_copies_and_edges(frame):
     assert (1, 3) in {(r["a"], r["b"]) for r in links.collect()}
 
 
+def test_rows_of_a_repeated_id_all_count(frame):
+    x, y = (" ".join(f"{letter}{i}" for i in range(40)) for letter in "xy")
+    near = [t.replace("5 ", "5other ", 1) for t in (x, y)]
+    got = N.near_pairs(frame([x, y, *near, x, None, near[0].upper()], [1, 1, 2, 3, 1, 2, 1]), 3, 0.6).collect()
+    # 1 stands with x twice and with y; its own near copy of x is no pair of 1 with itself
+    assert sorted(tuple(r) for r in got) == [(1, 2), (1, 2), (1, 3)]
+
+
 def test_large_buckets_are_split_and_lose_nothing(frame, monkeypatch):
     # all documents are alike, so no split can part them: levels, then blocks
     pick = random.Random(3)

@@ -291,7 +291,9 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     of each set, and ``members`` (``representative``, ``doc_id``) of all
     documents with at least one run. Documents with null, empty or shorter texts
     have no run and are in neither; rows without an id are left out; of a
-    repeated id each row counts. Further columns are ignored.
+    repeated id each row counts. If any id is repeated, representatives are
+    64-bit hashes of a row's id and text instead, as an id may then stand for
+    several sets. Further columns are ignored.
 
     Copies with the same set are one representative from the start, so a group
     of copies of any size costs one bucket entry. Only ids that a pair needs are
@@ -299,7 +301,17 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     ``BROADCAST_IDS`` ids and by a shuffle beyond.
     """
     whole = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    depth = depth_for(whole.count())
+    rows, ids = whole.agg(F.count(F.lit(1)), F.count_distinct("doc_id")).first()
+    if rows == ids:
+        return _links_and_members(whole, rows, words, similarity)
+    keyed = whole.withColumn("key", F.xxhash64("doc_id", "text"))
+    links, members = _links_and_members(keyed.select(F.col("key").alias("doc_id"), "text"), rows, words, similarity)
+    return links, members.withColumnRenamed("doc_id", "key").join(keyed.select("key", "doc_id").distinct(), "key").select("representative", "doc_id")
+
+
+def _links_and_members(whole: DataFrame, rows: int, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """As ``near_duplicates``; rows of an id have the same text."""
+    depth = depth_for(rows)
     described = stored(whole.mapInArrow(_describe(words, whole_runs(similarity, depth), depth, False), DESCRIBED))
     members = described.select("digest", "doc_id")
     first = members.groupBy("digest").agg(F.min("doc_id").alias("representative"))
@@ -323,9 +335,12 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
 
 
 def near_pairs(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """All pairs ``doc_a`` < ``doc_b`` of documents whose sets share at least ``similarity`` and less than 1 of their union."""
+    """All pairs ``doc_a`` < ``doc_b`` of documents whose sets share at least ``similarity`` and less than 1 of their union.
+
+    Rows of the same id are no pair.
+    """
     links, members = near_duplicates(documents, words, similarity)
     members = stored(members)
     x = members.select(F.col("representative").alias("a"), F.col("doc_id").alias("p"))
     y = members.select(F.col("representative").alias("b"), F.col("doc_id").alias("q"))
-    return stored(links).select("a", "b").join(x, "a").join(y, "b").select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
+    return stored(links).select("a", "b").join(x, "a").join(y, "b").where("p <> q").select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
