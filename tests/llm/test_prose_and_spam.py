@@ -1,10 +1,15 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from veritrove.llm.prose import NAMES, PROFILES, divergence, text_statistics
-from veritrove.llm.spam import FEATURES, models_of, spam_scores
+from veritrove.llm.markup import convert
+from veritrove.llm.prose import NAMES, PROFILES, Signs, divergence, text_statistics
+from veritrove.llm.samples import SPAM as SPAM_KINDS
+from veritrove.llm.samples import sample_pages
+from veritrove.llm.spam import FEATURES, Words, features, measured, models_of, spam_scores
 
 NOUNS = "report budget sensor ledger visitor index window crate permit shift upload auditor filter panel tenant memo".split()
 
@@ -68,6 +73,47 @@ def test_spam(spark, common):
     assert spam_scores(documents, common).count() == len([t for t in texts if t])
 
 
+def test_no_word_speaks_for_spam(spark, common):
+    """Renaming the words that are no function words changes nothing."""
+    known = {r["word"] for r in common.collect() if r["word"]}
+
+    def renamed(text):
+        return text and re.sub(r"[A-Za-z]+", lambda m: m[0] if m[0].lower() in known or m[0] in ("https", "example", "www") else "".join(chr((ord(c) - 97 + 7) % 26 + 97) if c.islower() else chr((ord(c) - 65 + 7) % 26 + 65) for c in m[0]), text)
+
+    texts = [prose(i) for i in range(60)] + [listing(i) for i in range(10)] + SPAM + FINE
+    both = [spark.createDataFrame(list(enumerate(t)), "doc_id bigint, text string").selectExpr("*", "'en' as lang") for t in (texts, list(map(renamed, texts)))]
+    before, after = ({r["doc_id"] for r in spam_scores(d, common).where("spam").collect()} for d in both)
+    assert before == after == set(range(70, 70 + len(SPAM)))
+
+
+def test_a_small_language_is_drawn_towards_all(spark, common):
+    texts = [("en", prose(i)) for i in range(300)] + [("fr", prose(900 + i)) for i in range(3)] + [("fr", SPAM[0]), ("fr", SPAM[1]), ("xy", SPAM[4])]
+    documents = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id bigint, lang string, text string")
+    models = models_of(measured(documents, common))
+    assert set(models) == {None, "en", "fr", "xy"} and all(np.abs(models[c][0] - models[None][0]).max() < 0.05 for c in models)
+    assert {r["doc_id"] for r in spam_scores(documents, common).where("spam").collect()} == {303, 304, 305}
+
+
+def test_sample_pages_are_the_same_in_every_run():
+    one, two = sample_pages(["the", "of"], 3), sample_pages(["the", "of"], 3)
+    assert one == two and set(SPAM_KINDS) < set(one) and all(len(t) == 3 for t in one.values())
+
+
+def test_features_by_brute_force(common):
+    known = frozenset(r["word"] for r in common.collect() if r["word"])
+    texts = [prose(3), listing(4), record(5), *SPAM, "x", "::: ---"]
+    got = features(texts, Signs(known), Words(known))
+    for text, row in zip(texts, got):
+        tokens = convert(text)[0].replace("\ue010", "").replace("\ue011", "").split()
+        kinds = [Signs(known)[t] & 7 for t in tokens]
+        words = [w for t, k in zip(tokens, kinds) if k < 3 for w in re.findall(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*", t.lower())]
+        counts, pairs = Counter(words), Counter(zip(words, words[1:]))
+        assert row[0] == pytest.approx(kinds.count(0) / max(1, len([k for k in kinds if k != 4])))
+        assert row[1] == pytest.approx(sum(n for n in pairs.values() if n > 1) / max(1, len(words) - 1))
+        assert row[6] == pytest.approx(sum(sorted((n for w, n in counts.items() if w not in known), reverse=True)[:5]) / max(1, len(words)))
+        assert row[2] == pytest.approx(-sum(n / len(words) * np.log(n / len(words)) for n in counts.values()) / np.log(len(words)) if len(words) > 1 else 1.0)
+
+
 def test_few_documents(spark, common):
     few = spark.createDataFrame([(1, "en", prose(1)), (1, "en", prose(1)), (2, None, "word")], "doc_id bigint, lang string, text string")
     assert spam_scores(few, common).count() == 3 and spam_scores(few.limit(0), common).count() == 0

@@ -3,9 +3,12 @@
 Method: a robust Mahalanobis distance, per language, over features of density,
 entropy, repetition and function words. Centre and scatter come from medians and
 absolute deviations and are refined on the documents near the centre, so that
-the pages looked for don't distort them. An outlier is spam if the direction in
-which it lies, in the whitened space, is nearest to one of the directions of
-spam rather than to one of lists, records, tables, junk or unusual prose.
+the pages looked for don't distort them. A language's estimates are drawn
+towards those of all documents, the more so the fewer documents it has. An
+outlier is spam if the direction in which it lies, in the whitened space, is
+nearest to that of a sample page of spam rather than of a list, record, table,
+junk or unusual prose (``llm/samples.py``, pages of invented words, so that no
+word as such speaks for or against a page).
 """
 
 from __future__ import annotations
@@ -21,77 +24,127 @@ from pyspark.sql import functions as F
 
 from veritrove.llm.markup import convert
 from veritrove.llm.prose import TOGETHER, Signs, common_words, shapes
+from veritrove.llm.samples import SPAM, sample_pages
 from veritrove.plans.durable import stored
 from veritrove.plans.parallel import spread
 
-FEATURES = ("function", "repetition", "entropy", "link", "promotion", "density", "number", "mark")
-# Words of advertising in the four languages.
-PROMOTION = frozenset(
-    "best buy bargain cheap deal discount exclusive fast free hot instant lifetime limited official offer online original premium pro sale top trusted ultimate voucher coupon wholesale bulk"
-    " certified easy mini secure smart"
-    " angebot bestellen billig günstig gutschein kaufen preis preiswert rabatt sofort testsieger versand"
-    " acheter comparatif gratuit livraison prix promo promotion rapide remise solde"
-    " barato comprar descuento envío gratis oferta precio rápido rebajas".split()
-)
-# Typical displacement from prose, in the order of FEATURES.
-DIRECTIONS = {
-    "spam_keywords": (-0.33, 0.45, -0.20, 0.00, 0.30, 0.25, -0.04, 0.00),
-    "spam_repeated": (-0.33, 0.90, -0.50, 0.00, 0.00, 0.65, -0.04, 0.00),
-    "spam_places": (-0.27, 0.35, -0.10, 0.00, 0.25, 0.15, -0.04, 0.00),
-    "spam_links": (-0.33, -0.10, 0.05, 0.90, 0.00, 0.10, -0.04, 0.00),
-    "spam_labels": (-0.33, -0.05, -0.05, 0.20, 0.33, 0.10, 0.00, 0.00),
-    "spam_anchors": (-0.33, 0.05, -0.05, 0.70, 0.33, 0.15, -0.04, 0.00),
-    "spam_products": (-0.33, 0.15, -0.12, 0.00, 0.14, 0.10, 0.11, 0.00),
-    "list": (-0.33, -0.05, 0.02, 0.00, 0.00, 0.05, -0.04, 0.00),
-    "contents": (-0.32, -0.05, 0.02, 0.00, 0.00, 0.05, 0.25, 0.00),
-    "numbered": (-0.32, 0.25, -0.12, 0.00, 0.00, 0.15, 0.15, 0.00),
-    "records": (-0.32, 0.40, -0.15, 0.00, 0.00, 0.20, 0.12, 0.30),
-    "fields": (-0.32, 0.45, -0.15, 0.00, 0.00, 0.20, 0.05, 0.25),
-    "objects": (-0.33, 0.60, -0.25, 0.00, 0.00, 0.30, 0.00, 0.90),
-    "junk": (-0.25, 0.00, -0.03, 0.00, 0.00, 0.00, 0.20, 0.05),
-    "garbled": (-0.33, 0.10, -0.20, 0.00, 0.00, 0.30, -0.04, 0.00),
-    "dump": (-0.20, 0.50, -0.40, 0.00, 0.00, 0.30, 0.80, 0.00),
-    "refrain": (0.00, 0.35, -0.12, 0.00, 0.00, 0.10, 0.00, 0.00),
-    "reference": (-0.01, -0.05, 0.00, 0.30, 0.00, 0.00, 0.00, 0.00),
-    "function": (0.15, 0.00, 0.00, 0.00, 0.00, 0.00, 0.00, 0.00),
-}
+#: Shares of function words, of repeated word pairs, entropy of words, shares of links, of words beside a link in short lines,
+#: of words in other short lines, of the five most frequent words that are no function words, of numbers, of delimiters and names
+#: before colons, of lines with equally many of these.
+FEATURES = ("function", "repetition", "entropy", "link", "labelled", "brief", "density", "number", "mark", "regular")
 #: Least scale of a feature, so that one that hardly varies in prose doesn't outweigh all others.
-FLOOR = np.array([0.05, 0.08, 0.05, 0.05, 0.03, 0.06, 0.04, 0.05])
-#: 0.9 and 0.999 quantiles of the squared distance if the features were normal (chi-square, 8 degrees).
-INNER, OUTER = 13.36, 26.12
+FLOOR = np.array([0.05, 0.08, 0.05, 0.05, 0.05, 0.2, 0.06, 0.04, 0.05, 0.15])
+#: 0.9 and 0.999 quantiles of the squared distance if the features were normal (chi-square, 10 degrees).
+INNER, OUTER = 15.99, 29.59
 STEPS = 2
-#: A language with fewer documents is measured by the whole collection's centre and scatter.
-LEAST_DOCUMENTS = 200
+#: Documents that the whole collection counts as where a language's estimate is drawn towards it.
+PRIOR = 200
+#: Sample pages per kind.
+SAMPLES = 16
+#: Words of a short line, at most.
+SHORT = 12
 
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _LINKED = re.compile("([^]*)")
-
-
-def features(texts: list[str], known: Signs) -> np.ndarray:
+_URL = re.compile("://|\\bwww\\.|")
+_PARTING = re.compile(r'[|;,\t]|":|:\s')
+
+
+class Words(dict):
+    """The numbers of the words in a token; ``plain`` tells by number whether a word is a function word."""
+
+    def __init__(self, common: frozenset[str]):
+        super().__init__()
+        self.common, self.numbers, self.plain = common, {}, []
+
+    def __missing__(self, token: str) -> list[int]:
+        found = []
+        for word in _WORD.findall(token.lower()):
+            number = self.numbers.get(word)
+            if number is None:
+                number = self.numbers[word] = len(self.plain)
+                self.plain.append(word in self.common)
+            found.append(number)
+        self[token] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > 400_000:
+            self.clear()
+            self.numbers.clear()
+            self.plain.clear()
+
+
+def _lines(marked: str) -> tuple[float, float, float]:
+    """Shares of words in short lines with a link, in other short lines, and of lines with the most frequent number of parting marks."""
+    lines = words = labels = brief = 0
+    marks: Counter[int] = Counter()
+    for line in marked.splitlines():
+        size = len(line.split())
+        if size:
+            lines += 1
+            words += size
+            if size <= SHORT:
+                if _URL.search(line):
+                    labels += size
+                else:
+                    brief += size
+            marks[len(_PARTING.findall(line))] += 1
+    regular = max((n for k, n in marks.items() if k), default=0) / lines if lines > 2 else 0.0
+    return labels / max(1, words), brief / max(1, words), regular
+
+
+def features(texts: list[str], known: Signs, words: Words) -> np.ndarray:
     """One row of ``FEATURES`` per text; every text must hold something that isn't blank."""
-    out = np.zeros((len(texts), len(FEATURES)))
-    converted = [convert(t)[0] for t in texts]
-    for i, (marked, s) in enumerate(zip(converted, shapes([c.replace("", "").replace("", "") for c in converted], known))):
-        kinds = s.signs & 7
-        size = max(1, len(kinds))
-        words = [w.lower() for t, k in zip(s.tokens, kinds.tolist()) if k < 3 for w in _WORD.findall(t)]
-        n = max(1, len(words))
-        counts = Counter(words)
-        pairs = Counter(zip(words, words[1:]))
-        share = np.fromiter(counts.values(), float, len(counts)) / n
-        entropy = -float((share * np.log(share)).sum()) / np.log(n) if n > 1 else 1.0
-        content = sorted((c for w, c in counts.items() if w not in known.common), reverse=True)[:5]
-        inside = sum(map(len, _LINKED.findall(marked))) / len(marked) if "" in marked else 0.0
-        out[i] = (
-            float((kinds == 0).sum()) / max(1, int((kinds != 4).sum())),
-            sum(c for c in pairs.values() if c > 1) / max(1, len(words) - 1),
-            entropy,
-            max(float((kinds == 3).sum()) / size, inside),
-            sum(c for w, c in counts.items() if w in PROMOTION) / n,
-            sum(content) / n,
-            float((kinds == 2).sum()) / size,
-            sum(k & 32 > 0 or t.endswith(":") for t, k in zip(s.tokens, s.signs.tolist())) / size,
-        )
+    n = len(texts)
+    out = np.zeros((n, len(FEATURES)))
+    if not n:
+        return out
+    words.trim()
+    marked = [convert(t)[0] for t in texts]
+    found = shapes([m.replace("", "").replace("", "") for m in marked], known)
+    sizes = np.array([len(s.tokens) for s in found])
+    doc = np.repeat(np.arange(n), sizes)
+    signs = np.concatenate([s.signs for s in found])
+    kinds = signs & 7
+    size = np.maximum(1, sizes)
+
+    def number(mask: np.ndarray) -> np.ndarray:
+        return np.bincount(doc[mask], minlength=n).astype(float)
+
+    named = np.fromiter((t.endswith(":") for s in found for t in s.tokens), bool, len(doc))
+    inside = np.array([sum(map(len, _LINKED.findall(m))) / len(m) if "" in m else 0.0 for m in marked])
+    out[:, 0] = number(kinds == 0) / np.maximum(1, number(kinds != 4))
+    out[:, 3] = np.maximum(number(kinds == 3) / size, inside)
+    out[:, 4], out[:, 5], out[:, 9] = np.array([_lines(m) for m in marked]).T
+    out[:, 7] = number(kinds == 2) / size
+    out[:, 8] = number((signs & 32 > 0) | named) / size
+
+    flat: list[int] = []
+    lengths = np.zeros(n, np.int64)
+    for i, s in enumerate(found):
+        before = len(flat)
+        for token, kind in zip(s.tokens, (s.signs & 7).tolist()):
+            if kind < 3:
+                flat += words[token]
+        lengths[i] = len(flat) - before
+    ids, of, every = np.array(flat, np.int64), np.repeat(np.arange(n), lengths), np.maximum(1, lengths)
+    width = len(words.plain) + 1
+    keys, counts = np.unique(of * width + ids, return_counts=True)
+    owner, word = keys // width, keys % width
+    share = counts / every[owner]
+    out[:, 2] = np.where(lengths > 1, np.bincount(owner, -share * np.log(share), minlength=n) / np.log(np.maximum(2, every)), 1.0)
+    other = ~np.array([*words.plain, True])[word]
+    first, counts = owner[other], counts[other]
+    order = np.lexsort((-counts, first))
+    first, counts = first[order], counts[order]
+    top = np.arange(len(first)) - np.searchsorted(first, first) < 5
+    out[:, 6] = np.bincount(first[top], counts[top], minlength=n) / every
+    same = of[1:] == of[:-1]
+    left, place = np.unique(of[:-1][same] * width + ids[:-1][same], return_inverse=True)
+    pairs, counts = np.unique(place * width + ids[1:][same], return_counts=True)
+    again = counts > 1
+    out[:, 1] = np.bincount(left[pairs[again] // width] // width, counts[again], minlength=n) / np.maximum(1, lengths - 1)
     return out
 
 
@@ -101,20 +154,8 @@ def language(column):
     return F.when(F.coalesce(code, F.lit("")) == "", F.lit("und")).otherwise(code)
 
 
-class _Models(dict):
-    """Centre and inverse scatter by language, at most 677; a language without its own has that of None."""
-
-    def __missing__(self, code):
-        return self[None]
-
-
 def _mapped(table: DataFrame, models: dict, give, names: str) -> DataFrame:
-    """``give(rows, centre, inverse)`` for the feature rows of each language, as columns ``names`` after ``doc_id`` and ``lang``.
-
-    ``lang`` comes out as the language whose model was taken, null for that of
-    all documents.
-    """
-    models = _Models(models)
+    """``give(rows, centre, inverse)`` for the feature rows of each language, as columns ``names`` after ``doc_id`` and ``lang``."""
     kinds = [pa.string() if n.split()[1] == "string" else pa.float64() for n in names.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,8 +167,7 @@ def _mapped(table: DataFrame, models: dict, give, names: str) -> DataFrame:
                 at = np.flatnonzero(codes == code)
                 for column, values in zip(out, give(rows[at], *models[code])):
                     column[at] = values
-            used = pa.array([c if c in models else None for c in codes.tolist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), used, *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "lang", *(n.split()[0] for n in names.split(", "))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "lang", *(n.split()[0] for n in names.split(", "))])
 
     return table.mapInArrow(run, f"doc_id bigint, lang string, {names}")
 
@@ -142,11 +182,11 @@ def measured(documents: DataFrame, words: DataFrame) -> DataFrame:
     common = common_words(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Signs(common)
+        known, numbers = Signs(common), Words(common)
         for batch in batches:
             texts = batch.column(2).to_pylist()
             there = [i for i, t in enumerate(texts) if t and not t.isspace()]
-            parts = [features([texts[i] for i in there[k : k + TOGETHER]], known) for k in range(0, len(there), TOGETHER)]
+            parts = [features([texts[i] for i in there[k : k + TOGETHER]], known, numbers) for k in range(0, len(there), TOGETHER)]
             table = np.concatenate(parts) if parts else np.zeros((0, len(FEATURES)))
             at = pa.array(there, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(table[:, k]) for k in range(len(FEATURES)))], ["doc_id", "lang", *FEATURES])
@@ -157,60 +197,77 @@ def measured(documents: DataFrame, words: DataFrame) -> DataFrame:
 
 def _and_all(table: DataFrame) -> DataFrame:
     """Each row once under its language and once under null."""
-    return table.withColumn("lang", F.explode(F.array_distinct(F.array("lang", F.lit(None).cast("string")))))
+    return table.withColumn("lang", F.explode(F.array("lang", F.lit(None).cast("string"))))
+
+
+def _drawn(own: np.ndarray, n: int, whole: np.ndarray) -> np.ndarray:
+    """An estimate from ``n`` documents, drawn towards that of all documents."""
+    return (n * own + PRIOR * whole) / (n + PRIOR)
 
 
 def _medians(table: DataFrame) -> dict:
-    rows = _and_all(table).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.percentile_approx(f, 0.5) for f in FEATURES]).alias("m")).collect()
-    return {r["lang"]: np.array(r["m"]) for r in rows if r["lang"] is None or r["n"] >= LEAST_DOCUMENTS}
+    rows = {r["lang"]: (r["n"], np.array(r["m"])) for r in _and_all(table).groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.percentile_approx(f, 0.5) for f in FEATURES]).alias("m")).collect()}
+    return {code: m if code is None else _drawn(m, n, rows[None][1]) for code, (n, m) in rows.items()}
 
 
 def models_of(table: DataFrame) -> dict:
     """Centre and inverse scatter per language, and of all documents under None.
 
-    Only aggregates reach the driver, one row per language and step.
+    Only aggregates reach the driver, one row per language (at most 677) and step.
     """
     middle = _medians(table)
     if not middle:
         return {}
     same = np.eye(len(FEATURES))
     deviations = _medians(_mapped(table, {k: (m, same) for k, m in middle.items()}, lambda rows, m, _: np.abs(rows - m).T, ", ".join(f"{f} double" for f in FEATURES)))
-    models = {k: (m, np.diag(1 / np.maximum(1.4826 * deviations.get(k, 0 * m), FLOOR) ** 2)) for k, m in middle.items()}
+    models = {k: (m, np.diag(1 / np.maximum(1.4826 * deviations[k], FLOOR) ** 2)) for k, m in middle.items()}
     cells = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
     for _ in range(STEPS):
-        measured = _mapped(table, models, lambda rows, m, p: (*rows.T, _distances(rows, m, p)), ", ".join(f"{f} double" for f in (*FEATURES, "distance")))
-        near = _and_all(measured.where(F.col("distance") <= INNER))
+        near = _mapped(table, models, lambda rows, m, p: (*rows.T, _distances(rows, m, p)), ", ".join(f"{f} double" for f in (*FEATURES, "distance"))).where(F.col("distance") <= INNER)
         moments = [F.count(F.lit(1)).alias("n"), F.array(*[F.avg(f) for f in FEATURES]).alias("m"), F.array(*[F.covar_pop(FEATURES[i], FEATURES[j]) for i, j in cells]).alias("c")]
         found = {}
-        for row in near.groupBy("lang").agg(*moments).collect():
-            if row["lang"] is None or row["n"] >= LEAST_DOCUMENTS / 2:
-                scatter = np.zeros((len(FEATURES), len(FEATURES)))
-                for (i, j), value in zip(cells, row["c"]):
-                    scatter[i, j] = scatter[j, i] = value
-                found[row["lang"]] = (np.array(row["m"]), np.linalg.inv(scatter + np.diag(FLOOR**2)))
-        models |= found
+        for row in _and_all(near).groupBy("lang").agg(*moments).collect():
+            scatter = np.zeros((len(FEATURES), len(FEATURES)))
+            for (i, j), value in zip(cells, row["c"]):
+                scatter[i, j] = scatter[j, i] = value
+            found[row["lang"]] = (row["n"], np.array(row["m"]), scatter)
+        if None not in found:  # no document is near any centre
+            break
+        _, whole, spread_of_all = found[None]
+        for code in models:
+            n, centre, scatter = found.get(code, (0, whole, spread_of_all))
+            if code is not None:
+                centre, scatter = _drawn(centre, n, whole), _drawn(scatter, n, spread_of_all)
+            models[code] = (centre, np.linalg.inv(scatter + np.diag(FLOOR**2)))
     return models
 
 
+def sample_features(common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Kind and features of each sample page, ``SAMPLES`` of every kind."""
+    pages = sample_pages(sorted(common), SAMPLES)
+    return np.array([kind for kind, texts in pages.items() for _ in texts], object), features([t for texts in pages.values() for t in texts], Signs(common), Words(common))
+
+
 def spam_scores(documents: DataFrame, words: DataFrame) -> DataFrame:
-    """``doc_id``, ``distance`` (squared), ``direction`` (of ``DIRECTIONS``), ``spam``.
+    """``doc_id``, ``distance`` (squared), ``direction`` (a kind of sample page), ``spam``.
 
     For every text that isn't null, empty or blank; repeated rows and rows
     without an id stay. ``spam`` is true for documents beyond ``OUTER`` whose
-    nearest direction is one of spam. ``words`` is the short table of common
-    words of all languages. Further columns are ignored; an empty table gives an
-    empty result.
+    direction from their language's centre is nearest to that of a sample page
+    of spam. ``words`` is the short table of common words of all languages.
+    Further columns are ignored; an empty table gives an empty result.
     """
     table = stored(measured(documents, words))
     models = models_of(table)
     if not models:
         return table.select("doc_id", F.lit(0.0).alias("distance"), F.lit("").alias("direction"), F.lit(False).alias("spam"))
-    names = np.array(list(DIRECTIONS), object)
-    directions = np.array(list(DIRECTIONS.values()))
+    kinds, samples = sample_features(common_words(words))
 
     def judged(rows: np.ndarray, centre: np.ndarray, inverse: np.ndarray):
-        towards = inverse @ directions.T / np.sqrt(np.einsum("ij,jk,ik->i", directions, inverse, directions))
-        return _distances(rows, centre, inverse), names[((rows - centre) @ towards).argmax(1)]
+        whiten = np.linalg.cholesky(inverse)
+        towards = (samples - centre) @ whiten
+        towards /= np.linalg.norm(towards, axis=1, keepdims=True)
+        return _distances(rows, centre, inverse), kinds[((rows - centre) @ whiten @ towards.T).argmax(1)]
 
     scored = _mapped(table, models, judged, "distance double, direction string")
-    return scored.select("doc_id", "distance", "direction", ((F.col("distance") > OUTER) & F.col("direction").startswith("spam")).alias("spam"))
+    return scored.select("doc_id", "distance", "direction", ((F.col("distance") > OUTER) & F.col("direction").isin(*SPAM)).alias("spam"))
