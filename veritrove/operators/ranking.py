@@ -25,3 +25,13 @@ def grouped_rank(df: DataFrame, groups: list[str], order: list, block, out: str)
         same = same & F.col(g).eqNullSafe(F.col(f"__g{i}"))
     joined = rows.join(starts, same, "inner")
     return joined.select(*df.columns, (F.col("__start") + F.col("__row")).cast("long").alias(out))
+
+
+#: Rows that are numbered in one task, about.
+NUMBERED = 100_000
+
+
+def numbered(df: DataFrame, key: str, out: str) -> DataFrame:
+    """``df``, whose values of ``key`` are distinct, with dense numbers from 0 in blocks of about ``NUMBERED`` rows; it should be stored."""
+    blocks = max(1, -(-df.count() // NUMBERED))
+    return grouped_rank(df, [], [F.col(key)], F.pmod(F.xxhash64(key), F.lit(blocks)), out)
