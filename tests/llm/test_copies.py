@@ -1,6 +1,6 @@
 import random
 
-from veritrove.llm.copies import _Dictionary, copies, copy_counts, encoded, letters, structure
+from veritrove.llm.copies import copies, copy_counts, dictionary, flattened, letters, rewritten, structure
 
 
 def groups(df):
@@ -11,9 +11,16 @@ def groups(df):
 
 
 def same(a, b):
-    ids = _Dictionary()
     x, y = structure(a), structure(b)
-    return letters(a) == letters(b) or (x is not None and y is not None and encoded(x, ids) == encoded(y, ids))
+    return letters(a) == letters(b) or (x is not None and y is not None and coded(x) == coded(y))
+
+
+NUMBERS = {}
+
+
+def coded(node):
+    shape, values = flattened(node)
+    return rewritten(shape, [NUMBERS.setdefault(letters(v), len(NUMBERS)) for v in values])
 
 
 def test_formatting(frame):
@@ -67,3 +74,31 @@ def test_hot_group_and_empty(frame):
     assert list(found) == [first] and len(found[first]) == 399
     assert copies(frame([])).count() == 0
     assert copies(frame(["x", "X"], [None, 3])).count() == 0
+
+
+def test_dictionary_has_one_integer_per_canonical_value(spark):
+    values = ["Ab-c", "abc", "ABC!", "x", "x", "x", "", "--", "y 1", "Y1"]
+    found = {r["value"]: (r["id"], r["uses"]) for r in dictionary(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    assert set(found) == set(values) and found["x"][1] == 3
+    assert found["Ab-c"][0] == found["abc"][0] == found["ABC!"][0] and found[""][0] == found["--"][0] and found["y 1"][0] == found["Y1"][0]
+    assert {i for i, _ in found.values()} == set(range(4))
+
+
+def test_long_names_and_deep_structures(frame):
+    name = "a very long name of a field that has far more than forty signs in it"
+    assert same(f"{name}: x; kind: b", f"kind: b; {name}: x") and not same(f"{name}: x; kind: b", f"kind: x; {name}: b")
+    deep = '{"a": ' * 200 + '{"x": 1, "y": 2}' + "}" * 200
+    assert same(deep, deep.replace('"x": 1, "y": 2', '"y": 2, "x": 1')) and not same(deep, deep.replace('"x": 1, "y": 2', '"y": 1, "x": 2'))
+    assert groups(copies(frame([deep, deep.replace('"x": 1, "y": 2', '"y": 2, "x": 1'), "other"]))) == {1: {2}}
+
+
+def test_records_of_which_half_share_a_content_and_values(frame):
+    pick = random.Random(5)
+    texts = []
+    for i in range(300):
+        fields = ["status: open", "owner: none", "site: here"] if i % 2 else [f"status: {i}", "owner: none", f"site: {i % 7}"]
+        pick.shuffle(fields)
+        texts.append(" | ".join(fields))
+    found = groups(copies(frame(texts)))
+    assert found == {2: set(range(4, 301, 2))}
+    assert sorted(r["copies"] for r in copy_counts(frame(texts)).collect()) == [1] * 150 + [150]

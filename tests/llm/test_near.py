@@ -8,6 +8,7 @@ import pytest
 
 from veritrove.llm import near as N
 from veritrove.llm.shingles import shingle_sets
+from veritrove.plans.durable import stored
 
 
 def sets_of(text, words):
@@ -83,7 +84,7 @@ def test_large_buckets_are_split_and_lose_nothing(frame, monkeypatch):
     monkeypatch.setattr(N, "LEVELS", 2)
     whole = frame(texts).select("doc_id", "text")
     depth = N.depth_for(60)
-    described = whole.mapInArrow(N._describe(3, N.runs_for(0.6, depth), depth, False), N.DESCRIBED)
+    described = stored(whole.mapInArrow(N._describe(3, N.runs_for(0.6, depth), depth, False), N.DESCRIBED))
     got = {(r["a"], r["b"]) for r in N.candidate_pairs(whole, described, 3, 0.6, small=8).collect()}
     assert brute(texts, 3, 0.6) <= got
 

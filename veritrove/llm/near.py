@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from veritrove.llm.shingles import SIGNATURE, mixed, shingle_sets, signatures
 from veritrove.plans.durable import stored
 from veritrove.plans.parallel import spread
+from veritrove.plans.skew import frequent, hot_join, salted_join
 
 #: Chance that a pair just at the similarity threshold is found; of the losses, the share that the sketches may have.
 RECALL, SKETCHED = 0.9995, 0.25
@@ -225,10 +226,20 @@ def _brute(least: int, small: int):
     return run
 
 
-def _buckets(members: DataFrame, least: int, small: int) -> DataFrame:
-    """members: key, doc_id, low, high."""
-    placed = members.repartition("key").sortWithinPartitions("key")
-    return stored(placed.select("key", "doc_id", "low", "high").mapInArrow(_brute(least, small), MET))
+MEMBER = ("key", "doc_id", "low", "high")
+
+
+def _buckets(members: DataFrame, least: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (``a``, ``b``) met in the buckets of up to ``small`` of ``members`` (stored; ``MEMBER``), and the members of larger ones.
+
+    Buckets that hold a large share of all members are large for sure and are
+    known by ``frequent``, so that no task has to sort them.
+    """
+    hot = F.broadcast(stored(frequent(members.select("key"), small + 1)))
+    placed = members.join(hot, "key", "left_anti").select(*MEMBER).repartition("key").sortWithinPartitions("key")
+    met = stored(placed.mapInArrow(_brute(least, small), MET))
+    large = met.where("b is null").select("key", F.col("a").alias("doc_id"), "low", "high")
+    return met.where("b is not null").select("a", "b"), large.unionByName(members.join(hot, "key", "left_semi").select(*MEMBER))
 
 
 def _children(level: int):
@@ -249,33 +260,32 @@ def _children(level: int):
 
 
 def _in_blocks(members: DataFrame, small: int) -> DataFrame:
-    """Members of buckets of any size as buckets of two blocks each, so that every two members meet."""
-    sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 3 / small).cast("int").alias("blocks"))
-    numbered = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    """Members (stored) of buckets of any size as buckets of two blocks each, so that every two members meet."""
+    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") * 3 / small).cast("int")))
+    joined = hot_join(members, sizes, ["key"], "n", members.count())
+    numbered = joined.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return other.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "doc_id", "low", "high")
 
 
 def candidate_pairs(documents: DataFrame, described: DataFrame, words: int, similarity: float, small: int = SMALL) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of representatives whose sketches agree, from all leaves of all runs."""
+    """Distinct pairs ``a`` < ``b`` of representatives whose sketches agree, from all leaves of all runs; ``described`` is stored."""
     least = least_agreement(similarity)
-    members = described.select(F.explode("list").alias("key"), "doc_id", "low", "high")
-    met = _buckets(members, least, small)
-    found = [met.where("b is not null").select("a", "b")]
-    large = met.where("b is null").select("key", F.col("a").alias("doc_id"), "low", "high")
+    met, large = _buckets(described.select(F.explode("list").alias("key"), "doc_id", "low", "high"), least, small)
+    found = [met]
     for level in range(LEVELS + 1):
+        large = stored(large)
         if large.isEmpty():
             break
         if level == LEVELS:
             # hash blocks are uneven, hence a bound well above the two blocks' expected size
-            met = _buckets(_in_blocks(large, small), least, 1 << 30)
+            met = stored(_in_blocks(large, small).repartition("key").sortWithinPartitions("key").mapInArrow(_brute(least, 1 << 30), MET)).select("a", "b")
         else:
             wanted = large.select("doc_id").distinct()
             again = documents.join(wanted, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_describe(words, 0, 0, True), DESCRIBED)
             split = large.join(again.select("doc_id", "list"), "doc_id").select("key", "doc_id", "low", "high", "list")
-            met = _buckets(split.mapInArrow(_children(level), "key bigint, doc_id bigint, low bigint, high bigint"), least, small)
-        found.append(met.where("b is not null").select("a", "b"))
-        large = met.where("b is null").select("key", F.col("a").alias("doc_id"), "low", "high")
+            met, large = _buckets(stored(split.mapInArrow(_children(level), "key bigint, doc_id bigint, low bigint, high bigint")), least, small)
+        found.append(met)
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
@@ -305,17 +315,17 @@ def near_duplicates(documents: DataFrame, words: int = 5, similarity: float = 0.
     if rows == ids:
         return _links_and_members(whole, rows, words, similarity)
     keyed = whole.withColumn("key", F.xxhash64("doc_id", "text"))
-    links, members = _links_and_members(keyed.select(F.col("key").alias("doc_id"), "text"), rows, words, similarity)
-    return links, members.withColumnRenamed("doc_id", "key").join(keyed.select("key", "doc_id").distinct(), "key").select("representative", "doc_id")
+    links, members = _links_and_members(stored(keyed.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"])), rows, words, similarity)
+    return links, members.withColumnRenamed("doc_id", "key").join(keyed.select("key", "doc_id"), "key").select("representative", "doc_id")
 
 
 def _links_and_members(whole: DataFrame, rows: int, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """As ``near_duplicates``; rows of an id have the same text."""
+    """As ``near_duplicates``, of unique ids."""
     depth = depth_for(rows)
     described = stored(whole.mapInArrow(_describe(words, whole_runs(similarity, depth), depth, False), DESCRIBED))
     members = described.select("digest", "doc_id")
-    first = members.groupBy("digest").agg(F.min("doc_id").alias("representative"))
-    ones = described.join(first.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    first = stored(members.groupBy("digest").agg(F.min("doc_id").alias("representative"), F.count(F.lit(1)).alias("n")))
+    ones = stored(described.join(first.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi"))
     candidates = stored(candidate_pairs(whole, ones, words, similarity))
     ids = stored(candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -327,11 +337,15 @@ def _links_and_members(whole: DataFrame, rows: int, words: int, similarity: floa
             values = np.concatenate(found) if found else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), _longs(values))], ["doc_id", "runs"])
 
-    texts = whole.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, runs array<bigint>").dropDuplicates(["doc_id"])
+    texts = whole.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "doc_id bigint, runs array<bigint>")
     left, right = texts.select(F.col("doc_id").alias("a"), F.col("runs").alias("x")), texts.select(F.col("doc_id").alias("b"), F.col("runs").alias("y"))
-    both = candidates.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
-    links = both.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("united")).where(F.col("shared") / F.col("united") >= similarity)
-    return links, members.join(first, "digest").select("representative", "doc_id")
+    size = candidates.count()
+    both = candidates
+    for side, runs in (("a", left), ("b", right)):
+        both = salted_join(both, runs, [side], stored(candidates.groupBy(side).agg(F.count(F.lit(1)).alias("n"))), "n", size)
+    compared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
+    links = compared.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("united")).where(F.col("shared") / F.col("united") >= similarity)
+    return links, hot_join(members, first, ["digest"], "n", rows).select("representative", "doc_id")
 
 
 def near_pairs(documents: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -340,7 +354,11 @@ def near_pairs(documents: DataFrame, words: int = 5, similarity: float = 0.8) ->
     Rows of the same id are no pair.
     """
     links, members = near_duplicates(documents, words, similarity)
-    members = stored(members)
-    x = members.select(F.col("representative").alias("a"), F.col("doc_id").alias("p"))
-    y = members.select(F.col("representative").alias("b"), F.col("doc_id").alias("q"))
-    return stored(links).select("a", "b").join(x, "a").join(y, "b").where("p <> q").select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
+    members, found = stored(members), stored(links.select("a", "b"))
+    sizes = stored(members.groupBy("representative").agg(F.count(F.lit(1)).alias("n")))
+    rows = members.count()
+    for side, to in (("a", "p"), ("b", "q")):
+        # the rows of a set that very many documents have are dealt out, and its links copied
+        renamed = members.select(F.col("representative").alias(side), F.col("doc_id").alias(to))
+        found = salted_join(renamed, found, [side], sizes.select(F.col("representative").alias(side), "n"), "n", rows)
+    return found.where("p <> q").select(F.least("p", "q").alias("doc_a"), F.greatest("p", "q").alias("doc_b"))
