@@ -50,3 +50,25 @@ def test_chunks(spark):
     assert ordered[0]["text"] == "short" and ordered[-1]["text"] is None and [r["piece"] for r in ordered[1:-1]] == list(range(len(every) - 2))
     assert all(r["text"] is None or len(r["text"]) <= 1200 for r in every)
     assert split_chunks(chunks.limit(0)).count() == 0
+
+
+def test_pieces_are_balanced_and_long_texts_take_linear_time():
+    pieces = split(" ".join(["word"] * 3000))
+    sizes = [b - a for a, b in pieces]
+    assert len(pieces) == 15 and max(sizes) - min(sizes) < 30
+    import time
+
+    began = time.monotonic()
+    assert all(b - a <= 1200 for a, b in split(long_text(1, 2_000_000)))
+    assert time.monotonic() - began < 20
+
+
+def test_starts_snap_to_paragraphs_and_rows():
+    text = "\n".join(f"row {i} " + "word " * 8 + "end" for i in range(200))
+    assert all(text[a - 1] == "\n" for a, _ in split(text)[1:])
+
+
+def test_a_document_of_half_of_all_chunks(spark):
+    rows = [(f"{d}:{i}", d, "s", f"text {i}", i, "x") for d in (1, 2, 3) for i in range(2500 if d == 1 else 60)]
+    found = split_chunks(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["ordinal"], r["text"]) for r in found) == sorted((d, i, t) for _, d, _, t, i, _ in rows)

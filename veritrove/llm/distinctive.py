@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.plans.durable import stored
+from veritrove.plans.skew import hot_join
 
 #: Exponent of the terms' counts.
 SMOOTHING = 0.75
@@ -39,7 +40,7 @@ COUNTED = "chunk_id string, term string, n bigint, size bigint, docs array<bigin
 
 
 def _count(least: int, most_docs: int | None):
-    """Two kinds of rows: the counts of a chunk's terms, and (without chunk_id) partial counts of the terms.
+    """Two kinds of rows: the counts of a chunk's terms, and (without chunk_id) partial counts of the terms, with the number of chunks as ``size``.
 
     A partial count holds the distinct documents of a term, up to one more than
     ``most_docs``: more can't matter, as the term is then out anyway. Counts of a
@@ -49,6 +50,7 @@ def _count(least: int, most_docs: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
+        uses: Counter[str] = Counter()
         docs: dict[str, set[int]] = {}
         rows: list[tuple[str, str, int, int]] = []
         pairs = 0
@@ -62,11 +64,12 @@ def _count(least: int, most_docs: int | None):
                 pa.array([r[0] for r in there] + [None] * m, pa.string()),
                 pa.array([r[1] for r in there] + names, pa.string()),
                 pa.array([r[2] for r in there] + [total[t] for t in names], pa.int64()),
-                pa.array([r[3] for r in there] + [None] * m, pa.int64()),
+                pa.array([r[3] for r in there] + [uses[t] for t in names], pa.int64()),
                 pa.array(held, pa.list_(pa.int64())),
                 pa.array([None] * n + [0 <= keep < len(docs[t]) for t in names], pa.bool_()),
             ]
             total.clear()
+            uses.clear()
             docs.clear()
             rows.clear()
             return pa.RecordBatch.from_arrays(columns, ["chunk_id", "term", "n", "size", "docs", "many"])
@@ -84,6 +87,7 @@ def _count(least: int, most_docs: int | None):
                     if doc is not None and (keep < 0 or len(have) <= keep):
                         have.add(doc)
                     if n >= least:
+                        uses[term] += 1
                         rows.append((chunk, term, n, size))
             if len(total) > HELD or len(rows) > HELD or pairs > HELD_PAIRS:
                 pairs = 0
@@ -107,7 +111,8 @@ def distinctive_terms(chunks: DataFrame, least: int = 1, docs: tuple[int, int |
     columns are ignored; an empty table gives an empty result.
 
     Partial counts are made in the scan's tasks; only they are shuffled, and
-    terms that are out of bounds are dropped before the join back.
+    terms that are out of bounds are dropped before the join back. Terms of a
+    large share of the rows are broadcast for it (``hot_join``).
     """
     low, high = docs
     once = (
@@ -120,14 +125,17 @@ def distinctive_terms(chunks: DataFrame, least: int = 1, docs: tuple[int, int |
     # at most high + 1 documents go on from each step
     cap = (lambda c: c) if high is None else (lambda c: F.slice(c, 1, high + 1))
     for keys in (["term", "part"], ["term"]):
-        some = some.groupBy(*keys).agg(F.sum("n").alias("n"), cap(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), F.max("many").alias("many"))
+        some = some.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), cap(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), F.max("many").alias("many"))
     if high is None:
         # a common term's documents are too many for one array: count them as rows
         numbers = counted.where("chunk_id is null").select("term", F.explode("docs").alias("doc")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-        vocabulary = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("total")).join(numbers, "term").where(F.col("documents") >= low)
+        vocabulary = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("total"), F.sum("size").alias("uses")).join(numbers, "term").where(F.col("documents") >= low)
     else:
-        vocabulary = some.where(~F.col("many")).select("term", F.col("n").alias("total"), F.size("docs").alias("documents")).where(F.col("documents").between(low, high))
+        vocabulary = some.where(~F.col("many")).select("term", F.col("n").alias("total"), F.col("size").alias("uses"), F.size("docs").alias("documents")).where(F.col("documents").between(low, high))
     mass = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("n")).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(smoothing))).alias("mass"))
-    joint = counted.where("chunk_id is not null").select("chunk_id", "term", "n", "size").join(vocabulary.select("term", "total"), "term").join(F.broadcast(mass))
+    vocabulary = stored(vocabulary.select("term", "total", "uses"))
+    joint = counted.where("chunk_id is not null").select("chunk_id", "term", "n", "size")
+    # a term of nearly every chunk isn't brought together
+    joint = hot_join(joint, vocabulary, ["term"], "uses", joint.count()).join(F.broadcast(mass))
     score = F.log(F.col("n") * F.col("mass") / (F.col("size") * F.pow(F.col("total").cast("double"), F.lit(smoothing))))
     return joint.select("chunk_id", "term", "n", F.greatest(F.lit(0.0), score).alias("score"))

@@ -235,11 +235,14 @@ def _buckets(members: DataFrame, least: int, small: int) -> tuple[DataFrame, Dat
     Buckets that hold a large share of all members are large for sure and are
     known by ``frequent``, so that no task has to sort them.
     """
-    hot = F.broadcast(stored(frequent(members.select("key"), small + 1)))
-    placed = members.join(hot, "key", "left_anti").select(*MEMBER).repartition("key").sortWithinPartitions("key")
-    met = stored(placed.mapInArrow(_brute(least, small), MET))
+    hot = stored(frequent(members.select("key"), small + 1))
+    some = not hot.isEmpty()
+    rest = members.join(F.broadcast(hot), "key", "left_anti") if some else members
+    met = stored(rest.select(*MEMBER).repartition("key").sortWithinPartitions("key").mapInArrow(_brute(least, small), MET))
     large = met.where("b is null").select("key", F.col("a").alias("doc_id"), "low", "high")
-    return met.where("b is not null").select("a", "b"), large.unionByName(members.join(hot, "key", "left_semi").select(*MEMBER))
+    if some:
+        large = large.unionByName(members.join(F.broadcast(hot), "key", "left_semi").select(*MEMBER))
+    return met.where("b is not null").select("a", "b"), large
 
 
 def _children(level: int):
@@ -274,9 +277,9 @@ def candidate_pairs(documents: DataFrame, described: DataFrame, words: int, simi
     met, large = _buckets(described.select(F.explode("list").alias("key"), "doc_id", "low", "high"), least, small)
     found = [met]
     for level in range(LEVELS + 1):
-        large = stored(large)
         if large.isEmpty():
             break
+        large = stored(large)
         if level == LEVELS:
             # hash blocks are uneven, hence a bound well above the two blocks' expected size
             met = stored(_in_blocks(large, small).repartition("key").sortWithinPartitions("key").mapInArrow(_brute(least, 1 << 30), MET)).select("a", "b")

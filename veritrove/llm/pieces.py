@@ -2,8 +2,8 @@
 
 Method: balanced targets. The least number of pieces that the limit allows gives
 pieces of equal length; each target is snapped to the strongest boundary nearby
-(paragraph, row, sentence, clause, word), and the number of pieces rises by one
-as long as any piece breaks the limit.
+(paragraph, row, sentence, clause, word). What is left after a piece is balanced
+anew, with a piece more where those planned would break the limit.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrove.operators.ranking import grouped_rank
+from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 
 LIMIT, OVERLAP = 1200, 150
 #: How far from its target a cut may lie, as a share of the limit; how far an overlap may deviate.
@@ -60,31 +62,51 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
     marks = _marks(text)
     ends, starts = [m[0] for m in marks], [m[1] for m in marks]
     reach, leeway = int(limit * REACH), min(LEEWAY, overlap // 2)
-    count = -(-(size - overlap) // (limit - overlap))
+    pieces, start = [], 0
+    left = -(-(size - overlap) // (limit - overlap))
     while True:
-        even = (size + (count - 1) * overlap) / count
-        pieces, start = [], 0
-        for i in range(count - 1):
-            target = round((i + 1) * (even - overlap) + overlap)
-            high = min(start + limit, size - 1)
-            low = min(start + overlap + leeway + 1, high)
-            end = _snap(ends, max(low, target - reach), target, min(target + reach, high))
-            if end is None:  # no boundary near the target: any that the limit allows, else a cut inside a word
-                end = _snap(ends, low, target, high)
-            if end is None:
-                end = min(max(target, low), high)
-            pieces.append((start, end))
-            wanted = end - overlap
-            # where a text runs on, a word's start is as good as a sentence's; a sentence's start is taken if it is near
-            begin = _snap([starts[2], starts[4]], max(start + 1, wanted - leeway), wanted, wanted + leeway)
-            start = wanted if begin is None else begin
-        pieces.append((start, size))
-        if pieces[-1][1] - pieces[-1][0] <= limit and all(0 < b - a <= limit for a, b in pieces):
-            return pieces
-        count += 1
-
-
-PIECES = "array<struct<piece:int,start:int,end:int,text:string>>"
+        # pieces of equal length for what is left; one more if the cuts so far have left too much
+        even = (size - start + (left - 1) * overlap) / left
+        while even > limit:
+            left += 1
+            even = (size - start + (left - 1) * overlap) / left
+        if left == 1:
+            return [*pieces, (start, size)]
+        target = round(start + even)
+        high = min(start + limit, size - 1)
+        low = min(start + overlap + leeway + 1, high)
+        end = _snap(ends, max(low, target - reach), target, min(target + reach, high))
+        if end is None:  # no boundary near the target: any that the limit allows, else a cut inside a word
+            end = _snap(ends, low, target, high)
+        if end is None:
+            end = min(max(target, low), high)
+        pieces.append((start, end))
+        wanted = end - overlap
+        # the next piece starts with a paragraph, row or sentence if one is near, else with a word
+        begin = _snap([starts[0], starts[1], starts[2], starts[4]], max(start + 1, wanted - leeway), wanted, wanted + leeway)
+        start = wanted if begin is None else begin
+        left = max(1, left - 1)
+
+
+CUTS = "array<struct<piece:int,start:int,end:int>>"
+
+
+def _cut(limit: int, overlap: int):
+    @F.pandas_udf(CUTS)
+    def cut(texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"piece": i, "start": a, "end": b} for i, (a, b) in enumerate(split(t, limit, overlap))] for t in texts])
+
+    return cut
+
+
+def _piece(text: str, cut: str):
+    return F.substring(text, F.col(f"{cut}.start") + 1, F.col(f"{cut}.end") - F.col(f"{cut}.start"))
+
+
+def _clean(chunks: DataFrame) -> DataFrame:
+    """The chunks without outer blanks, and ``digest``, 128 bits that stand for the text where rows are compared."""
+    text = F.btrim(F.col("text").cast("string"), F.lit(BLANKS))
+    return chunks.select("chunk_id", "doc_id", "source", F.col("ordinal").alias("ordinal"), text.alias("text"), F.unhex(F.md5(text)).alias("digest"))
 
 
 def oversized_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -93,23 +115,16 @@ def oversized_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERL
     Columns ``chunk_id``, ``doc_id``, ``source``, ``ordinal`` (the chunk's),
     ``piece`` from 0, ``start``, ``end`` (in the stripped text), ``text``. Rows
     that stand twice are one (same ``chunk_id``, ``doc_id``, ``ordinal`` and
-    text); null texts are not oversized; a null ``chunk_id`` stays. Further
-    columns are ignored; an empty table gives an empty result.
+    text), with the smallest source; null texts are not oversized; a null
+    ``chunk_id`` stays. Further columns are ignored; an empty table gives an
+    empty result.
 
     Only oversized texts leave the JVM or are shuffled.
     """
-
-    @F.pandas_udf(PIECES)
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"piece": i, "start": a, "end": b, "text": t[a:b]} for i, (a, b) in enumerate(split(t, limit, overlap))] for t in texts])
-
     long = _clean(chunks).where(F.length("text") > limit)
-    once = long.groupBy("chunk_id", "doc_id", "ordinal", "text").agg(F.min("source").alias("source"))
-    return once.select("chunk_id", "doc_id", "source", "ordinal", F.explode(cut("text")).alias("p")).select("chunk_id", "doc_id", "source", "ordinal", "p.piece", "p.start", "p.end", "p.text")
-
-
-def _clean(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", "doc_id", "source", F.col("ordinal").alias("ordinal"), F.btrim("text", F.lit(BLANKS)).alias("text"))
+    once = long.groupBy("chunk_id", "doc_id", "ordinal", "digest").agg(F.min("source").alias("source"), F.min("text").alias("text"))
+    cut = once.select("chunk_id", "doc_id", "source", "ordinal", "text", F.explode(_cut(limit, overlap)("text")).alias("p"))
+    return cut.select("chunk_id", "doc_id", "source", "ordinal", "p.piece", "p.start", "p.end", _piece("text", "p").alias("text"))
 
 
 def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -117,13 +132,23 @@ def split_chunks(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP)
 
     Columns ``chunk_id``, ``doc_id``, ``source``, ``piece``, ``text``,
     ``old_ordinal``, ``ordinal``. The order is that of the old ordinals, then
-    ``chunk_id``, text and piece, nulls first. Rows that stand twice are one;
-    null texts stay as a row with null text. A document of any number of chunks
-    is numbered in blocks of ``BLOCK`` old ordinals.
+    ``chunk_id``, the text's digest and piece, nulls first. Rows that stand twice
+    are one; null texts stay as a row with null text. A document of any number
+    of chunks is numbered in blocks of ``BLOCK`` old ordinals.
+
+    Rows are compared and numbered by ids and digests; texts are only brought to
+    their numbers, by a row's own id.
     """
-    short = _clean(chunks).where(F.coalesce(F.length("text") <= limit, F.lit(True)))
-    once = short.groupBy("chunk_id", "doc_id", "ordinal", "text").agg(F.min("source").alias("source")).select("chunk_id", "doc_id", "source", "ordinal", F.lit(0).alias("piece"), F.lit(0).alias("start"), F.length("text").alias("end"), "text")
-    every = once.unionByName(oversized_pieces(chunks, limit, overlap))
-    order = [F.col("ordinal").asc_nulls_first(), F.col("chunk_id").asc_nulls_first(), F.col("start").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    ranked = grouped_rank(every, ["doc_id"], order, F.floor(F.col("ordinal") / BLOCK), "rank")
-    return ranked.select("chunk_id", "doc_id", "source", "piece", "text", F.col("ordinal").alias("old_ordinal"), F.col("rank").cast("int").alias("ordinal"))
+    size = F.length("text")
+    rows = stored(spread(_clean(chunks)).withColumn("row", F.monotonically_increasing_id()).withColumn("long", F.coalesce(size > limit, F.lit(False))))
+    once = rows.groupBy("chunk_id", "doc_id", "ordinal", "digest").agg(F.min("source").alias("source"), F.min("row").alias("row"), F.first("long").alias("long"))
+    kept = stored(once)
+    whole = kept.where("not long").select("row", "chunk_id", "doc_id", "ordinal", "digest", "source", F.lit(0).alias("piece"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    cuts = rows.where("long").select("row", F.explode(_cut(limit, overlap)("text")).alias("p"))
+    parts = kept.where("long").join(cuts, "row").select("row", "chunk_id", "doc_id", "ordinal", "digest", "source", "p.piece", "p.start", "p.end")
+    order = [F.col(c).asc_nulls_first() for c in ("ordinal", "chunk_id", "digest", "piece")]
+    ranked = grouped_rank(stored(whole.unionByName(parts)), ["doc_id"], order, F.floor(F.col("ordinal") / BLOCK), "rank")
+    # row ids are unique, so no key is hot
+    joined = ranked.select("row", "chunk_id", "doc_id", "source", "piece", F.struct("start", "end").alias("p"), "ordinal", "rank").join(rows.select("row", "text"), "row")
+    text = F.when(F.col("p.start").isNull(), F.col("text")).otherwise(_piece("text", "p"))
+    return joined.select("chunk_id", "doc_id", "source", "piece", text.alias("text"), F.col("ordinal").alias("old_ordinal"), F.col("rank").cast("int").alias("ordinal"))
