@@ -24,10 +24,12 @@ def hot_join(large: DataFrame, small: DataFrame, keys: list[str], weight: str, r
     whose number has a bound by their weight, are broadcast and their rows of
     ``large`` stay where they are; the rest is joined by a shuffle in which no
     key has more rows than ``hot_bound``. Null keys match nothing. Both sides
-    are read twice, so they should be stored.
+    are read twice if there are hot keys, so they should be stored.
     """
     bound = hot_bound(rows, least)
     hot = small.where(F.col(weight) > bound)
+    if rows <= bound or hot.isEmpty():
+        return large.join(small.drop(weight), keys)
     cold = small.where(F.col(weight) <= bound).drop(weight)
     among = F.broadcast(hot.drop(weight))
     there = large.join(among, keys)
@@ -46,6 +48,8 @@ def salted_join(large: DataFrame, other: DataFrame, keys: list[str], weights: Da
     their weight, is broadcast. Null keys match nothing.
     """
     bound = hot_bound(rows, least)
+    if rows <= bound or weights.where(F.col(weight) > bound).isEmpty():
+        return large.join(other, keys)
     hot = F.broadcast(weights.where(F.col(weight) > bound).select(*keys, F.ceil(F.col(weight) / bound).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = large.join(hot, keys, "left").withColumn("__part", F.pmod(F.xxhash64(*large.columns), parts).cast("int")).drop("__parts")
