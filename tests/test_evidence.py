@@ -78,6 +78,21 @@ def test_conflict_kinds(spark):
     assert conflicts(spark, ["Access must need login tokens", "Access should need login tokens"]) == {}
     assert conflicts(spark, ["alpha beta", "gamma delta not"]) == {}
     assert list(conflicts(spark, ["alpha beta", "gamma delta not"], 0.0)) == [("R0", "R1")]
+
+
+def test_conflicts_of_all_pairs_beyond_any_bound_and_in_order(spark, monkeypatch):
+    monkeypatch.setattr(C.all_pairs, "__defaults__", (50,))
+    texts = [f"subject{chr(97 + i // 26)}{chr(97 + i % 26)} shall {'not ' if i % 3 == 0 else ''}be ready" for i in range(520)]
+    found = C.find_conflicts(spark.createDataFrame([(f"R{i:03}", t) for i, t in enumerate(texts)], "requirement_id string, text string"), 0.0)
+    rows = found.collect()
+    negated = {f"R{i:03}" for i in range(0, 520, 3)}
+    assert {(r["left_id"], r["right_id"]) for r in rows} == {(a, b) for a in (f"R{i:03}" for i in range(520)) for b in (f"R{i:03}" for i in range(520)) if a < b and (a in negated) != (b in negated)}
+    assert len(rows) == len(negated) * (520 - len(negated))
+    keys = [(-r["score"], r["left_id"], r["right_id"]) for r in rows]
+    assert keys == sorted(keys)
+
+
+def test_conflict_bounds(spark):
     with pytest.raises(ValueError):
         conflicts(spark, ["a"], 2)
 
@@ -113,6 +128,16 @@ def test_blocking_finds_every_pair(spark):
 EVIDENCE = "array<struct<chunk_id:string,source:string,text:string>>"
 
 
+# fixed values: length and hash of the sections before the evidence
+WORDING = {"zero_shot": (537, "bacdcacec1e9ee26"), "one_shot": (769, "e121298846681390"), "few_shot": (1013, "7488267ef0712fa2")}
+
+
+def test_wording_of_the_prompts():
+    import hashlib
+
+    assert {m: (len(Q.head(m)), hashlib.sha256(Q.head(m).encode()).hexdigest()[:16]) for m in Q.MODES} == WORDING
+
+
 def test_prompts(spark):
     cases = spark.createDataFrame([(1, "Why?", [('é"1', "s\\x", "raw <b>")]), (2, None, None)], f"query_id bigint, question string, evidence {EVIDENCE}")
     got = {(r["query_id"], r["mode"]): r["prompt"] for r in Q.build_prompts(cases).collect()}

@@ -107,6 +107,66 @@ def test_store(spark, tmp_path):
     assert [r["ordinal"] for r in store.chunks().collect() if r["source"] == "a.txt"] == [0, 1, 2]
 
 
+PARSED = "source string, media_type string, text string, metadata map<string,string>"
+
+
+def test_one_row_of_a_content_is_inserted(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    rows = [("a.txt", "text/plain", "same words", {})] * 3 + [("b.txt", "text/plain", "same words", {})] + [("c.txt", None, " ", None)]
+    got = store.ingest(spark.createDataFrame(rows, PARSED)).collect()
+    assert sorted((r["source"], r["inserted"], r["chunks"]) for r in got) == [("a.txt", False, 1), ("a.txt", False, 1), ("a.txt", True, 1), ("b.txt", False, 1), ("c.txt", True, 0)]
+    assert not [r for r in store.ingest(spark.createDataFrame(rows, PARSED)).collect() if r["inserted"]] and tuple(store.health().head()) == (2, 1)
+    assert store.ingest(spark.createDataFrame([], PARSED)).count() == 0
+
+
+@pytest.mark.parametrize("step", ["documents", "chunks", "marker"])
+def test_a_failed_ingest_leaves_the_store_as_it_was(spark, tmp_path, monkeypatch, step):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    store.ingest(spark.createDataFrame([("a.txt", "text/plain", "one two three", {})], PARSED), 2, 1)
+    more = spark.createDataFrame([("b.txt", "text/plain", "four five", {}), ("a.txt", "text/plain", "one two three", {})], PARSED)
+    write = DocumentStore._write
+
+    def failing(self, batch, documents, chunks):
+        if step == "documents":
+            raise OSError("lost before anything is written")
+        write(self, batch, documents, chunks.limit(0) if step == "chunks" else chunks)
+        if step == "chunks":
+            raise OSError("lost while the chunks are written")
+
+    def unmarked(self, batch, replaces):
+        raise OSError("lost before the marker")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(DocumentStore, "_write", failing)
+        if step == "marker":
+            patched.setattr(DocumentStore, "_publish", unmarked)
+        with pytest.raises(OSError):
+            store.ingest(more, 2, 1)
+    assert tuple(store.health().head()) == (1, 3) and len(store.batches()) == 1
+    assert {r["source"]: r["inserted"] for r in store.ingest(more, 2, 1).collect()} == {"b.txt": True, "a.txt": False}
+    assert tuple(store.health().head()) == (2, 5) and store.chunks().select("chunk_id").distinct().count() == 5
+
+
+def test_only_the_folders_of_new_contents_are_read(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    store.ingest(spark.createDataFrame([(f"{i}.txt", "text/plain", f"text {i}", {}) for i in range(40)], PARSED))
+    part = hashlib.sha256(b"text 7").hexdigest()[:2]
+    looked = store._table("documents", "content_sha256 string, part string").where(F.col("part").isin([part]))
+    plan = looked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and part in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert 1 <= len(looked.inputFiles()) <= 40 and looked.count() >= 1
+
+
+def test_compact_and_clean(spark, tmp_path):
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    for i in range(3):
+        store.ingest(spark.createDataFrame([(f"{i}.txt", "text/plain", f"text number {i}", {"n": str(i)})], PARSED))
+    before = sorted((r["doc_id"], r["metadata"]["n"]) for r in store.documents().collect())
+    assert store.compact() == 3 and len(store.batches()) == 1 and store.clean() == 3 and store.clean() == 0
+    assert sorted((r["doc_id"], r["metadata"]["n"]) for r in store.documents().collect()) == before and tuple(store.health().head()) == (3, 3)
+    assert [r["inserted"] for r in store.ingest(spark.createDataFrame([("x.txt", "text/plain", "text number 1", {})], PARSED)).collect()] == [False]
+
+
 def test_stream_adds_new_contents_once(spark, tmp_path):
     from veritrove.streaming.ingest import ingest_stream
 

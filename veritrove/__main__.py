@@ -52,12 +52,12 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
         _print(service.ingest_paths(store, *given.paths, words_per_chunk=given.words_per_chunk, overlap=given.overlap))
     elif given.command == "query":
         asked = spark.createDataFrame(list(enumerate(given.questions, start=1)), "query_id bigint, question string")
-        _print(service.answer(store, asked, given.k, given.prompt_mode, ChatGenerator() if given.llm else None))
+        _print(service.answer(store, asked, given.k, given.prompt_mode, ChatGenerator.from_environment() if given.llm else None))
     elif given.command == "evaluate":
         row, spent = service.evaluate(store, read_eval_cases(spark, given.cases), given.k, given.prompt_mode)
         print(json.dumps(row.head().asDict() | {"average_latency_ms": spent}))
     elif given.command == "prompt-benchmark":
-        generator = ChatGenerator()
+        generator = ChatGenerator.from_environment()
         quarantined, modes = service.prompt_benchmark(store, read_prompt_cases(spark, given.cases), generator, given.k)
         print(json.dumps({"retrieval_k": given.k, "quarantined_chunks": quarantined, "generator": generator.model}))
         _print(modes)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrove.functions.text import general_format
 from veritrove.plans.durable import stored
+from veritrove.plans.skew import hot_join
 
 # Ranks of modal words in the order in which ties are resolved, and negating words.
 MODALITIES = {"shall": 3, "must": 3, "required": 3, "should": 2, "recommended": 2, "may": 1, "optional": 1}
@@ -49,11 +50,7 @@ def has_negation(text: Column) -> Column:
 
 
 def described(requirements: DataFrame) -> DataFrame:
-    """One row per distinct requirement (``requirement_id``, ``text``), with its position and features.
-
-    The position is that of the smallest (``requirement_id``, ``text``); null
-    texts and ids are left out.
-    """
+    """One row per distinct requirement (``requirement_id``, ``text``) with its features; null texts and ids are left out."""
     once = requirements.where("requirement_id is not null and text is not null").select("requirement_id", "text").distinct()
     text = F.col("text")
     return once.select(
@@ -78,9 +75,10 @@ def overlapping_pairs(rows: DataFrame, minimum_overlap: float, condition=None) -
     rows may share, make no candidates unless nothing rarer is left.
     """
     rest = [c for c in rows.columns if c not in ("n", "tokens", "requirement_id", "text", "facts", "modality")]
-    exploded = rows.select("n", *rest, F.size("tokens").alias("size"), F.explode("tokens").alias("token"))
-    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(counts, "token").groupBy("n", "size", *rest).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("sorted"))
+    exploded = stored(rows.select("n", *rest, F.size("tokens").alias("size"), F.explode("tokens").alias("token")))
+    counts = stored(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("uses", F.col("df")))
+    # a token of most requirements isn't brought together
+    ranked = hot_join(exploded, counts, ["token"], "uses", exploded.count()).groupBy("n", "size", *rest).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("sorted"))
     length = F.col("size") - F.ceil(F.lit(minimum_overlap) * F.col("size") - 1e-9).cast("int") + 1
     prefix = ranked.select("n", "size", *rest, F.explode(F.slice("sorted", F.lit(1), F.greatest(F.lit(1), length))).alias("t")).select("n", "size", *rest, "t.token")
     left, right = (prefix.select("token", F.col("n").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("size", *rest)]) for side in ("l", "r"))
@@ -91,8 +89,23 @@ def overlapping_pairs(rows: DataFrame, minimum_overlap: float, condition=None) -
 
 def numbered(requirements: DataFrame) -> DataFrame:
     """``described`` requirements, written once, with a number ``n`` each and what rules pairs out early."""
-    once = stored(described(requirements))
-    return once.select(F.monotonically_increasing_id().alias("n"), "*", F.col("modality.rank").alias("rank"), (F.size("facts") > 0).alias("counted"))
+    # the numbers are written, as those of two scans may differ
+    return stored(described(requirements).select(F.monotonically_increasing_id().alias("n"), "*", F.col("modality.rank").alias("rank"), (F.size("facts") > 0).alias("counted")))
+
+
+#: Requirements of a block where all pairs are compared.
+BLOCK = 500
+
+
+def all_pairs(rows: DataFrame, condition, block: int = BLOCK) -> DataFrame:
+    """All pairs ``l``, ``r`` of ``rows`` (stored, ``n``) that ``condition`` lets pass: every two blocks of rows meet in a task of their own."""
+    rest = [c for c in rows.columns if c not in ("n", "tokens", "requirement_id", "text", "facts", "modality")]
+    blocks = max(1, -(-rows.count() // block))
+    placed = rows.select("n", *rest, F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = placed.select("n", *rest, "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    left, right = (met.select("x", "y", F.col("n").alias(side), F.col("own").alias(f"{side}_own"), *[F.col(c).alias(f"{side}_{c}") for c in rest]) for side in ("l", "r"))
+    # two rows of one block meet only where it meets itself
+    return left.join(right, ["x", "y"]).where((F.col("l") < F.col("r")) & ((F.col("l_own") != F.col("r_own")) | (F.col("x") == F.col("y")))).where(condition("l_", "r_")).select("l", "r")
 
 
 def may_conflict(a: str, b: str) -> Column:
@@ -117,24 +130,19 @@ def overlap_of(a: str, b: str) -> Column:
 
 
 def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> DataFrame:
-    """All conflicting pairs: ``left_id``, ``right_id``, ``kind``, ``score``, ``explanation``, ``evidence``.
+    """All conflicting pairs, the strongest first: ``left_id``, ``right_id``, ``kind``, ``score``, ``explanation``, ``evidence``.
 
     ``left`` precedes ``right`` by id, then text. Negation decides before
     numbers, numbers before modality; the first pair of different values with
     the same unit counts, in the order of the left text. Repeated rows are one
-    requirement. ``minimum_overlap`` 0 compares all pairs, which needs a
-    collection that is small enough for that: at most 500 requirements.
+    requirement. ``minimum_overlap`` 0 asks for all pairs, which are then compared
+    block by block; that work is quadratic. Equal scores are ordered by ids, then
+    explanation.
     """
     if not 0 <= minimum_overlap <= 1 or math.isnan(minimum_overlap):
         raise ValueError("minimum_overlap must lie between 0 and 1")
     rows = numbered(requirements)
-    if minimum_overlap > 0:
-        pairs = overlapping_pairs(rows, minimum_overlap, may_conflict)
-    else:
-        small = rows.select("n").limit(501)
-        if small.count() > 500:
-            raise ValueError("without a minimum overlap at most 500 requirements can be compared")
-        pairs = small.select(F.col("n").alias("l")).join(F.broadcast(small.select(F.col("n").alias("r"))), F.col("l") < F.col("r"))
+    pairs = overlapping_pairs(rows, minimum_overlap, may_conflict) if minimum_overlap > 0 else all_pairs(rows, may_conflict)
     scored = with_sides(pairs, rows).withColumn("overlap", overlap_of("l_tokens", "r_tokens")).where(F.col("overlap") >= minimum_overlap)
     differing = F.filter(
         F.flatten(F.transform("l_facts", lambda x: F.transform("r_facts", lambda y: F.struct(x["value"].alias("a"), x["unit"].alias("u"), y["value"].alias("b"), y["unit"].alias("v"))))),
@@ -148,6 +156,7 @@ def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> Da
     kind = F.when(negation, F.lit("negation")).when(numeric, F.lit("numeric")).when(modality, F.lit("modality"))
     score = F.when(negation, 0.72 + 0.28 * F.col("overlap")).when(numeric, 0.60 + 0.30 * F.col("overlap") + 0.10 * gap).otherwise(0.55 + 0.35 * F.col("overlap"))
     quoted = lambda c: F.concat(F.lit("'"), F.col(c), F.lit("'"))
+    # fixed values: the wording of the explanations
     explanation = (
         F.when(negation, F.lit("Requirements have overlapping subject matter but opposite negation polarity."))
         .when(
@@ -159,12 +168,12 @@ def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> Da
         .otherwise(F.concat(F.lit("Normative strength differs materially: "), quoted("l_modality.word"), F.lit(" versus "), quoted("r_modality.word"), F.lit(".")))
     )
     found = judged.withColumn("kind", kind).where("kind is not null")
-    return found.select(
+    out = found.select(
         F.col("l_requirement_id").alias("left_id"),
         F.col("r_requirement_id").alias("right_id"),
         "kind",
         F.least(F.lit(1.0), score).alias("score"),
         explanation.alias("explanation"),
         F.array("l_requirement_id", "r_requirement_id").alias("evidence"),
-   
     )
+    return out.orderBy(F.col("score").desc(), "left_id", "right_id", "explanation")

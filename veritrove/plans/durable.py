@@ -36,6 +36,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder, which ``release`` deletes."""
+    path = f"{shared_folder(spark)}/veritrove-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
@@ -43,9 +50,8 @@ def stored(df: DataFrame) -> DataFrame:
     executor costs a read. Partitions are read as they were written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/veritrove-{uuid.uuid4().hex}"
+    path = fresh_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -14,9 +14,10 @@ from veritrove.operators import answers, conflicts, grounding, metrics, policy,
 from veritrove.operators.chunking import chunk_words
 from veritrove.operators.ingest import fingerprint, first_by_content, ingest_plan, ingest_report
 from veritrove.plans import demo
-from veritrove.plans.durable import stored
+from veritrove.plans.durable import fresh_folder, stored
 from veritrove.plans.sql import SQL
-from veritrove.sources.files import parse_metadata
+from veritrove.sources.files import parse_contents, parse_metadata, read_eval_cases, read_prompt_cases
+from veritrove.sources.store import DocumentStore
 from veritrove.sources.tables import table
 
 __all__ = ["QUERIES", "SQL"]
@@ -95,27 +96,75 @@ def incremental_ingest(spark, folder):
     return new.join(counts, "doc_key", "left").select("doc_id", "doc_key", F.coalesce("n", F.lit(0)).alias("chunks"))
 
 
+def _store(spark, folder) -> DocumentStore:
+    """A store that all documents have been ingested into."""
+    store = DocumentStore(spark, fresh_folder(spark))
+    rows = table(spark, folder, "documents").select("source", "media_type", "text", F.create_map().cast("map<string,string>").alias("metadata"))
+    store.ingest(rows)
+    return store
+
+
 def store_health(spark, folder):
-    documents = _firsts(spark, folder).agg(F.count(F.lit(1)).alias("documents"))
-    _, chunks = ingest_plan(_documents(spark, folder), ARRIVAL)
-    return documents.join(F.broadcast(chunks.agg(F.count(F.lit(1)).alias("chunks"))))
+    return _store(spark, folder).health()
+
+
+def store_again(spark, folder):
+    """The report of ingesting all documents into a store that holds them."""
+    rows = table(spark, folder, "documents").select("source", "media_type", "text", F.create_map().cast("map<string,string>").alias("metadata"))
+    report = _store(spark, folder).ingest(rows)
+    return report.select("source", "doc_id", "inserted", "chunks", "content_sha256")
 
 
 def list_documents(spark, folder):
-    rows = table(spark, folder, "documents").select("doc_id", "source", "media_type", "content_sha256", "metadata_json", "created_at")
-    metadata = parse_metadata(F.col("metadata_json"))
-    listed = rows.withColumn("m", metadata)
+    return _store(spark, folder).documents().select("doc_id", "source", "media_type", "content_sha256", F.size("metadata").alias("entries"))
+
+
+def document_metadata(spark, folder):
+    listed = table(spark, folder, "documents").select("doc_id", parse_metadata(F.col("metadata_json")).alias("m"))
     names = F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("null"))))), "|")
-    return listed.orderBy(F.col("created_at").desc(), "doc_id").select("doc_id", "source", "media_type", "content_sha256", names.alias("metadata"))
+    return listed.select("doc_id", names.alias("metadata"))
 
 
 def list_chunks(spark, folder):
-    return _chunks(spark, folder).select("chunk_id", "doc_id", "source", "ordinal", F.sha2("text", 256).alias("digest")).orderBy("doc_id", "ordinal")
+    return _store(spark, folder).chunks().select("chunk_id", "doc_id", "source", "ordinal", F.sha2("text", 256).alias("digest"))
+
+
+def _parsed(rows: DataFrame, suffix: str, content: Column) -> DataFrame:
+    """What the file parsers make of a file of ``content`` per row; ``source`` names it."""
+    found = parse_contents(rows.select(F.concat("source", F.lit(suffix)).alias("source"), F.encode(content, "utf-8").alias("content")))
+    return found.withColumn("source", F.expr(f"left(source, length(source) - {len(suffix)})"))
 
 
 def csv_row_text(spark, folder):
-    rows = table(spark, folder, "sources").select("source", "owner_team")
-    return rows.select("source", F.concat(F.lit("source: "), "source", F.lit(" | owner_team: "), F.coalesce("owner_team", F.lit("None"))).alias("line"))
+    """Each source as a CSV file of one row; a missing owner is a missing field."""
+    owner = F.when(F.col("owner_team").isNotNull(), F.concat(F.lit(","), F.to_csv(F.struct("owner_team"))))
+    content = F.concat(F.lit("source,owner_team\n"), F.to_csv(F.struct("source")), F.coalesce(owner, F.lit("")))
+    return _parsed(table(spark, folder, "sources"), ".csv", content).select("source", F.col("text").alias("line"), F.element_at("metadata", "rows").alias("rows"))
+
+
+def json_file_text(spark, folder):
+    """Each source as a JSON file."""
+    content = F.to_json(F.struct("source", "owner_team"), {"ignoreNullFields": "false"})
+    return _parsed(table(spark, folder, "sources"), ".json", content).select("source", "media_type", "text", F.element_at("metadata", "root_type").alias("root_type"))
+
+
+def case_file(spark, folder):
+    """The cases as one file, read back."""
+    path = fresh_folder(spark)
+    cases = table(spark, folder, "eval_cases").select("case_id", F.struct("question", F.col("relevant_doc_id").cast("string").alias("relevant_doc_id"), "expected_phrase").alias("c"))
+    # a case file is one JSON array
+    whole = cases.agg(F.array_sort(F.collect_list(F.struct("case_id", "c"))).alias("l")).select(F.to_json("l.c").alias("value"))
+    whole.write.text(path)
+    return read_eval_cases(spark, path)
+
+
+def prompt_case_file(spark, folder):
+    """The prompt cases as one file, read back."""
+    path = fresh_folder(spark)
+    cases = table(spark, folder, "eval_cases").select("case_id", F.struct("question", "expected_insufficient_evidence").alias("c"))
+    whole = cases.agg(F.array_sort(F.collect_list(F.struct("case_id", "c"))).alias("l")).select(F.to_json("l.c").alias("value"))
+    whole.write.text(path)
+    return read_prompt_cases(spark, path)
 
 
 def word_terms(spark, folder):
@@ -328,6 +377,8 @@ def demo_mrr(spark, folder):
 
 #: Counts and positions that come out as 64-bit integers.
 _WIDE = {
+    "list_documents": ("entries",),
+    "list_chunks": ("ordinal",),
     "chunk_documents": ("ordinal",),
     "chunk_short_overlap": ("ordinal", "size"),
     "baseline_search": ("rank",),
@@ -360,7 +411,12 @@ _PLAIN = {
     "store_health": store_health,
     "list_documents": list_documents,
     "list_chunks": list_chunks,
+    "store_again": store_again,
+    "document_metadata": document_metadata,
     "csv_row_text": csv_row_text,
+    "json_file_text": json_file_text,
+    "case_file": case_file,
+    "prompt_case_file": prompt_case_file,
     "word_terms": word_terms,
     "word_idf": _idf("word"),
     "word_norms": _norms("word"),

@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from veritrove.functions.text import ENGLISH_STOP_WORDS, GROUNDING_STOP_WORDS, SPACE
-from veritrove.operators.answers import ALL_QUARANTINED, NOTHING_FOUND
-from veritrove.operators.conflicts import MODALITIES, NEGATIONS
-from veritrove.operators.policy import SEVERE, SIGNALS
 from veritrove.operators.prompts import MODES, PART, head
 from veritrove.plans import demo
 
+# Fixed values, written out here again so that a slip in the operators shows: signals (first part, largest gap, second part), those
+# that are severe, ranks of modal words in the order that resolves ties, negating words, and refusals.
+SIGNALS = {
+    "instruction_override": ("ignore|disregard|forget", 40, "instructions?|prompts?|rules?"),
+    "system_prompt_request": ("system prompts?|developer messages?|hidden instructions?", None, None),
+    "credential_request": ("api keys?|passwords?|secrets?|access tokens?|credentials?", None, None),
+    "tool_execution_request": ("run|execute|call|invoke", 30, "tool|command|shell|terminal|function"),
+    "role_reassignment": ("you are now|act as|new role|switch role", None, None),
+}
+SEVERE = ("instruction_override", "system_prompt_request", "credential_request")
+MODALITIES = {"shall": 3, "must": 3, "required": 3, "should": 2, "recommended": 2, "may": 1, "optional": 1}
+NEGATIONS = ("not", "never", "prohibited", "forbidden", "without")
+NOTHING_FOUND = "The indexed documents do not provide sufficient evidence for this question."
+ALL_QUARANTINED = "Potentially relevant retrieved evidence was quarantined by the untrusted-evidence policy, so the system will not use it to generate a factual answer."
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -48,6 +60,11 @@ _FIRSTS = """firsts AS (
     QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY ingested_at NULLS FIRST, doc_id) = 1
 )"""
 
+_LISTED = """listed AS (
+    SELECT sha256(text) AS content_sha256, 'doc-' || substr(sha256(text), 1, 16) AS doc_key, text, source, media_type FROM documents WHERE text IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY sha256(text) ORDER BY source NULLS FIRST, media_type NULLS FIRST) = 1
+)"""
+
 
 def _windows(source: str, key: str, size: int, overlap: int) -> str:
     step = size - overlap
@@ -157,22 +174,28 @@ _REQUIREMENTS = f"""reqs AS (
     )
 ), facts AS (
     SELECT requirement_id, text, generate_subscripts(vals, 1) - 1 AS fact_no, unnest(vals)::DOUBLE AS value, CASE WHEN coalesce(unnest(units), '') = '' THEN 'number' ELSE lower(unnest(units)) END AS unit FROM reqs
+), numbered AS MATERIALIZED (
+    SELECT *, row_number() OVER (ORDER BY requirement_id, text) AS n FROM reqs
+), postings AS (
+    SELECT n, unnest(tokens) AS token FROM numbered
+), met AS (
+    SELECT a.n AS l, b.n AS r, count(*) AS shared FROM postings a JOIN postings b ON a.token = b.token AND a.n < b.n GROUP BY ALL
 ), pairs AS (
     SELECT l.requirement_id AS left_id, r.requirement_id AS right_id, l.text AS l_text, r.text AS r_text, l.word AS l_word, r.word AS r_word, l.rank AS l_rank, r.rank AS r_rank, l.negated AS l_negated, r.negated AS r_negated,
-        len(list_intersect(l.tokens, r.tokens)) / len(list_distinct(l.tokens || r.tokens)) AS overlap
-    FROM reqs l JOIN reqs r ON (l.requirement_id, l.text) < (r.requirement_id, r.text) WHERE len(l.tokens) > 0 AND len(r.tokens) > 0
+        m.l, m.r, shared / (len(l.tokens) + len(r.tokens) - shared) AS overlap
+    FROM met m JOIN numbered l ON l.n = m.l JOIN numbered r ON r.n = m.r
 )"""
-_CONFLICTS = f"""{_REQUIREMENTS}, near AS (SELECT * FROM pairs WHERE overlap >= 0.18), numbers AS (
-    SELECT left_id, l_text, right_id, r_text, a.value AS a, b.value AS b, a.unit
-    FROM near JOIN facts a ON a.requirement_id = left_id AND a.text = l_text JOIN facts b ON b.requirement_id = right_id AND b.text = r_text AND a.unit = b.unit AND a.value <> b.value
-    QUALIFY row_number() OVER (PARTITION BY left_id, l_text, right_id, r_text ORDER BY a.fact_no, b.fact_no) = 1
+_CONFLICTS = f"""{_REQUIREMENTS}, near AS MATERIALIZED (SELECT * FROM pairs WHERE overlap >= 0.18), counted AS MATERIALIZED (SELECT n, fact_no, value, unit FROM facts JOIN numbered USING (requirement_id, text)), numbers AS (
+    SELECT l, r, a.value AS a, b.value AS b, a.unit
+    FROM near JOIN counted a ON a.n = l JOIN counted b ON b.n = r AND a.unit = b.unit AND a.value <> b.value
+    QUALIFY row_number() OVER (PARTITION BY l, r ORDER BY a.fact_no, b.fact_no) = 1
 ), conflicts AS (
     SELECT left_id, right_id, kind, least(1.0, CASE kind WHEN 'negation' THEN 0.72 + 0.28 * overlap WHEN 'numeric' THEN 0.60 + 0.30 * overlap + 0.10 * abs(a - b) / greatest(abs(a), abs(b), 1.0) ELSE 0.55 + 0.35 * overlap END) AS score,
         CASE kind WHEN 'negation' THEN 'Requirements have overlapping subject matter but opposite negation polarity.'
             WHEN 'numeric' THEN 'Requirements specify different values for the same unit: ' || printf('%g', a) || ' ' || unit || ' vs ' || printf('%g', b) || ' ' || unit || '.'
             ELSE 'Normative strength differs materially: ''' || l_word || ''' versus ''' || r_word || '''.' END AS explanation
     FROM (SELECT near.*, a, b, unit, CASE WHEN l_negated <> r_negated THEN 'negation' WHEN unit IS NOT NULL THEN 'numeric' WHEN l_rank > 0 AND r_rank > 0 AND abs(l_rank - r_rank) >= 2 THEN 'modality' END AS kind
-        FROM near LEFT JOIN numbers USING (left_id, l_text, right_id, r_text)) WHERE kind IS NOT NULL
+        FROM near LEFT JOIN numbers USING (l, r)) WHERE kind IS NOT NULL
 )"""
 _HEADS = ", ".join(f"({_text(m)}, {_text(head(m))})" for m in MODES)
 _PROMPTS = f"""{_EVIDENCE}, blocks AS (
@@ -215,10 +238,18 @@ SQL = {
     "chunk_counts": f"WITH {_MADE} SELECT doc_key, count(*) AS chunks FROM made GROUP BY doc_key",
     "chunk_short_overlap": f"WITH {_windows('documents', 'doc_id', 90, 20)} SELECT chunk_id, doc_id, ordinal, length(text) AS size, sha256(text) AS digest FROM made",
     "store_health": f"WITH {_MADE} SELECT (SELECT count(*) FROM firsts) AS documents, (SELECT count(*) FROM made) AS chunks",
-    "list_documents": """SELECT doc_id, source, media_type, content_sha256, CASE WHEN json_valid(metadata_json) AND json_type(metadata_json) = 'OBJECT'
+    "store_again": f"""WITH {_LISTED}, {_windows('listed', 'doc_key', 110, 25)}, counts AS (SELECT doc_key, count(*) AS chunks FROM made GROUP BY doc_key)
+        SELECT d.source, l.doc_key AS doc_id, false AS inserted, coalesce(chunks, 0) AS chunks, l.content_sha256
+        FROM documents d JOIN listed l ON l.content_sha256 = sha256(d.text) LEFT JOIN counts c ON c.doc_key = l.doc_key""",
+    "list_documents": f"WITH {_LISTED} SELECT doc_key AS doc_id, source, media_type, content_sha256, 0 AS entries FROM listed",
+    "document_metadata": """SELECT doc_id, CASE WHEN json_valid(metadata_json) AND json_type(metadata_json) = 'OBJECT'
             THEN array_to_string(list_sort([k || '=' || coalesce(json_extract_string(metadata_json, '$."' || k || '"'), 'null') for k in json_keys(metadata_json)]), '|') END AS metadata FROM documents""",
-    "list_chunks": f"WITH {_CHUNKS} SELECT chunk_id, doc_id, source, ordinal, sha256(text) AS digest FROM once",
-    "csv_row_text": "SELECT source, 'source: ' || source || ' | owner_team: ' || coalesce(owner_team, 'None') AS line FROM sources",
+    "list_chunks": f"WITH {_LISTED}, {_windows('(SELECT doc_key, text FROM listed)', 'doc_key', 110, 25)} SELECT chunk_id, doc_key AS doc_id, source, ordinal, sha256(made.text) AS digest FROM made JOIN listed USING (doc_key)",
+    "csv_row_text": "SELECT source, 'source: ' || source || ' | owner_team: ' || coalesce(owner_team, 'None') AS line, '1' AS rows FROM sources",
+    "json_file_text": """SELECT source, 'application/json' AS media_type, 'dict' AS root_type,
+            '{' || chr(10) || '  "owner_team": ' || coalesce(to_json(owner_team)::VARCHAR, 'null') || ',' || chr(10) || '  "source": ' || to_json(source)::VARCHAR || chr(10) || '}' AS text FROM sources""",
+    "case_file": "SELECT row_number() OVER (ORDER BY case_id) AS query_id, question, relevant_doc_id::VARCHAR AS relevant_doc_id, expected_phrase FROM eval_cases",
+    "prompt_case_file": "SELECT row_number() OVER (ORDER BY case_id) AS query_id, question, coalesce(expected_insufficient_evidence, false) AS expected_insufficient_evidence FROM eval_cases",
     "word_terms": f"WITH {_CHUNKS}, {_word_terms('terms', 'once', 'chunk_id', 'text')} SELECT k AS chunk_id, term, tf FROM terms",
     "word_idf": f"WITH {_CHUNKS}, {_word_terms('terms', 'once', 'chunk_id', 'text')}, {_idf('idfs', 'terms')} SELECT term, df, round(idf, 6) AS idf FROM idfs",
     "word_norms": f"WITH {_CHUNKS}, {_word_terms('terms', 'once', 'chunk_id', 'text')}, {_idf('idfs', 'terms')} SELECT k AS chunk_id, round(sqrt(sum((tf * idf) ** 2)), 6) AS norm FROM terms JOIN idfs USING (term) GROUP BY k",

@@ -12,8 +12,8 @@ from veritrove.sources.store import DocumentStore
 def ingest_stream(parsed: DataFrame, store: DocumentStore, checkpoint: str, words_per_chunk: int = 110, overlap: int = 25, once: bool = False) -> StreamingQuery:
     """Append each micro-batch of parsed documents whose content is new.
 
-    A batch that is run again after a failure finds its contents in the store
-    and adds nothing.
+    A batch becomes part of the store as a whole or not at all; one that is run
+    again after a failure adds what isn't in the store, each content once.
     """
 
     def add(batch: DataFrame, number: int) -> None:
