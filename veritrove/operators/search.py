@@ -6,10 +6,12 @@ length. A question keeps only terms that the collection holds, before its length
 is taken.
 
 The index keeps the length of each chunk's vectors, so that a search needs the
-statistics of the questions' terms only. Questions are scored in blocks against
-blocks of chunks as matrix products where the chunks are read; nothing about a
-chunk is shuffled but the few candidates of each block, so common terms cost no
-join.
+statistics of the questions' terms only. Questions are scored where the chunks
+are read, block by block of chunks; nothing about a chunk is shuffled but the few
+candidates of each block. The questions lie in postings by term. Rare terms are
+added up along these, which touches the pairs that share one; what the common
+terms can add is bounded by the lengths of both sides' common parts, and they are
+added up only for pairs that could still be among a question's best.
 """
 
 from __future__ import annotations
@@ -26,13 +28,20 @@ from pyspark.sql import functions as F
 from veritrove.functions.text import character_terms, word_terms
 from veritrove.plans.durable import stored
 from veritrove.plans.parallel import spread
+from veritrove.plans.skew import hot_join
 
 #: Decimals of scores before they are ranked, so that the order of summation can't decide.
 DECIMALS = 9
 #: Distinct terms up to which their statistics are broadcast to measure the chunks' vectors; beyond, they are joined.
 HELD_TERMS = 1_000_000
-#: Questions that one pass over the chunks scores, and rows of the blocks of either side.
-AT_ONCE, QUESTION_BLOCK, CHUNK_BLOCK = 20_000, 512, 512
+#: Questions that one pass over the chunks scores, most chunks of a block, and most pairs of a block.
+AT_ONCE, CHUNK_BLOCK, CELLS = 20_000, 512, 1 << 20
+#: Terms of the questions that count as common: those that most pairs share, by the product of both sides' counts.
+COMMON = 64
+#: Share of a block's pairs from which common terms are added up for all of it at once.
+DENSE = 0.3
+#: Distinct words whose terms a task remembers.
+HELD_WORDS = 300_000
 #: Partial counts that a task holds before it hands them on.
 HELD_COUNTS = 500_000
 
@@ -66,22 +75,64 @@ def distinct_chunks(chunks: DataFrame) -> DataFrame:
     return once.select("chunk_id", "r.doc_id", "r.ordinal", "r.source", "r.text")
 
 
+class _Growing(dict):
+    """Numbers of terms in the order in which they are met."""
+
+    def __missing__(self, term: str) -> int:
+        number = self[term] = len(self)
+        return number
+
+
+class _Terms:
+    """The numbers of a text's terms, with repetition; ``number`` gives None for a term to be passed over.
+
+    Characters' terms don't reach beyond a word, so those of a word are looked
+    up once while it is remembered.
+    """
+
+    def __init__(self, kind: str, number):
+        self.kind, self.number, self.words = kind, number, {}
+
+    def _numbers(self, terms: list[str]) -> np.ndarray:
+        return np.array([n for n in map(self.number, terms) if n is not None], np.int64)
+
+    def __call__(self, text: str) -> np.ndarray:
+        if self.kind == "word":
+            return self._numbers(word_terms(text))
+        parts = []
+        for word in text.lower().split():
+            found = self.words.get(word)
+            if found is None:
+                if len(self.words) >= HELD_WORDS:
+                    self.words.clear()
+                found = self.words[word] = self._numbers(character_terms(word))
+            parts.append(found)
+        return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _count_terms(kinds: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = {k: Counter() for k in kinds}
+        def fresh():
+            names = {k: _Growing() for k in kinds}
+            return names, {k: _Terms(k, names[k].__getitem__) for k in kinds}, {k: np.zeros(0, np.int64) for k in kinds}
+
+        names, terms, counts = fresh()
 
         def give() -> pa.RecordBatch:
-            rows = [(k, t, n) for k in kinds for t, n in counts[k].items()]
-            for k in kinds:
-                counts[k].clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "term", "df"])
+            columns = [[k for k in kinds for _ in names[k]], [t for k in kinds for t in names[k]]]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in columns), pa.array(np.concatenate([counts[k] for k in kinds]))], ["kind", "term", "df"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            texts = batch.column(0).to_pylist()
+            for first in range(0, len(texts), CHUNK_BLOCK):
                 for k in kinds:
-                    counts[k].update(set(ANALYZERS[k](text)))
-            if sum(map(len, counts.values())) > HELD_COUNTS:
-                yield give()
+                    found = [np.unique(terms[k](text)) for text in texts[first : first + CHUNK_BLOCK]]
+                    new = np.bincount(np.concatenate(found), minlength=len(names[k]))
+                    new[: len(counts[k])] += counts[k]
+                    counts[k] = new
+                if sum(map(len, names.values())) > HELD_COUNTS:
+                    yield give()
+                    names, terms, counts = fresh()
         yield give()
 
     return run
@@ -117,7 +168,10 @@ def with_idf(frequencies: DataFrame, n: int) -> DataFrame:
 
 def norms(chunks: DataFrame, frequencies: DataFrame, n: int, kind: str) -> DataFrame:
     """``chunk_id`` and the length ``norm`` of its tf-idf vector, of chunks with at least one term."""
-    weighted = term_counts(chunks, "chunk_id", (kind,)).join(with_idf(frequencies, n), ["kind", "term"])
+    known = stored(with_idf(frequencies.where(F.col("kind") == kind), n).select("term", "df", "idf"))
+    rows = known.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    # terms of nearly every chunk aren't brought together
+    weighted = hot_join(term_counts(chunks, "chunk_id", (kind,)), known, ["term"], "df", rows)
     return weighted.groupBy("chunk_id").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("norm"))
 
 
@@ -143,12 +197,20 @@ def _held_norms(chunks: DataFrame, frequencies: DataFrame, n: int, kinds: tuple[
     names = ["chunk_id", "doc_id", "ordinal", "source", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = {k: _Growing() for k in kinds}
+        terms = {k: _Terms(k, numbers[k].__getitem__) for k in kinds}
+        weights = {k: np.zeros(0) for k in kinds}
         for batch in batches:
             texts = batch.column(4).to_pylist()
             lengths = []
             for kind in ANALYZERS:
-                idf = held.value.get(kind)
-                lengths.append(pa.array([np.sqrt(sum((c * idf[t]) ** 2 for t, c in Counter(ANALYZERS[kind](x)).items())) if idf else 0.0 for x in texts], pa.float64()))
+                if kind not in kinds:
+                    lengths.append(pa.array(np.zeros(len(texts))))
+                    continue
+                found = [np.unique(terms[kind](x), return_counts=True) for x in texts]
+                new = list(numbers[kind])[len(weights[kind]) :] if len(numbers[kind]) > len(weights[kind]) else []
+                weights[kind] = np.concatenate((weights[kind], [held.value[kind][t] for t in new]))
+                lengths.append(pa.array([float(np.sqrt(((n * weights[kind][at]) ** 2).sum())) for at, n in found], pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *lengths], [*names, *NORMS])
 
     schema = ", ".join(f"{c} {t}" for c, t in chunks.select(*names).dtypes)
@@ -185,96 +247,113 @@ def _vectors(questions: list[tuple], idf: dict[str, float], analyze) -> list[tup
 
 
 class _Side:
-    """The questions' vectors of one analyzer, by blocks, and the chunks' vectors on the same terms."""
-
-    def __init__(self, questions, idf, analyze, block: int):
-        self.analyze = analyze
-        vectors = _vectors(questions, idf, analyze)
-        self.number: dict[str, int] = {}
-        for _, terms in vectors:
-            for t in terms:
-                self.number.setdefault(t, len(self.number))
-        self.idf = np.array([idf[t] for t in self.number])
-        self.blocks = []
-        for first in range(0, len(vectors), block):
-            part = vectors[first : first + block]
-            used = sorted({self.number[t] for _, terms in part for t in terms})
-            local = {g: i for i, g in enumerate(used)}
-            matrix = np.zeros((len(used), len(part)))
-            for j, (values, terms) in enumerate(part):
-                matrix[[local[self.number[t]] for t in terms], j] = values
-            self.blocks.append((np.array(used, np.int64), matrix))
-
-    def chunk_matrix(self, texts: list[str], lengths: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, term number and weight of each of the questions' terms in each chunk."""
-        get = self.number.get
-        rows, columns, values = [], [], []
-        for i, (text, length) in enumerate(zip(texts, lengths)):
-            found = Counter(n for n in map(get, self.analyze(text)) if n is not None)
-            rows.append(np.full(len(found), i))
-            at = np.fromiter(found, np.int64, len(found))
-            columns.append(at)
-            values.append(np.fromiter(found.values(), float, len(found)) * self.idf[at] / (length or 1.0))
-        none = np.zeros(0, np.int64)
-        return np.concatenate([none, *rows]), np.concatenate([none, *columns]), np.concatenate([none.astype(float), *values])
-
-
-def _score(held, k: int, weights: tuple[float, float]):
+    """The questions' vectors of one analyzer as postings by term, common terms apart as a matrix."""
+
+    def __init__(self, kind: str, questions: list[tuple], statistics: dict[str, tuple[float, int]], common: int):
+        vectors = _vectors(questions, {t: idf for t, (idf, _) in statistics.items()}, ANALYZERS[kind])
+        number = _Growing()
+        owner = np.repeat(np.arange(len(vectors)), [len(terms) for _, terms in vectors])
+        place = np.array([number[t] for _, terms in vectors for t in terms], np.int64)
+        value = np.concatenate([np.zeros(0), *(values for values, _ in vectors)])
+        self.terms = _Terms(kind, number.get)
+        self.idf = np.array([statistics[t][0] for t in number])
+        asked = np.bincount(place, minlength=len(number))
+        shared = asked * np.array([statistics[t][1] for t in number], float)
+        self.column = np.full(len(number), -1)
+        chosen = np.argsort(-shared, kind="stable")[:common]
+        self.column[chosen] = np.arange(len(chosen))
+        often = self.column[place] >= 0
+        self.matrix = np.zeros((len(chosen), len(vectors)))
+        self.matrix[self.column[place[often]], owner[often]] = value[often]
+        self.common = np.sqrt((self.matrix**2).sum(0))
+        order = np.argsort(place[~often], kind="stable")
+        self.owners, self.values = owner[~often][order], value[~often][order]
+        self.count = np.where(self.column < 0, asked, 0)
+        self.start = np.cumsum(self.count) - self.count
+
+    def block(self, texts: list[str], lengths: list[float], questions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rare terms' part of all scores, the chunks' common parts and the lengths of these."""
+        found = [np.unique(self.terms(text), return_counts=True) for text in texts]
+        row = np.repeat(np.arange(len(texts)), [len(at) for at, _ in found])
+        at = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in found)])
+        value = np.concatenate([np.zeros(0), *(n for _, n in found)]) * self.idf[at] / np.array([x or 1.0 for x in lengths])[row]
+        often = self.column[at] >= 0
+        common = np.zeros((len(texts), len(self.matrix)))
+        common[row[often], self.column[at[often]]] = value[often]
+        row, at, value = row[~often], at[~often], value[~often]
+        each = self.count[at]
+        posting = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each) + np.repeat(self.start[at], each)
+        cell = np.repeat(row * questions, each) + self.owners[posting]
+        rare = np.bincount(cell, np.repeat(value, each) * self.values[posting], minlength=len(texts) * questions).astype(float).reshape(len(texts), questions)
+        return rare, common, np.sqrt((common**2).sum(1))
+
+
+def _score(held, k: int, weights: tuple[float, float], counter=None):
     """Candidates of each block of chunks: for each question the best chunks of the documents with the best chunks.
 
     A document whose best chunk is behind those of k others can't give one of
     the k results, as each of the others gives a better first pick; and no
     document gives more than k. That holds for any part of the chunks, so what a
-    block leaves out isn't missed, whatever other blocks hold.
+    block leaves out isn't missed, whatever other blocks hold. ``counter``, an
+    accumulator, adds up the pairs that are scored in full.
     """
+    shared, dense, largest, cells = COMMON, DENSE, CHUNK_BLOCK, CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         questions, statistics = held.value
-        ids = [q[0] for q in questions]
-        sides = [(w, _Side(questions, statistics[kind], ANALYZERS[kind], QUESTION_BLOCK)) if w and kind in statistics else None for w, kind in zip(weights, ("word", "character"))]
-        bound = np.full(len(ids), -1.0)
+        ids, n = [q[0] for q in questions], len(questions)
+        sides = [(w, column, _Side(kind, questions, statistics[kind], shared)) for w, column, kind in zip(weights, (4, 5), ANALYZERS) if w and kind in statistics]
+        size = max(1, min(largest, cells // max(1, n)))
+        bound, begun = np.full(n, -1.0), False
         for batch in batches:
             table = [c.to_pylist() for c in batch.columns]
             order = sorted(range(batch.num_rows), key=lambda i: (_last(table[1][i]), _last(table[2][i]), table[0][i]), reverse=True)
-            for first in range(0, len(order), CHUNK_BLOCK):
-                block = order[first : first + CHUNK_BLOCK]
+            out = [[], [], [], [], []]
+            # a short block first, so that later ones have bounds
+            cuts = [0, *range(size if begun else max(1, size // 8), len(order), size), len(order)]
+            begun = True
+            for first, last in zip(cuts, cuts[1:]):
+                block = order[first:last]
                 texts = [table[3][i] for i in block]
-                sparse = [s and s[1].chunk_matrix(texts, [table[column][i] for i in block]) for s, column in zip(sides, (4, 5))]
-                out = [[], [], [], [], []]
-                for number in range(-(-len(ids) // QUESTION_BLOCK)):
-                    base = number * QUESTION_BLOCK
-                    parts = []
-                    for side, entries in zip(sides, sparse):
-                        size = min(QUESTION_BLOCK, len(ids) - base)
-                        if side is None:
-                            parts.append(np.zeros((len(block), size)))
-                            continue
-                        used, matrix = side[1].blocks[number]
-                        rows, columns, values = entries
-                        at = np.searchsorted(used, columns)
-                        there = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == columns) if len(used) else np.zeros(len(columns), bool)
-                        dense = np.zeros((len(block), len(used)))
-                        dense[rows[there], at[there]] = values[there]
-                        parts.append(dense @ matrix)
-                    fused = np.round(weights[0] * parts[0] + weights[1] * parts[1], DECIMALS)
-                    for j in np.flatnonzero((fused >= bound[base : base + fused.shape[1]]).any(0)).tolist():
-                        column = fused[:, j]
-                        docs: dict = {}
-                        for i in np.argsort(-column, kind="stable").tolist():
-                            if column[i] < bound[base + j]:
-                                break
-                            doc = table[1][block[i]]
-                            taken = docs.get(doc, 0)
+                parts = {column: side.block(texts, [table[column][i] for i in block], n) for _, column, side in sides}
+                most = sum(w * (parts[column][0] + np.outer(parts[column][2], side.common)) for w, column, side in sides)
+                hopeful = most >= bound - 10.0**-DECIMALS
+                scores = {4: None, 5: None}
+                every = hopeful.mean() > dense
+                where = slice(None) if every else np.nonzero(hopeful)
+                for _, column, side in sides:
+                    rare, common, _ = parts[column]
+                    scores[column] = rare
+                    if every:
+                        rare += common @ side.matrix
+                    else:
+                        for begin in range(0, len(where[0]), 4096):
+                            i, j = (x[begin : begin + 4096] for x in where)
+                            rare[i, j] += np.einsum("ij,ij->i", common[i], side.matrix.T[j])
+                if counter is not None:
+                    counter.add(int(hopeful.size if every else len(where[0])))
+                word, character = (np.zeros((len(block), n)) if s is None else s for s in scores.values())
+                fused = np.round(weights[0] * word + weights[1] * character, DECIMALS)
+                if not every:
+                    fused[~hopeful] = -np.inf
+                for j in np.flatnonzero((fused >= bound).any(0)).tolist():
+                    column = fused[:, j]
+                    docs: dict = {}
+                    for i in np.argsort(-column, kind="stable").tolist():
+                        if column[i] < bound[j]:
+                            break
+                        doc = table[1][block[i]]
+                        taken = docs.get(doc, 0)
+                        if not taken and len(docs) == k:
+                            break
+                        docs[doc] = taken + 1
+                        if taken < k:
+                            for values, value in zip(out, (ids[j], block[i], column[i], word[i, j], character[i, j])):
+                                values.append(value)
                             if not taken and len(docs) == k:
-                                break
-                            docs[doc] = taken + 1
-                            if taken < k:
-                                for values, value in zip(out, (ids[base + j], block[i], column[i], parts[0][i, j], parts[1][i, j])):
-                                    values.append(value)
-                                if not taken and len(docs) == k:
-                                    bound[base + j] = max(bound[base + j], column[i])
-                at = pa.array(out[1], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(batch.column(c).take(at) for c in (0, 1, 2)), *(pa.array(x, pa.float64()) for x in out[2:])], ["query_id", "chunk_id", "doc_id", "ordinal", "score", "word_score", "character_score"])
+                                bound[j] = max(bound[j], column[i])
+            at = pa.array(out[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(batch.column(c).take(at) for c in (0, 1, 2)), *(pa.array(x, pa.float64()) for x in out[2:])], ["query_id", "chunk_id", "doc_id", "ordinal", "score", "word_score", "character_score"])
 
     return run
 
@@ -286,7 +365,7 @@ def _last(value):
 CANDIDATES = "query_id bigint, chunk_id string, doc_id bigint, ordinal int, score double, word_score double, character_score double"
 
 
-def _candidates(questions: DataFrame, index: Index, k: int, weights: tuple[float, float]) -> DataFrame:
+def _candidates(questions: DataFrame, index: Index, k: int, weights: tuple[float, float], counter=None) -> DataFrame:
     spark = questions.sparkSession
     passes = -(-questions.count() // AT_ONCE)
     out = None
@@ -296,13 +375,13 @@ def _candidates(questions: DataFrame, index: Index, k: int, weights: tuple[float
         asked = sorted((r["query_id"], r["question"]) for r in part.collect())
         # of the vocabulary, only the terms of these questions
         own = term_counts(part.withColumnRenamed("question", "text"), "query_id", index.kinds).select("kind", "term").distinct()
-        terms = with_idf(own.join(index.frequencies, ["kind", "term"]), index.n).select("kind", "term", "idf").toArrow()
-        statistics: dict[str, dict[str, float]] = {kind: {} for kind in index.kinds}
-        for kind, term, idf in zip(*(c.to_pylist() for c in terms.columns)):
-            statistics[kind][term] = idf
+        terms = with_idf(own.join(index.frequencies, ["kind", "term"]), index.n).select("kind", "term", "idf", "df").toArrow()
+        statistics: dict[str, dict[str, tuple[float, int]]] = {kind: {} for kind in index.kinds}
+        for kind, term, idf, df in zip(*(c.to_pylist() for c in terms.columns)):
+            statistics[kind][term] = (idf, df)
         held = spark.sparkContext.broadcast((asked, statistics))
         rows = spread(index.chunks.select("chunk_id", F.col("doc_id").cast("long"), F.col("ordinal").cast("int"), "text", *NORMS))
-        found = rows.mapInArrow(_score(held, k, weights), CANDIDATES)
+        found = rows.mapInArrow(_score(held, k, weights, counter), CANDIDATES)
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], CANDIDATES)
 
@@ -325,20 +404,21 @@ def diversity_rank(candidates: DataFrame, k: int, penalty: float, cap) -> DataFr
     return ranked.where(F.col("rank") <= F.least(F.lit(k), cap)).drop("__j", "__worth")
 
 
-def hybrid_search(questions: DataFrame, index: Index, k: int = 5, diversity_penalty: float = 0.08, weights: Weights | None = None, half_cap: bool = True) -> DataFrame:
+def hybrid_search(questions: DataFrame, index: Index, k: int = 5, diversity_penalty: float = 0.08, weights: Weights | None = None, half_cap: bool = True, counter=None) -> DataFrame:
     """The best chunks of each question: ``query_id``, ``rank``, ``score``, ``word_score``, ``character_score``, ``chunk_id``, ``doc_id``, ``source``, ``text``.
 
     ``questions``: unique ``query_id``, ``question`` (null as empty). A question
     gets min(k, ceil(n / 2)) results of a collection of n chunks, or min(k, n)
     without ``half_cap``. Chunks of score 0 fill up where fewer score. An empty
-    collection gives no rows.
+    collection gives no rows. ``counter``, an accumulator, adds up the pairs of
+    question and chunk that are scored in full.
     """
     if k < 1:
         raise ValueError("k must be positive")
     if diversity_penalty < 0:
         raise ValueError("diversity_penalty cannot be negative")
     scaled = (weights or Weights()).scaled()
-    candidates = _candidates(questions, index, k, scaled)
+    candidates = _candidates(questions, index, k, scaled, counter)
     cap = -(-index.n // 2) if half_cap else index.n
     ranked = diversity_rank(candidates, k, diversity_penalty, F.lit(cap))
     texts = index.chunks.select("chunk_id", "source", "text")
