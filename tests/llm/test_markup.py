@@ -85,3 +85,49 @@ def test_documents(frame, common, spark):
     assert clean_documents(frame([]), common).count() == 0
     with pytest.raises(ValueError):
         clean_documents(frame([]), spark.range(10_001).selectExpr("cast(id as string) word"))
+
+
+PROSE = "It is the custom of the house that the letters are read in the morning and that the answers are written by noon, as it was in the days of the founder and is to this day, for that is how it is done in the house."
+
+
+def test_links_of_a_text_without_markup_go():
+    menu = "https://a.example/home https://a.example/us https://a.example/contact"
+    assert clean(f"{menu}\n\n{PROSE}\n \n- https://a.example/x\n- https://a.example/y\n\n{PROSE}", COMMON) == (f"{PROSE}\n\n- https://a.example/x\n- https://a.example/y\n\n{PROSE}", [], 1)
+    assert clean(f"  {PROSE}\r\n\r\n\r\n See https://a.example/x for it. ", COMMON) == (f"  {PROSE}\r\n\r\n\r\n See https://a.example/x for it. ", [], 0)
+
+
+def test_nesting_of_any_depth():
+    deep = "\\emph{" * 9 + "x" + "}" * 9
+    assert convert(f"a {deep} b") == ("a x b", ["latex"])
+    assert convert("a 0 `b` c")[1] == ["markdown"]
+    assert clean("'''''both''''' and ''one '''two''' three''", COMMON)[0] == "both and one two three"
+
+
+def test_many_blocks_take_linear_time():
+    import time
+
+    blocks = ["short one", "Home About", PROSE, "tiny"] * 15_000
+    began = time.monotonic()
+    labels = classify(blocks, COMMON)
+    assert labels[:4] == ["rest", "rest", "content", "content"] and time.monotonic() - began < 20
+
+
+def test_second_sweep_like_the_definition():
+    import random
+
+    pick = random.Random(4)
+    kinds = {"content": PROSE, "rest": "Home About us", "short": "short one", "near": "the words of a line that is near " * 3}
+    for _ in range(60):
+        names = pick.choices(list(kinds), k=12)
+        decided = [i for i, x in enumerate(names) if x in ("content", "rest")]
+        want = []
+        for i, x in enumerate(names):
+            if x in ("content", "rest"):
+                want.append(x)
+                continue
+            sides = [max((d for d in decided if d < i), default=None), min((d for d in decided if d > i), default=None)]
+            sides = [d for d in sides if d is not None]
+            least = min((abs(d - i) for d in sides), default=0)
+            near = {names[d] for d in sides if x == "near" or abs(d - i) == least}
+            want.append("rest" if near == {"rest"} and x == "short" else "content")
+        assert classify([kinds[x] for x in names], COMMON) == want

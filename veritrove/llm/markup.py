@@ -83,6 +83,9 @@ _BREAKS = re.compile(r"\n(?:[^\S\n]*\n)+")
 _SPACES = re.compile(r"[^\S\n]+")
 
 
+_HELD = re.compile("\ue000(\\d+)\ue001")
+
+
 class _Text:
     """A text under conversion; verbatim parts wait behind private code points."""
 
@@ -102,11 +105,14 @@ class _Text:
             self.kinds.add(kind)
 
     def done(self) -> str:
-        for _ in range(3):  # held parts may hold others
-            if "\ue000" not in self.text:
-                break
-            self.text = re.sub("\ue000(\\d+)\ue001", lambda m: self.held[int(m[1])] if int(m[1]) < len(self.held) else "", self.text)
-        return self.text
+        parts: list[str] = []
+
+        def back(m: re.Match) -> str:
+            return parts[int(m[1])] if int(m[1]) < len(parts) else ""
+
+        for part in self.held:  # a held part may hold earlier ones
+            parts.append(_HELD.sub(back, part))
+        return _HELD.sub(back, self.text)
 
 
 def _code(block: str) -> str:
@@ -180,11 +186,10 @@ def _from_latex(t: _Text) -> None:
             return ""
         return f" ({inner})" if name == "footnote" else inner
 
-    for _ in range(4):  # arguments may hold commands
-        new = _COMMAND.sub(command, t.text)
-        if new == t.text:
+    while True:  # arguments may hold commands; each turn takes the innermost ones
+        t.text, n = _COMMAND.subn(command, t.text)
+        if not n:
             break
-        t.text = new
     t.swap(_BARE, "latex", lambda m: "\n- " if m[1] == "item" else "\n")
     if "latex" in t.kinds:
         t.text = re.sub(r"\n[^\S\n]*\n- ", "\n- ", t.text)
@@ -206,8 +211,11 @@ def _from_wiki(t: _Text) -> None:
     if "{{" in t.text:
         t.swap(_TEMPLATE, "wiki", lambda m: m[1].partition("|")[2].split("|")[0])
     if "''" in t.text:
-        for _ in range(2):
-            t.swap(_RUN, "wiki", r"\2")
+        while True:  # runs may hold shorter ones
+            t.text, n = _RUN.subn(r"\2", t.text)
+            if not n:
+                break
+            t.kinds.add("wiki")
     if "=" in t.text:
         t.swap(_WIKI_HEADING, "wiki", lambda m: f"\n\n{_HEAD * len(m[1])} {m[2]}\n\n")
 
@@ -307,25 +315,41 @@ def classify(blocks: list[str], common: frozenset[str]) -> list[str]:
             labels.append("content" if size > LONG else "near")
         else:
             labels.append("near" if stop >= STOP_LOW else "short")
-    # second pass: what is undecided takes the label of the nearest decided blocks, content winning a tie
-    decided = [i for i, x in enumerate(labels) if x in ("content", "rest")]
+    # second pass: what is undecided takes the label of the nearest decided blocks, content winning a tie; one sweep either way
+    before, after = _nearest(labels), [d and (len(labels) - 1 - d[0], d[1]) for d in reversed(_nearest(labels[::-1]))]
     out = []
     for i, label in enumerate(labels):
         if label in ("content", "rest", "kept"):
             out.append("content" if label == "kept" else label)
             continue
-        before = max((d for d in decided if d < i), default=None)
-        after = min((d for d in decided if d > i), default=None)
-        near = {labels[d] for d in (before, after) if d is not None and (label == "near" or abs(d - i) == min(abs(x - i) for x in (before, after) if x is not None))}
+        sides = [d for d in (before[i], after[i]) if d]
+        least = min((abs(at - i) for at, _ in sides), default=0)
+        near = {found for at, found in sides if label == "near" or abs(at - i) == least}
         out.append("rest" if near == {"rest"} and label == "short" else "content")
     return out
 
 
+def _nearest(labels: list[str]) -> list[tuple[int, str] | None]:
+    """For each place the place and label of the last decided block before it."""
+    out, last = [], None
+    for i, label in enumerate(labels):
+        out.append(last)
+        if label in ("content", "rest"):
+            last = (i, label)
+    return out
+
+
 def clean(text: str, common: frozenset[str]) -> tuple[str, list[str], int]:
     """Clean text, markup languages, and how many blocks were dropped."""
     plain, kinds = convert(text)
     if not kinds:
-        return text, [], 0
+        if "://" not in text and "www." not in text:
+            return text, [], 0  # without a link no block is one of links
+        # what stays of a text without markup stays as it is, between its own breaks
+        parts = _BREAKS.split(text)
+        there = [i for i, x in enumerate(parts) if x.strip()]
+        gone = {i for i, x in zip(there, classify([parts[i].strip("\n") for i in there], common)) if x == "rest"}
+        return ("\n\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text), [], len(gone)
     blocks = [b for b in (re.sub(r"[ \t]+$", "", x.strip("\n"), flags=re.M) for x in _BREAKS.split(plain)) if b.strip()]
     labels = classify(blocks, common)
     kept = [b.replace("\ue010", "").replace("\ue011", "") for b, x in zip(blocks, labels) if x == "content"]
@@ -337,8 +361,8 @@ def clean_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` (clean), ``markup`` (languages found), ``dropped`` (number of blocks).
 
     ``words`` (column ``word``) holds common words of all languages; it is a
-    fixed table and refused beyond 10,000 rows. A text without markup stays as
-    it is. Null texts stay null, with no markup; rows without an id stay; of
+    fixed table and refused beyond 10,000 rows. The block rules
+    hold for every text; blocks of a text without markup stay as they are or go. Null texts stay null, with no markup; rows without an id stay; of
     repeated ids each row stays. Headings come out as ``#`` lines, lists as
     ``-`` lines, code indented by four, table rows as cells parted by ``|``,
     formulas in their own notation; all of these are kept, with links or without.
