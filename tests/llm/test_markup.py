@@ -93,6 +93,7 @@ PROSE = "It is the custom of the house that the letters are read in the morning
 def test_links_of_a_text_without_markup_go():
     menu = "https://a.example/home https://a.example/us https://a.example/contact"
     assert clean(f"{menu}\n\n{PROSE}\n \n- https://a.example/x\n- https://a.example/y\n\n{PROSE}", COMMON) == (f"{PROSE}\n\n- https://a.example/x\n- https://a.example/y\n\n{PROSE}", [], 1)
+    assert clean(f"{PROSE}\n\nSource: https://a.example/x", COMMON)[2] == 0
     assert clean(f"  {PROSE}\r\n\r\n\r\n See https://a.example/x for it. ", COMMON) == (f"  {PROSE}\r\n\r\n\r\n See https://a.example/x for it. ", [], 0)
 
 

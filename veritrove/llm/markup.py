@@ -348,7 +348,8 @@ def clean(text: str, common: frozenset[str]) -> tuple[str, list[str], int]:
         # what stays of a text without markup stays as it is, between its own breaks
         parts = _BREAKS.split(text)
         there = [i for i, x in enumerate(parts) if x.strip()]
-        gone = {i for i, x in zip(there, classify([parts[i].strip("\n") for i in there], common)) if x == "rest"}
+        # a single link is a reference rather than navigation
+        gone = {i for i, x in zip(there, classify([parts[i].strip("\n") for i in there], common)) if x == "rest" and len(re.findall(_URL, parts[i])) > 1}
         return ("\n\n".join(x for i, x in enumerate(parts) if i not in gone) if gone else text), [], len(gone)
     blocks = [b for b in (re.sub(r"[ \t]+$", "", x.strip("\n"), flags=re.M) for x in _BREAKS.split(plain)) if b.strip()]
     labels = classify(blocks, common)
@@ -362,7 +363,8 @@ def clean_documents(documents: DataFrame, words: DataFrame) -> DataFrame:
 
     ``words`` (column ``word``) holds common words of all languages; it is a
     fixed table and refused beyond 10,000 rows. The block rules
-    hold for every text; blocks of a text without markup stay as they are or go. Null texts stay null, with no markup; rows without an id stay; of
+    hold for every text; blocks of a text without markup stay as they are, and only
+    those with several links can go. Null texts stay null, with no markup; rows without an id stay; of
     repeated ids each row stays. Headings come out as ``#`` lines, lists as
     ``-`` lines, code indented by four, table rows as cells parted by ``|``,
     formulas in their own notation; all of these are kept, with links or without.
