@@ -43,6 +43,14 @@ def test_ids(frame):
     assert T.token_ids(frame([])).count() == 0 and T.token_ids(frame(["x"], [None])).count() == 0
 
 
+def test_rows_of_a_repeated_id_keep_apart(frame):
+    texts = ["one two three", "four five six " * 100, "one two three"]
+    encode = T.encoder().encode_ordinary
+    encoded = T.token_ids(frame(texts, [1, 1, 1]))
+    assert sorted(r["ids"] for r in encoded.collect()) == sorted(map(encode, texts))
+    assert sorted(r["text"] for r in T.decoded(encoded).collect()) == sorted(texts)
+
+
 def test_exact_fill():
     counts = np.zeros(65, np.int64)
     counts[[5, 7, 20]] = 2, 1, 1

@@ -46,6 +46,7 @@ def exact_fill(counts: np.ndarray, gap: int) -> tuple[int, ...]:
             continue
         low = np.arange(max(1, rest - a), rest // 2 + 1)
         low = low[free[low] & free[rest - low]]
+        # of these at most two can fail by count: the one with b equal to a or to the third, so four are as good as all
         for b in low[:4].tolist():
             need = np.bincount([a, b, rest - b])
             if (counts[: len(need)] >= need).all():

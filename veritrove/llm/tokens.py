@@ -30,7 +30,7 @@ LONGEST = 8192
 #: A chunk that one task meets so often is spread over so many reducers.
 HOT, SPREAD = 64, 32
 
-PARTS = "doc_id bigint, pos int, joined boolean, key binary, spread int, text string"
+PARTS = "doc_id bigint, row bigint, pos int, joined boolean, key binary, spread int, text string"
 
 
 @lru_cache(maxsize=4)
@@ -118,8 +118,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(met) > 200_000:  # the table only saves work; forgetting it never changes a result
                 met.clear()
                 sent.clear()
-        columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(places, pa.int32()), pa.array(joins, pa.bool_()), pa.array(keys, pa.binary()), pa.array(spreads, pa.int32()), pa.array(texts, pa.string())]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pos", "joined", "key", "spread", "text"])
+        at = pa.array(row, pa.int64())
+        columns = [batch.column(0).take(at), batch.column(2).take(at), pa.array(places, pa.int32()), pa.array(joins, pa.bool_()), pa.array(keys, pa.binary()), pa.array(spreads, pa.int32()), pa.array(texts, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "row", "pos", "joined", "key", "spread", "text"])
 
 
 def _encode(vocabulary: str, folder: str | None):
@@ -128,13 +129,13 @@ def _encode(vocabulary: str, folder: str | None):
         last, ids = None, []
         for batch in batches:  # sorted by key, the rows that hold the text first
             out, ends = [], [0]
-            for key, text in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for key, text in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
                 if key != last:
                     last, ids = key, encode(text) if text else []
                 out += ids
                 ends.append(len(out))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["doc_id", "pos", "joined", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], lists], ["doc_id", "row", "pos", "joined", "ids"])
 
     return run
 
@@ -199,8 +200,8 @@ def _count(tokenizer, ids: list[int], size: int) -> int:
 def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
     """``doc_id`` and ``ids`` (array<int>) of every row of ``documents``.
 
-    One output row for each ``doc_id``, which is taken as unique (of repeated
-    ids the texts' chunks would mix); rows without an id are left out. An empty
+    One output row for each row, also where an id is repeated; rows without an
+    id are left out. An empty
     and a null text give an empty list. Strings of special tokens are ordinary
     text. Further columns are ignored. An empty table gives an empty result.
 
@@ -208,10 +209,11 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str |
     once per task, and one that is met very often is spread over ``SPREAD``
     reducers), then the ids by document.
     """
-    pieces = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(_cut, PARTS)
+    whole = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    pieces = whole.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut, PARTS)
     placed = pieces.repartition("key", "spread").sortWithinPartitions("key", F.col("text").isNull())
-    encoded = placed.select("doc_id", "pos", "joined", "key", "text").mapInArrow(_encode(vocabulary, folder), "doc_id bigint, pos int, joined boolean, ids array<int>")
-    parts = encoded.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "joined", "ids"))).alias("parts"))
+    encoded = placed.select("doc_id", "row", "pos", "joined", "key", "text").mapInArrow(_encode(vocabulary, folder), "doc_id bigint, row bigint, pos int, joined boolean, ids array<int>")
+    parts = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "joined", "ids"))).alias("parts"))
 
     @F.pandas_udf("array<int>")
     def mended(ids: pd.Series, joined: pd.Series) -> pd.Series:
@@ -220,3 +222,14 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str |
     unsafe = F.exists("parts", lambda p: ~p["joined"])
     asked = parts.select("doc_id", "parts", F.when(unsafe, F.col("parts.ids")).alias("u"), F.when(unsafe, F.col("parts.joined")).alias("j"))
     return asked.select("doc_id", F.coalesce(mended("u", "j"), F.flatten("parts.ids")).alias("ids"))
+
+
+def decoded(encoded: DataFrame, vocabulary: str = VOCABULARY, folder: str | None = None) -> DataFrame:
+    """``doc_id`` and ``text`` of what ``token_ids`` gives; null for null ids."""
+
+    @F.pandas_udf("string")
+    def decode(ids: pd.Series) -> pd.Series:
+        tokenizer = encoder(vocabulary, folder)
+        return pd.Series([None if i is None else tokenizer.decode_bytes(list(i)).decode() for i in ids], dtype=object)
+
+    return encoded.select("doc_id", decode("ids").alias("text"))
