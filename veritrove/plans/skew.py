@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veritrove.plans.durable import stored
+
 #: A key is hot if it has more than this share of the rows, so that there are fewer hot keys than 1 / HOT.
 HOT = 1 / 2000
 #: Rows of a key that no task minds.
@@ -84,9 +86,10 @@ def frequent(values: DataFrame, least: int, counters: int = COUNTERS) -> DataFra
                 counts = counts - np.partition(counts, -counters - 1)[-counters - 1]
                 keys, counts = keys[counts > 0], counts[counts > 0]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts), pa.array(np.full(len(keys), seen))], ["key", "n", "seen"])
+        # under null, the number of all
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([0]), pa.array([seen])], ["key", "n", "seen"])
 
     counted = values.mapInArrow(run, "key bigint, n bigint, seen bigint")
-    sums = counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("key").isNull(), F.col("seen"))).alias("seen"))
-    every = sums.agg(F.max("seen").alias("every"))
-    return sums.join(F.broadcast(every)).where(F.col("key").isNotNull() & (F.col("n") * counters >= F.col("every")) & (F.col("n") >= least)).select("key")
+    sums = stored(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen")))
+    every = sums.where("key is null").agg(F.coalesce(F.sum("seen"), F.lit(0))).first()[0]
+    return sums.where(F.col("key").isNotNull() & (F.col("n") * counters >= every) & (F.col("n") >= least)).select("key")
