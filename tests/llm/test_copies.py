@@ -102,3 +102,20 @@ def test_records_of_which_half_share_a_content_and_values(frame):
     found = groups(copies(frame(texts)))
     assert found == {2: set(range(4, 301, 2))}
     assert sorted(r["copies"] for r in copy_counts(frame(texts)).collect()) == [1] * 150 + [150]
+
+
+def test_no_hot_content_is_shuffled(frame, monkeypatch, spark):
+    from veritrove.llm import copies as K
+
+    texts = ["one text that half of all documents have"] * 150 + [f"text {i // 2}" for i in range(150)]
+    random.Random(2).shuffle(texts)
+    want = groups(copies(frame(texts)))
+    monkeypatch.setattr(K.hot_join, "__defaults__", (20,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = copies(frame(texts))
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+        assert groups(found) == want and max(map(len, want.values())) == 149
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

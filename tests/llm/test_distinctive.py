@@ -58,3 +58,19 @@ def test_edges(spark):
 def test_terms():
     assert D.terms("Ab ABCD efgh_ijkl m0nop qrst") == ["abcd", "efgh", "ijkl", "qrst"]
     assert D.terms("İstanbul ½abcd") == ["i̇stanbul", "abcd"]
+
+
+def test_a_term_of_all_chunks_is_not_brought_together(spark, monkeypatch):
+    data = rows(3)
+    frame = spark.createDataFrame(data, SCHEMA)
+    want = expected(data, 1, (1, None))
+    monkeypatch.setattr(D.hot_join, "__defaults__", (60,))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = D.distinctive_terms(frame)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == 2 and plan.count("SortMergeJoin") == 1
+        got = {(r["chunk_id"], r["term"]): r["score"] for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k][1], abs_tol=1e-9) for k in want)

@@ -107,6 +107,80 @@ def test_pairs_at_the_threshold_meet_at_the_depth_of_a_million_documents():
     assert (~(keys[::2] == keys[1::2]).any(1)).sum() <= 12
 
 
+def met_keys(texts, runs, depth):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    return np.concatenate([np.array(b.column(4).to_pylist()) for b in N._describe(1, runs, depth, False)([batch])])
+
+
+def pairs_at(similarity_tenths, n, seed):
+    """Pairs of 1-word sets that share exactly so many tenths of their union of 50 words."""
+    pick, out = random.Random(seed), []
+    for _ in range(n):
+        words = [f"w{pick.getrandbits(40)}" for _ in range(50)]
+        own = (50 - 5 * similarity_tenths) // 2
+        out += [" ".join(words[: 50 - own]), " ".join(words[own:])]
+    return out
+
+
+@pytest.mark.parametrize("documents,pairs_made", [(1_000_000, 2000), (100_000_000, 400)])
+def test_recall_at_the_depth_of_very_many_documents(documents, pairs_made):
+    depth = N.depth_for(documents)
+    assert depth == (4 if documents == 1_000_000 else 5)
+    keys = met_keys(pairs_at(6, pairs_made, 5), N.whole_runs(0.6, depth), depth)
+    assert (~(keys[::2] == keys[1::2]).any(1)).mean() <= 0.005
+
+
+def test_recall_of_pairs_whose_leaves_are_all_split_again():
+    """Every leaf that a pair meets in counts as too large, on each of all levels."""
+    depth, n = 4, 1500
+    texts = pairs_at(6, n, 9)
+    keys = met_keys(texts, N.whole_runs(0.6, depth), depth)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    values = np.concatenate([np.array(b.column(4).to_pylist()) for b in N._describe(1, 0, 0, True)([batch])])
+    pair, leaf = np.nonzero(keys[::2] == keys[1::2])
+    both = keys[::2][pair, leaf]
+    for level in range(N.LEVELS):
+        sides = []
+        for side in (0, 1):
+            flat = pa.array(values[2 * pair + side].astype(np.int64).ravel())
+            offsets = pa.array(np.arange(len(pair) + 1, dtype=np.int32) * N.SIGNATURE)
+            same = pa.array(np.zeros(len(pair), np.int64))
+            rows = pa.RecordBatch.from_arrays([pa.array(both), same, same, same, pa.ListArray.from_arrays(offsets, flat)], ["key", "doc_id", "low", "high", "list"])
+            sides.append(np.stack([b.column(0).to_numpy() for b in N._children(level)([rows])]))
+        child, at = np.nonzero(sides[0] == sides[1])
+        both, pair = sides[0][child, at], pair[at]
+        _, first = np.unique(np.stack((pair, both)), axis=1, return_index=True)
+        # what matters is that a pair goes on somewhere; a few of its buckets tell that
+        order = np.argsort(pair[first], kind="stable")
+        both, pair = both[first][order], pair[first][order]
+        keep = np.arange(len(pair)) - np.searchsorted(pair, pair) < 40
+        both, pair = both[keep], pair[keep]
+    lost = n - len(np.unique(pair))
+    assert lost / n <= 0.01
+
+
+def test_hot_buckets_and_hot_sets_give_the_same_pairs(frame, monkeypatch, spark):
+    """Half of all documents have one set, and all of the rest are close to it."""
+    pick, base = random.Random(6), [f"w{i}" for i in range(60)]
+    texts = [" ".join(base)] * 40
+    for i in range(40):
+        own = list(base)
+        own[pick.randrange(60)] = f"v{i}"
+        texts.append(" ".join(own))
+    want = brute(texts, 3, 0.6)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert pairs(N.near_pairs(frame(texts), 3, 0.6)) == want
+        for join in (N.hot_join, N.salted_join):
+            monkeypatch.setattr(join, "__defaults__", (3,))
+        found = N.near_pairs(frame(texts), 3, 0.6)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") >= 4 and "__part" in plan
+        assert pairs(found) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_whole_runs():
     for similarity, depth in itertools.product((0.5, 0.6, 0.8, 0.95), (2, 3, 4, 5)):
         runs = N.whole_runs(similarity, depth)

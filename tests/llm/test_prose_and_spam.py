@@ -47,6 +47,12 @@ def test_statistics(frame, common):
     assert text_statistics(frame([]), common).count() == 0
 
 
+def test_a_list_below_a_sentence_is_no_prose(frame, common):
+    items = [f"{a} {b}" for a in ("grey", "late", "minor", "steady") for b in NOUNS[:6]]
+    texts = [sentence(random.Random(1)) + "\n" + "\n".join(f"{mark} {x}" for x in items) for mark in ("-", "•", "–", "(3)", "4.")] + [prose(1) + "\nSee below\n" + prose(2)]
+    assert [r["prose"] for r in text_statistics(frame(texts), common).orderBy("doc_id").collect()] == [False] * 5 + [True]
+
+
 def test_divergence_is_that_of_the_definition():
     p = np.array([[0.2, 0.3, 0.1, 0.05, 0.05, 0.1, 0.1, 0.1]])
     got = divergence(p)[0]

@@ -235,7 +235,7 @@ def _buckets(members: DataFrame, least: int, small: int) -> tuple[DataFrame, Dat
     Buckets that hold a large share of all members are large for sure and are
     known by ``frequent``, so that no task has to sort them.
     """
-    hot = stored(frequent(members.select("key"), small + 1))
+    hot = frequent(members.select("key"), small + 1)
     some = not hot.isEmpty()
     rest = members.join(F.broadcast(hot), "key", "left_anti") if some else members
     met = stored(rest.select(*MEMBER).repartition("key").sortWithinPartitions("key").mapInArrow(_brute(least, small), MET))

@@ -98,11 +98,13 @@ class Shape:
     ended: int
 
 
-def _stretches(text: str) -> tuple[list[str], list[int], int, int]:
-    """Tokens, the stretches' starts, lines, and lines that end in punctuation."""
+def _stretches(text: str) -> tuple[list[str], list[int], list[bool], int, int]:
+    """Tokens, the stretches' starts, which of them are list items, lines, and lines that end in punctuation."""
     tokens: list[str] = []
     starts: list[int] = []
+    items: list[bool] = []
     last = 0
+    listed = False
     lines = ended = 0
 
     def close() -> None:
@@ -111,6 +113,7 @@ def _stretches(text: str) -> tuple[list[str], list[int], int, int]:
         if size:
             parts = max(1, round(size / LONG))
             starts.extend(last + size * p // parts for p in range(parts))
+            items.extend([listed] * parts)
             last = len(tokens)
 
     for line in text.splitlines():
@@ -120,11 +123,14 @@ def _stretches(text: str) -> tuple[list[str], list[int], int, int]:
             continue
         lines += 1
         ended += _END.search(found[-1]) is not None
-        if len(tokens) - last >= SHORT or _ITEM.match(line):
+        item = _ITEM.match(line) is not None
+        if len(tokens) - last >= SHORT or item:
             close()
+        if len(tokens) == last:
+            listed = item
         tokens += found
     close()
-    return tokens, starts, lines, ended
+    return tokens, starts, items, lines, ended
 
 
 def shapes(texts: list[str], known: Signs) -> list[Shape]:
@@ -134,7 +140,7 @@ def shapes(texts: list[str], known: Signs) -> list[Shape]:
     ends = np.cumsum([len(c[0]) for c in cut]).tolist()
     starts = np.array([ends[i] - len(c[0]) + a for i, c in enumerate(cut) for a in c[1]], np.int64)
     if not len(starts):
-        return [Shape([], flat[:0], [], [], c[2], c[3]) for c in cut]
+        return [Shape([], flat[:0], [], [], c[3], c[4]) for c in cut]
     events = np.empty((len(flat), len(EVENTS)), np.float32)
     for k in range(5):
         events[:, k] = (flat & 7) == k
@@ -144,12 +150,12 @@ def shapes(texts: list[str], known: Signs) -> list[Shape]:
     share = (sums + 0.02) / (sums + 0.02).sum(1, keepdims=True)
     near = divergence(share).argmin(1)
     sizes = np.diff(np.concatenate((starts, [len(flat)])))
-    # a stretch of a few words says little by itself and follows its neighbour
-    brief = (sizes < 4) & (sums[:, 3] == 0)
+    # a stretch of a few words says little by itself and follows its neighbour, unless it is a list's item
+    brief = (sizes < 4) & (sums[:, 3] == 0) & ~np.array([x for c in cut for x in c[2]], bool)
     words = sums[:, :4].sum(1).astype(np.int64).tolist()
     labels = [NAMES[i] for i in near.tolist()]
     out, at = [], 0
-    for i, (tokens, own, lines, ended) in enumerate(cut):
+    for i, (tokens, own, _, lines, ended) in enumerate(cut):
         till = at + len(own)
         for k in range(at + 1, till):
             if brief[k] and labels[k - 1].startswith("prose"):
