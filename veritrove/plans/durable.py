@@ -39,10 +39,22 @@ def shared_folder(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession) -> str:
     """A new path in the shared folder, which ``release`` deletes."""
     path = f"{shared_folder(spark)}/veritrove-{uuid.uuid4().hex}"
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    application = spark.sparkContext.applicationId
+    if application not in _WRITTEN:
+        _WRITTEN[application] = []
+        atexit.register(_release_at_exit, spark)
+    _WRITTEN[application].append(path)
     return path
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    """What nobody has released goes with the driver, if its session still runs."""
+    try:
+        release(spark)
+    except Exception:  # the session is gone, and the folder is its owner's
+        pass
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
