@@ -27,8 +27,8 @@ VOCABULARY = "byte_bpe_50k"
 WINDOW, ONE_IN = 12, 64
 #: A stretch of so many code points without a safe place is cut anywhere.
 LONGEST = 8192
-#: A chunk that one task meets so often is spread over so many reducers.
-HOT, SPREAD = 64, 32
+#: A chunk that one task meets more often is spread over the reducers.
+HOT = 64
 
 PARTS = "doc_id bigint, row bigint, pos int, joined boolean, key binary, spread int, text string"
 
@@ -91,7 +91,7 @@ def cuts(text: str) -> tuple[list[int], list[bool]]:
     return out, flags
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], reducers: int) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     met: dict[bytes, int] = {}
@@ -105,7 +105,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = text[start:end]
                 key = xxhash.xxh3_128_digest(piece.encode())
                 times = met[key] = met.get(key, 0) + 1
-                spread = times % SPREAD if times > HOT else 0
+                spread = times % reducers if times > HOT else 0
                 first = (key, spread) not in sent
                 if first:
                     sent.add((key, spread))
@@ -206,11 +206,12 @@ def token_ids(documents: DataFrame, vocabulary: str = VOCABULARY, folder: str |
     text. Further columns are ignored. An empty table gives an empty result.
 
     Shuffles: the chunks by fingerprint (a repeated chunk carries its text only
-    once per task, and one that is met very often is spread over ``SPREAD``
+    once per task, and one that is met very often is spread over all
     reducers), then the ids by document.
     """
+    reducers = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole = spread(documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    pieces = whole.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut, PARTS)
+    pieces = whole.withColumn("row", F.monotonically_increasing_id()).mapInArrow(lambda batches: _cut(batches, reducers), PARTS)
     placed = pieces.repartition("key", "spread").sortWithinPartitions("key", F.col("text").isNull())
     encoded = placed.select("doc_id", "row", "pos", "joined", "key", "text").mapInArrow(_encode(vocabulary, folder), "doc_id bigint, row bigint, pos int, joined boolean, ids array<int>")
     parts = encoded.groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "joined", "ids"))).alias("parts"))
