@@ -13,7 +13,7 @@ from veritrove.functions.text import content_tokens
 from veritrove.operators import answers, conflicts, grounding, metrics, policy, prompts, search
 from veritrove.operators.chunking import chunk_words
 from veritrove.operators.ingest import fingerprint, first_by_content, ingest_plan, ingest_report
-from veritrove.plans import demo
+from veritrove.plans import demo, service
 from veritrove.plans.durable import fresh_folder, stored
 from veritrove.plans.sql import SQL
 from veritrove.sources.files import parse_contents, parse_metadata, read_eval_cases, read_prompt_cases
@@ -375,9 +375,48 @@ def demo_mrr(spark, folder):
     return metrics.ranked_metrics(found, questions.select("query_id", "doc_id"), 3).select("cases", F.round("mean_reciprocal_rank", 6).alias("mrr"))
 
 
+def service_retrieve(spark, folder):
+    """What the service retrieves for all cases from a store of all documents."""
+    found = service.retrieve(_store(spark, folder), _questions(spark, folder))
+    return found.select("query_id", "rank", *_rounded("score"), "chunk_id", "source")
+
+
+def service_answer(spark, folder):
+    found = service.answer(_store(spark, folder), _questions(spark, folder))
+    return found.select(
+        "query_id",
+        "answer",
+        _joined("citations").alias("citations"),
+        *_rounded("confidence"),
+        "insufficient_evidence",
+        _joined("quarantined_chunk_ids").alias("quarantined_chunk_ids"),
+        F.size("retrieval").alias("retrieved"),
+        "citation_audit.citation_validity_rate",
+        F.round("citation_audit.lexical_grounding_rate", 6).alias("lexical_grounding_rate"),
+    )
+
+
+def service_evaluate(spark, folder):
+    """The labelled cases against a store of all documents, whose ids are made from their texts."""
+    keys = fingerprint(table(spark, folder, "documents").select("doc_id", "text")).where("doc_key is not null").select(F.col("doc_id").alias("relevant_doc_id"), "doc_key")
+    cases = table(spark, folder, "eval_cases").join(keys, "relevant_doc_id").select(F.col("case_id").alias("query_id"), "question", F.col("doc_key").alias("relevant_doc_id"), "expected_phrase")
+    found, _ = service.evaluate(_store(spark, folder), cases)
+    return found.select("cases", *_rounded(*metrics.RANKED, "citation_doc_accuracy", "citation_validity_rate", "lexical_grounding_rate", "answer_phrase_accuracy"))
+
+
+def service_benchmark(spark, folder):
+    """The prompt modes with a generator that always refuses."""
+    refusal = '{"answer": "", "citations": [], "confidence": 0.5, "insufficient_evidence": true}'
+    cases = table(spark, folder, "eval_cases").select(F.col("case_id").alias("query_id"), "question", "expected_insufficient_evidence")
+    quarantined, found = service.prompt_benchmark(_store(spark, folder), cases, lambda prompt: refusal)
+    return found.select("mode", "cases", *_rounded("schema_validity_rate", "citation_validity_rate", "insufficiency_accuracy", "average_confidence", "average_prompt_characters"), F.lit(quarantined).cast("long").alias("quarantined"))
+
+
 #: Counts and positions that come out as 64-bit integers.
 _WIDE = {
     "list_documents": ("entries",),
+    "service_retrieve": ("rank",),
+    "service_answer": ("retrieved",),
     "list_chunks": ("ordinal",),
     "chunk_documents": ("ordinal",),
     "chunk_short_overlap": ("ordinal", "size"),
@@ -451,6 +490,10 @@ _PLAIN = {
     "schema_valid": schema_valid,
     "prompt_mode_benchmark": prompt_mode_benchmark,
     "demo_mrr": demo_mrr,
+    "service_retrieve": service_retrieve,
+    "service_answer": service_answer,
+    "service_evaluate": service_evaluate,
+    "service_benchmark": service_benchmark,
 }
 
 QUERIES = {name: _wide(name, query) for name, query in _PLAIN.items()}

