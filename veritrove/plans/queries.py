@@ -15,6 +15,7 @@ from veritrove.operators.chunking import chunk_words
 from veritrove.operators.ingest import fingerprint, first_by_content, ingest_plan, ingest_report
 from veritrove.plans import demo, service
 from veritrove.plans.durable import fresh_folder, stored
+from veritrove.plans.skew import salted_join
 from veritrove.plans.sql import SQL
 from veritrove.sources.files import parse_contents, parse_metadata, read_eval_cases, read_prompt_cases
 from veritrove.sources.store import DocumentStore
@@ -52,8 +53,11 @@ def _questions(spark, folder) -> DataFrame:
 def _retrieval(spark, folder) -> DataFrame:
     """The stored rankings with the chunks' texts, one row per case and chunk."""
     rows = table(spark, folder, "retrieval_rows").groupBy("case_id", "chunk_id").agg(F.min(F.struct("rank_no", "score", "doc_id")).alias("r"))
+    rows = stored(rows)
+    uses = stored(rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("uses")))
     chunks = _chunks(spark, folder).select("chunk_id", "source", "text")
-    return rows.join(chunks, "chunk_id").select(F.col("case_id").alias("query_id"), F.col("r.rank_no").alias("rank"), "r.score", "chunk_id", "r.doc_id", "source", "text")
+    # a chunk may come back for very many cases
+    return salted_join(rows, chunks, ["chunk_id"], uses, "uses", rows.count()).select(F.col("case_id").alias("query_id"), F.col("r.rank_no").alias("rank"), "r.score", "chunk_id", "r.doc_id", "source", "text")
 
 
 def _cases_of(rows: DataFrame) -> DataFrame:
