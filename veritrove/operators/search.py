@@ -22,6 +22,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +35,9 @@ from veritrove.plans.skew import hot_join
 #: Decimals of scores before they are ranked, so that the order of summation can't decide.
 DECIMALS = 9
 #: Distinct terms up to which their statistics are broadcast to measure the chunks' vectors; beyond, they are joined.
-HELD_TERMS = 1_000_000
+HELD_TERMS = 5_000_000
+#: Seed of Spark's 64-bit hash.
+SPARK_SEED = 42
 #: Questions that one pass over the chunks scores, most chunks of a block, and most pairs of a block.
 AT_ONCE, CHUNK_BLOCK, CELLS = 20_000, 512, 1 << 20
 #: Terms of the questions that count as common: those that most pairs share, by the product of both sides' counts.
@@ -189,13 +193,22 @@ NORMS = ("word_norm", "character_norm")
 
 
 def _held_norms(chunks: DataFrame, frequencies: DataFrame, n: int, kinds: tuple[str, ...]) -> DataFrame:
-    terms = with_idf(frequencies, n).select("kind", "term", "idf").toArrow()
-    statistics: dict[str, dict[str, float]] = {kind: {} for kind in kinds}
-    for kind, term, idf in zip(*(c.to_pylist() for c in terms.columns)):
-        statistics[kind][term] = idf
+    """``chunks`` with their vectors' lengths; the terms' weights are broadcast as two arrays of numbers, found by 64-bit hashes."""
+    weighted = with_idf(frequencies, n).select("kind", F.xxhash64("term").alias("hash"), "idf").toArrow()
+    statistics = {}
+    for kind in kinds:
+        part = weighted.filter(pc.equal(weighted["kind"], kind))
+        hashes = part["hash"].to_numpy()
+        order = np.argsort(hashes)
+        statistics[kind] = hashes[order], part["idf"].to_numpy()[order]
     held = chunks.sparkSession.sparkContext.broadcast(statistics)
     names = ["chunk_id", "doc_id", "ordinal", "source", "text"]
 
+    def weights_of(kind: str, terms: list[str]) -> np.ndarray:
+        hashes, idf = held.value[kind]
+        asked = np.array([xxhash.xxh64_intdigest(t.encode(), SPARK_SEED) for t in terms], np.uint64).view(np.int64)
+        return idf[np.searchsorted(hashes, asked)] if len(terms) else np.zeros(0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = {k: _Growing() for k in kinds}
         terms = {k: _Terms(k, numbers[k].__getitem__) for k in kinds}
@@ -209,7 +222,7 @@ def _held_norms(chunks: DataFrame, frequencies: DataFrame, n: int, kinds: tuple[
                     continue
                 found = [np.unique(terms[kind](x), return_counts=True) for x in texts]
                 new = list(numbers[kind])[len(weights[kind]) :] if len(numbers[kind]) > len(weights[kind]) else []
-                weights[kind] = np.concatenate((weights[kind], [held.value[kind][t] for t in new]))
+                weights[kind] = np.concatenate((weights[kind], weights_of(kind, new)))
                 lengths.append(pa.array([float(np.sqrt(((n * weights[kind][at]) ** 2).sum())) for at, n in found], pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, *lengths], [*names, *NORMS])
 
