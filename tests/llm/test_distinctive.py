@@ -36,7 +36,7 @@ def expected(data, least, docs, smoothing=0.75):
     return out
 
 
-@pytest.mark.parametrize("least,docs,held", [(1, (1, None), 300_000), (2, (2, 12), 300_000), (1, (2, 5), 10), (1, (1, None), 10)])
+@pytest.mark.parametrize("least,docs,held", [(1, (1, None), 300_000), (1, (38, None), 300_000), (2, (30, None), 10), (1, (0, None), 10), (2, (2, 12), 300_000), (1, (2, 5), 10), (1, (1, None), 10)])
 def test_like_brute_force(spark, monkeypatch, least, docs, held):
     monkeypatch.setattr(D, "HELD", held)
     data = rows(held + least)
@@ -65,6 +65,7 @@ def test_a_term_of_all_chunks_is_not_brought_together(spark, monkeypatch):
     frame = spark.createDataFrame(data, SCHEMA)
     want = expected(data, 1, (1, None))
     monkeypatch.setattr(D.hot_join, "__defaults__", (60,))
+    monkeypatch.setattr(D, "BROADCAST_TERMS", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         found = D.distinctive_terms(frame)

@@ -20,8 +20,10 @@ from veritrove.plans.skew import hot_join
 
 #: Exponent of the terms' counts.
 SMOOTHING = 0.75
-#: Distinct terms, and pairs of term and document, that a task holds before it hands on its partial counts.
-HELD, HELD_PAIRS = 300_000, 1_500_000
+#: Distinct terms, or chunks' terms, that a task holds before it hands on its partial counts.
+HELD = 300_000
+#: Terms up to which the vocabulary is broadcast (some 60 bytes each), so that the chunks' terms stay where they are.
+BROADCAST_TERMS = 500_000
 
 _RUN = re.compile(r"[^\W\d_]{4,}")
 
@@ -39,34 +41,32 @@ def terms(text: str) -> list[str]:
 COUNTED = "chunk_id string, term string, n bigint, size bigint, docs array<bigint>, many boolean"
 
 
-def _count(least: int, most_docs: int | None):
+def _count(least: int, enough: int, out: bool):
     """Two kinds of rows: the counts of a chunk's terms, and (without chunk_id) partial counts of the terms, with the number of chunks as ``size``.
 
     A partial count holds the distinct documents of a term, up to one more than
-    ``most_docs``: more can't matter, as the term is then out anyway. Counts of a
-    chunk's terms that are already out are not handed on.
+    ``enough``: more can't matter, as ``many`` then says so. If ``many`` puts a
+    term ``out``, counts of a chunk's terms that are already out are not handed on.
     """
-    keep = -1 if most_docs is None else most_docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter[str] = Counter()
         uses: Counter[str] = Counter()
         docs: dict[str, set[int]] = {}
         rows: list[tuple[str, str, int, int]] = []
-        pairs = 0
 
         def give() -> pa.RecordBatch:
-            there = [r for r in rows if keep < 0 or len(docs[r[1]]) <= keep]
+            there = [r for r in rows if not out or len(docs[r[1]]) <= enough]
             names = list(total)
             n, m = len(there), len(names)
-            held = [None] * n + [[] if 0 <= keep < len(docs[t]) else list(docs[t]) for t in names]
+            held = [None] * n + [[] if len(docs[t]) > enough else list(docs[t]) for t in names]
             columns = [
                 pa.array([r[0] for r in there] + [None] * m, pa.string()),
                 pa.array([r[1] for r in there] + names, pa.string()),
                 pa.array([r[2] for r in there] + [total[t] for t in names], pa.int64()),
                 pa.array([r[3] for r in there] + [uses[t] for t in names], pa.int64()),
                 pa.array(held, pa.list_(pa.int64())),
-                pa.array([None] * n + [0 <= keep < len(docs[t]) for t in names], pa.bool_()),
+                pa.array([None] * n + [len(docs[t]) > enough for t in names], pa.bool_()),
             ]
             total.clear()
             uses.clear()
@@ -79,18 +79,16 @@ def _count(least: int, most_docs: int | None):
                 counts = Counter(terms(text))
                 total.update(counts)
                 size = sum(counts.values())
-                pairs += len(counts) if keep < 0 else 0
                 for term, n in counts.items():
                     have = docs.get(term)
                     if have is None:
                         have = docs[term] = set()
-                    if doc is not None and (keep < 0 or len(have) <= keep):
+                    if doc is not None and len(have) <= enough:
                         have.add(doc)
                     if n >= least:
                         uses[term] += 1
                         rows.append((chunk, term, n, size))
-            if len(total) > HELD or len(rows) > HELD or pairs > HELD_PAIRS:
-                pairs = 0
+            if len(total) > HELD or len(rows) > HELD:
                 yield give()
         yield give()
 
@@ -111,8 +109,9 @@ def distinctive_terms(chunks: DataFrame, least: int = 1, docs: tuple[int, int |
     columns are ignored; an empty table gives an empty result.
 
     Partial counts are made in the scan's tasks; only they are shuffled, and
-    terms that are out of bounds are dropped before the join back. Terms of a
-    large share of the rows are broadcast for it (``hot_join``).
+    terms that are out of bounds are dropped before the join back. For it, up to
+    ``BROADCAST_TERMS`` terms are broadcast, of more those of a large share of
+    the rows (``hot_join``).
     """
     low, high = docs
     once = (
@@ -120,22 +119,23 @@ def distinctive_terms(chunks: DataFrame, least: int = 1, docs: tuple[int, int |
         .groupBy(F.col("chunk_id").cast("string").alias("chunk_id"))
         .agg(F.min(F.struct("loaded_at", F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))).alias("row"))
     )
-    counted = stored(once.select("chunk_id", "row.doc_id", "row.text").mapInArrow(_count(least, high), COUNTED))
+    # a term is out beyond high documents, or, without such a bound, in from low documents on; no more of them are held
+    enough = low - 1 if high is None else high
+    counted = stored(once.select("chunk_id", "row.doc_id", "row.text").mapInArrow(_count(least, enough, high is not None), COUNTED))
     some = counted.where("chunk_id is null").withColumn("part", F.pmod(F.spark_partition_id(), F.lit(32)))
-    # at most high + 1 documents go on from each step
-    cap = (lambda c: c) if high is None else (lambda c: F.slice(c, 1, high + 1))
     for keys in (["term", "part"], ["term"]):
-        some = some.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), cap(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs"), F.max("many").alias("many"))
-    if high is None:
-        # a common term's documents are too many for one array: count them as rows
-        numbers = counted.where("chunk_id is null").select("term", F.explode("docs").alias("doc")).distinct().groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
-        vocabulary = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("total"), F.sum("size").alias("uses")).join(numbers, "term").where(F.col("documents") >= low)
-    else:
-        vocabulary = some.where(~F.col("many")).select("term", F.col("n").alias("total"), F.col("size").alias("uses"), F.size("docs").alias("documents")).where(F.col("documents").between(low, high))
+        held = F.slice(F.array_distinct(F.flatten(F.collect_list("docs"))), 1, enough + 1)
+        some = some.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("size").alias("size"), held.alias("docs"), F.max("many").alias("many"))
+    documents = F.size("docs")
+    bounds = F.col("many") | (documents >= low) if high is None else ~F.col("many") & documents.between(low, high)
+    vocabulary = some.where(bounds).select("term", F.col("n").alias("total"), F.col("size").alias("uses"))
     mass = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("n")).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(smoothing))).alias("mass"))
-    vocabulary = stored(vocabulary.select("term", "total", "uses"))
+    vocabulary = stored(vocabulary)
     joint = counted.where("chunk_id is not null").select("chunk_id", "term", "n", "size")
-    # a term of nearly every chunk isn't brought together
-    joint = hot_join(joint, vocabulary, ["term"], "uses", joint.count()).join(F.broadcast(mass))
+    if vocabulary.count() <= BROADCAST_TERMS:
+        joint = joint.join(F.broadcast(vocabulary.drop("uses")), "term")
+    else:  # a term of nearly every chunk isn't brought together
+        joint = hot_join(joint, vocabulary, ["term"], "uses", joint.count())
+    joint = joint.join(F.broadcast(mass))
     score = F.log(F.col("n") * F.col("mass") / (F.col("size") * F.pow(F.col("total").cast("double"), F.lit(smoothing))))
     return joint.select("chunk_id", "term", "n", F.greatest(F.lit(0.0), score).alias("score"))
