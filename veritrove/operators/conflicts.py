@@ -76,7 +76,7 @@ def overlapping_pairs(rows: DataFrame, minimum_overlap: float, condition=None) -
     """
     rest = [c for c in rows.columns if c not in ("n", "tokens", "requirement_id", "text", "facts", "modality")]
     exploded = stored(rows.select("n", *rest, F.size("tokens").alias("size"), F.explode("tokens").alias("token")))
-    counts = stored(exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("uses", F.col("df")))
+    counts = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df")).withColumn("uses", F.col("df"))
     # a token of most requirements isn't brought together
     ranked = hot_join(exploded, counts, ["token"], "uses", exploded.count()).groupBy("n", "size", *rest).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("sorted"))
     length = F.col("size") - F.ceil(F.lit(minimum_overlap) * F.col("size") - 1e-9).cast("int") + 1

@@ -54,7 +54,7 @@ def _retrieval(spark, folder) -> DataFrame:
     """The stored rankings with the chunks' texts, one row per case and chunk."""
     rows = table(spark, folder, "retrieval_rows").groupBy("case_id", "chunk_id").agg(F.min(F.struct("rank_no", "score", "doc_id")).alias("r"))
     rows = stored(rows)
-    uses = stored(rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("uses")))
+    uses = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("uses"))
     chunks = _chunks(spark, folder).select("chunk_id", "source", "text")
     # a chunk may come back for very many cases
     return salted_join(rows, chunks, ["chunk_id"], uses, "uses", rows.count()).select(F.col("case_id").alias("query_id"), F.col("r.rank_no").alias("rank"), "r.score", "chunk_id", "r.doc_id", "source", "text")

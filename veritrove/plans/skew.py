@@ -25,12 +25,16 @@ def hot_join(large: DataFrame, small: DataFrame, keys: list[str], weight: str, r
     ``large``, which has ``rows`` rows in all; it is dropped. The few hot keys,
     whose number has a bound by their weight, are broadcast and their rows of
     ``large`` stay where they are; the rest is joined by a shuffle in which no
-    key has more rows than ``hot_bound``. Null keys match nothing. Both sides
-    are read twice if there are hot keys, so they should be stored.
+    key has more rows than ``hot_bound``. Null keys match nothing. ``small`` is
+    stored here if there may be hot keys; ``large`` is read twice if there are,
+    so it should be stored.
     """
     bound = hot_bound(rows, least)
+    if rows <= bound:
+        return large.join(small.drop(weight), keys)
+    small = stored(small)
     hot = small.where(F.col(weight) > bound)
-    if rows <= bound or hot.isEmpty():
+    if hot.isEmpty():
         return large.join(small.drop(weight), keys)
     cold = small.where(F.col(weight) <= bound).drop(weight)
     among = F.broadcast(hot.drop(weight))
@@ -43,14 +47,17 @@ def hot_join(large: DataFrame, small: DataFrame, keys: list[str], weight: str, r
 def salted_join(large: DataFrame, other: DataFrame, keys: list[str], weights: DataFrame, weight: str, rows: int, least: int = LEAST) -> DataFrame:
     """``large`` joined with ``other``, which may have several rows per key, on ``keys``; hot keys of ``large`` are spread over many tasks.
 
-    ``weights`` (stored) holds a key's number of rows in ``large``, which has
-    ``rows`` in all, as ``weight``. A hot key's rows are dealt out by their hash
+    ``weights`` holds a key's number of rows in ``large``, which has ``rows`` in
+    all, as ``weight``; it is stored here if there may be hot keys. A hot key's rows are dealt out by their hash
     to as many parts as its weight needs, and every part meets a copy of the
     key's rows of ``other``. The list of hot keys, whose number has a bound by
     their weight, is broadcast. Null keys match nothing.
     """
     bound = hot_bound(rows, least)
-    if rows <= bound or weights.where(F.col(weight) > bound).isEmpty():
+    if rows <= bound:
+        return large.join(other, keys)
+    weights = stored(weights)
+    if weights.where(F.col(weight) > bound).isEmpty():
         return large.join(other, keys)
     hot = F.broadcast(weights.where(F.col(weight) > bound).select(*keys, F.ceil(F.col(weight) / bound).cast("int").alias("__parts")))
     parts = F.coalesce("__parts", F.lit(1))
