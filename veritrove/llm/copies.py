@@ -220,7 +220,7 @@ def dictionary(occurrences: DataFrame) -> DataFrame:
     """``value``, ``id``, ``uses``: each distinct value of ``occurrences``, canonicalised once; values of the same letters and digits share the id."""
     values = stored(occurrences.groupBy("value").agg(F.count(F.lit(1)).alias("uses")).mapInArrow(_canonical, "value string, core string, uses bigint"))
     cores = stored(values.groupBy("core").agg(F.count(F.lit(1)).alias("spellings")))
-    return stored(hot_join(values, stored(numbered(cores, "core", "id")), ["core"], "spellings", values.count()).select("value", "id", "uses"))
+    return stored(hot_join(values, numbered(cores, "core", "id"), ["core"], "spellings", values.count()).select("value", "id", "uses"))
 
 
 def _record_pairs(texts: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def _record_pairs(texts: DataFrame) -> DataFrame:
     ids = coded.groupBy("row").agg(F.collect_list(F.struct("pos", "id")).alias("ids"))
     tuples = stored(once.select("row", "plain", "shape").join(ids, "row").select("plain", "shape", "ids").mapInArrow(_tuples, "plain binary, record binary").distinct())
     records = stored(tuples.groupBy("record").agg(F.count(F.lit(1)).alias("texts")))
-    return hot_join(tuples, stored(numbered(records, "record", "r")), ["record"], "texts", tuples.count()).select("plain", "r")
+    return hot_join(tuples, numbered(records, "record", "r"), ["record"], "texts", tuples.count()).select("plain", "r")
 
 
 def contents(texts: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def contents(texts: DataFrame) -> DataFrame:
             break
         rows = labels.count()
         carried = hot_join(labels, lowest.select("plain", "m", "rows"), ["plain"], "rows", rows)
-        by_record = stored(carried.groupBy("r").agg(F.min("m").alias("to"), F.count(F.lit(1)).alias("rows")))
+        by_record = carried.groupBy("r").agg(F.min("m").alias("to"), F.count(F.lit(1)).alias("rows"))
         labels = stored(hot_join(labels, by_record, ["r"], "rows", rows).select("plain", "r", F.col("to").alias("content")))
     named = lowest.select("plain", F.col("m").alias("content"))
     own = numbered(stored(plains.select("plain")), "plain", "number")
@@ -288,7 +288,7 @@ def copies(documents: DataFrame) -> DataFrame:
     """
     texts = _texts(documents)
     known = stored(contents(texts))
-    kept = stored(known.groupBy("content").agg(F.min("least").alias("keep_doc_id"), F.sum("copies").alias("n"), F.count(F.lit(1)).alias("plains")).where("n > 1").drop("n"))
-    by_plain = stored(hot_join(known.select("plain", "content", "copies"), kept, ["content"], "plains", known.count()).select("plain", "keep_doc_id", "copies"))
+    kept = known.groupBy("content").agg(F.min("least").alias("keep_doc_id"), F.sum("copies").alias("n"), F.count(F.lit(1)).alias("plains")).where("n > 1").drop("n")
+    by_plain = hot_join(known.select("plain", "content", "copies"), kept, ["content"], "plains", known.count()).select("plain", "keep_doc_id", "copies")
     found = hot_join(texts.select("doc_id", "plain"), by_plain, ["plain"], "copies", texts.count())
     return found.where(F.col("doc_id") > F.col("keep_doc_id")).select("keep_doc_id", F.col("doc_id").alias("copy_doc_id"))

@@ -129,13 +129,12 @@ def distinctive_terms(chunks: DataFrame, least: int = 1, docs: tuple[int, int |
     documents = F.size("docs")
     bounds = F.col("many") | (documents >= low) if high is None else ~F.col("many") & documents.between(low, high)
     vocabulary = some.where(bounds).select("term", F.col("n").alias("total"), F.col("size").alias("uses"))
-    mass = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("n")).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(smoothing))).alias("mass"))
+    mass = counted.where("chunk_id is null").groupBy("term").agg(F.sum("n").alias("n")).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(smoothing))).alias("mass")).first()["mass"]
     vocabulary = stored(vocabulary)
     joint = counted.where("chunk_id is not null").select("chunk_id", "term", "n", "size")
     if vocabulary.count() <= BROADCAST_TERMS:
         joint = joint.join(F.broadcast(vocabulary.drop("uses")), "term")
     else:  # a term of nearly every chunk isn't brought together
         joint = hot_join(joint, vocabulary, ["term"], "uses", joint.count())
-    joint = joint.join(F.broadcast(mass))
-    score = F.log(F.col("n") * F.col("mass") / (F.col("size") * F.pow(F.col("total").cast("double"), F.lit(smoothing))))
+    score = F.log(F.col("n") * F.lit(mass) / (F.col("size") * F.pow(F.col("total").cast("double"), F.lit(smoothing))))
     return joint.select("chunk_id", "term", "n", F.greatest(F.lit(0.0), score).alias("score"))

@@ -264,7 +264,7 @@ def _children(level: int):
 
 def _in_blocks(members: DataFrame, small: int) -> DataFrame:
     """Members (stored) of buckets of any size as buckets of two blocks each, so that every two members meet."""
-    sizes = stored(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") * 3 / small).cast("int")))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") * 3 / small).cast("int"))
     joined = hot_join(members, sizes, ["key"], "n", members.count())
     numbered = joined.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     other = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -345,7 +345,7 @@ def _links_and_members(whole: DataFrame, rows: int, words: int, similarity: floa
     size = candidates.count()
     both = candidates
     for side, runs in (("a", left), ("b", right)):
-        both = salted_join(both, runs, [side], stored(candidates.groupBy(side).agg(F.count(F.lit(1)).alias("n"))), "n", size)
+        both = salted_join(both, runs, [side], candidates.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "n", size)
     compared = both.select("a", "b", F.size(F.array_intersect("x", "y")).alias("shared"), (F.size("x") + F.size("y")).alias("total"))
     links = compared.select("a", "b", "shared", (F.col("total") - F.col("shared")).alias("united")).where(F.col("shared") / F.col("united") >= similarity)
     return links, hot_join(members, first, ["digest"], "n", rows).select("representative", "doc_id")
@@ -358,7 +358,7 @@ def near_pairs(documents: DataFrame, words: int = 5, similarity: float = 0.8) ->
     """
     links, members = near_duplicates(documents, words, similarity)
     members, found = stored(members), stored(links.select("a", "b"))
-    sizes = stored(members.groupBy("representative").agg(F.count(F.lit(1)).alias("n")))
+    sizes = members.groupBy("representative").agg(F.count(F.lit(1)).alias("n"))
     rows = members.count()
     for side, to in (("a", "p"), ("b", "q")):
         # the rows of a set that very many documents have are dealt out, and its links copied
