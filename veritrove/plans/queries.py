@@ -17,7 +17,7 @@ from veritrove.plans import demo, service
 from veritrove.plans.durable import fresh_folder, stored
 from veritrove.plans.skew import salted_join
 from veritrove.plans.sql import SQL
-from veritrove.sources.files import parse_contents, parse_metadata, read_eval_cases, read_prompt_cases
+from veritrove.sources.files import json_lines, parse_contents, parse_metadata, read_eval_cases, read_prompt_cases
 from veritrove.sources.store import DocumentStore
 from veritrove.sources.tables import table
 
@@ -152,6 +152,18 @@ def json_file_text(spark, folder):
     return _parsed(table(spark, folder, "sources"), ".json", content).select("source", "media_type", "text", F.element_at("metadata", "root_type").alias("root_type"))
 
 
+def text_file_text(spark, folder):
+    """Each source as a text file with foreign line ends and as a Markdown file, by suffix."""
+    rows = table(spark, folder, "sources").withColumn("owner_team", F.coalesce("owner_team", F.lit("")))
+    content = F.concat(F.lit("# "), "source", F.lit("\r\n"), "owner_team", F.lit("\rend\n"))
+    made = _parsed(rows, ".TXT", content).unionByName(_parsed(rows, ".md", content))
+    return made.select("source", "media_type", "text", F.coalesce(F.element_at("metadata", "format"), F.lit("")).alias("format"))
+
+
+def json_line_rows(spark, folder):
+    return json_lines(table(spark, folder, "sources").select("source", F.coalesce("owner_team", F.lit("none")).alias("owner_team")))
+
+
 def case_file(spark, folder):
     """The cases as one file, read back."""
     path = fresh_folder(spark)
@@ -204,6 +216,13 @@ def hybrid_search(spark, folder):
     return found.select("query_id", "rank", *_rounded("score", "word_score", "character_score"), "chunk_id", "doc_id", "source")
 
 
+def weighted_search(spark, folder):
+    """Three results per question, mostly by characters and with a strong penalty."""
+    index = search.build_index(table(spark, folder, "chunks"))
+    found = search.hybrid_search(_questions(spark, folder), index, 3, 0.2, search.Weights(1, 3))
+    return found.select("query_id", "rank", *_rounded("score"), "chunk_id", "doc_id", "source")
+
+
 def diversity_rerank(spark, folder):
     """The stored rankings picked again with a strong penalty."""
     rows = table(spark, folder, "retrieval_rows").groupBy("case_id", "chunk_id").agg(F.min(F.struct("score", "doc_id")).alias("r"))
@@ -420,6 +439,7 @@ def service_benchmark(spark, folder):
 _WIDE = {
     "list_documents": ("entries",),
     "service_retrieve": ("rank",),
+    "weighted_search": ("rank",),
     "service_answer": ("retrieved",),
     "list_chunks": ("ordinal",),
     "chunk_documents": ("ordinal",),
@@ -458,7 +478,10 @@ _PLAIN = {
     "document_metadata": document_metadata,
     "csv_row_text": csv_row_text,
     "json_file_text": json_file_text,
+    "text_file_text": text_file_text,
+    "json_line_rows": json_line_rows,
     "case_file": case_file,
+    "weighted_search": weighted_search,
     "prompt_case_file": prompt_case_file,
     "word_terms": word_terms,
     "word_idf": _idf("word"),

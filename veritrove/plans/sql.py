@@ -266,6 +266,9 @@ SQL = {
     "csv_row_text": "SELECT source, 'source: ' || source || ' | owner_team: ' || coalesce(owner_team, 'None') AS line, '1' AS rows FROM sources",
     "json_file_text": """SELECT source, 'application/json' AS media_type, 'dict' AS root_type,
             '{' || chr(10) || '  "owner_team": ' || coalesce(to_json(owner_team)::VARCHAR, 'null') || ',' || chr(10) || '  "source": ' || to_json(source)::VARCHAR || chr(10) || '}' AS text FROM sources""",
+    "text_file_text": """SELECT source, media_type, '# ' || source || chr(10) || coalesce(owner_team, '') || chr(10) || 'end' || chr(10) AS text, format
+        FROM sources, (VALUES ('text/plain', ''), ('text/markdown', 'markdown')) kinds(media_type, format)""",
+    "json_line_rows": """SELECT '{"source":' || to_json(source)::VARCHAR || ',"owner_team":' || to_json(coalesce(owner_team, 'none'))::VARCHAR || '}' AS value FROM sources""",
     "case_file": "SELECT row_number() OVER (ORDER BY case_id) AS query_id, question, relevant_doc_id::VARCHAR AS relevant_doc_id, expected_phrase FROM eval_cases",
     "prompt_case_file": "SELECT row_number() OVER (ORDER BY case_id) AS query_id, question, coalesce(expected_insufficient_evidence, false) AS expected_insufficient_evidence FROM eval_cases",
     "word_terms": f"WITH {_CHUNKS}, {_word_terms('terms', 'once', 'chunk_id', 'text')} SELECT k AS chunk_id, term, tf FROM terms",
@@ -277,6 +280,7 @@ SQL = {
         scored AS (SELECT q.q AS query_id, o.chunk_id, doc_id, ordinal, source, round(coalesce(s, 0), 9) AS score FROM questions q CROSS JOIN once o LEFT JOIN words w ON w.q = q.q AND w.k = o.chunk_id)
         SELECT query_id, rank, round(score, 6) AS score, chunk_id, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_TIES}) AS rank FROM scored) WHERE rank <= 5""",
     "hybrid_search": f"WITH {_CHUNKS}, {_QUESTIONS}, {_HYBRID} SELECT query_id, rank, round(score, 6) AS score, round(word_score, 6) AS word_score, round(character_score, 6) AS character_score, chunk_id, doc_id, source FROM hybrid",
+    "weighted_search": f"WITH {_CHUNKS}, {_QUESTIONS}, {_HYBRID.replace('0.65 *', '0.25 *').replace('0.35 *', '0.75 *').replace('0.08 *', '0.2 *')} SELECT query_id, rank, round(score, 6) AS score, chunk_id, doc_id, source FROM hybrid WHERE rank <= 3",
     "service_retrieve": f"WITH {_SERVED} SELECT query_id, rank, round(score, 6) AS score, chunk_id, source FROM hybrid",
     "service_answer": f"""WITH {_SERVED}, {_OF_SERVICE}, {_ANSWERED.partition(_RETRIEVAL + ', ')[2]}
         SELECT a.query_id, answer, citations, round(confidence, 6) AS confidence, insufficient_evidence, quarantined_chunk_ids, (SELECT count(*) FROM retrieval r WHERE r.query_id = a.query_id) AS retrieved,
