@@ -1,0 +1,69 @@
+"""The audit of the containers must see what is wrong with a packing, and nothing in a right one."""
+
+import pytest
+
+import veritrove.llm.queries as Q
+
+TEXTS = [(1, "word " * 3000), (2, "a few words"), (3, None), (4, ""), (None, "no id"), (5, "other " * 1200)]
+
+
+def changed(**values):
+    """A packing with some columns computed anew."""
+    return lambda packed: packed.selectExpr(*[f"CAST({values.get(c, c)} AS {kind}) AS {c}" for c, kind in packed.dtypes])
+
+
+def halved(packed):
+    """The short document in two pieces."""
+    first = changed(n_tokens="1")(packed.where("doc_id = 2"))
+    second = changed(piece="1", first_token="1", n_tokens="n_tokens - 1")(packed.where("doc_id = 2"))
+    return packed.where("doc_id <> 2").unionByName(first).unionByName(second)
+
+
+SPOILT = {
+    "tail lost": lambda packed: packed.where("NOT (doc_id = 1 AND piece = 2)"),
+    "document lost": lambda packed: packed.where("doc_id <> 5"),
+    "tokens left out": changed(n_tokens="if(doc_id = 2, 1, n_tokens)"),
+    "piece shifted": changed(first_token="if(doc_id = 1 AND piece = 1, 5, first_token)"),
+    "short one cut": halved,
+    "no container": changed(container_id="if(doc_id = 5 AND piece = 0, NULL, container_id)"),
+    "twice": lambda packed: packed.unionByName(packed.where("doc_id = 5")),
+}
+
+
+@pytest.fixture
+def checked(spark, tmp_path, monkeypatch):
+    pack = Q.pack_documents
+
+    def run(rows, spoil=lambda packed: packed):
+        spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        monkeypatch.setattr(Q, "pack_documents", lambda documents: spoil(pack(documents)))
+        found = Q.container_check(spark, str(tmp_path))
+        assert found.columns == ["documents", "broken", "overfull", "loose"]
+        return [tuple(row) for row in found.collect()]
+
+    return run
+
+
+def test_a_right_packing(checked):
+    assert checked(TEXTS) == [(5, 0, 0, False)]
+
+
+@pytest.mark.parametrize("fault", sorted(SPOILT))
+def test_a_spoilt_packing(checked, fault):
+    assert [row[1] for row in checked(TEXTS, SPOILT[fault])] == [1]
+
+
+def test_overfull(checked):
+    assert [row[2] for row in checked(TEXTS, changed(container_id="0"))] == [1]
+
+
+def test_loose(checked):
+    assert checked([(i, "a few words") for i in range(40)], changed(container_id="doc_id")) == [(40, 0, 0, True)]
+
+
+def test_repeated_ids_are_documents_of_their_own(checked):
+    assert checked([*TEXTS, (1, "x y z"), (2, "a few words")]) == [(7, 0, 0, False)]
+
+
+def test_no_documents(checked):
+    assert checked([]) == [(0, 0, 0, False)]

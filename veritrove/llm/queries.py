@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veritrove.llm.copies import copies, copy_counts
@@ -12,8 +13,9 @@ from veritrove.llm.packing import pack_documents
 from veritrove.llm.pieces import oversized_pieces, split_chunks
 from veritrove.llm.prose import text_statistics
 from veritrove.llm.spam import spam_scores
-from veritrove.llm.tokens import decoded, token_ids
+from veritrove.llm.tokens import decoded, encoder, token_ids
 from veritrove.plans.durable import stored
+from veritrove.plans.parallel import spread
 from veritrove.sources.tables import table
 
 
@@ -32,12 +34,29 @@ def rebuilt_chunks(spark, folder):
 
 
 def container_check(spark, folder):
-    """One row: documents, those whose pieces don't cover them once, overfull containers, and whether over 1 % more containers are used than the tokens need."""
-    packed = stored(pack_documents(table(spark, folder, "documents")))
-    per = packed.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("end"), F.count(F.lit(1)).alias("pieces"), F.count_distinct("piece").alias("own"), F.max("piece").alias("last"))
-    documents = per.agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") != F.col("end")) | (F.col("pieces") != F.col("own")) | (F.col("pieces") != F.col("last") + 1)).alias("broken"), F.sum("n").alias("tokens"))
+    """One row: documents, ids whose pieces in containers aren't their documents' tokens cut at multiples of 1,024, overfull containers, and whether over 1 % more containers are used than the tokens need.
+
+    Tokens are counted here once more from the whole texts, so the packing is
+    held against the documents and not against itself. Pieces are compared as
+    multisets: rows of a repeated id are documents of their own.
+    """
+
+    @F.pandas_udf("long")
+    def tokens(texts: pd.Series) -> pd.Series:
+        encode = encoder().encode_ordinary
+        return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int64")
+
+    documents = table(spark, folder, "documents")
+    packed = stored(pack_documents(documents))
+    sizes = spread(documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")).select("doc_id", tokens(F.col("text").cast("string")).alias("total"))
+    at = F.col("piece") * 1024
+    due = sizes.select("doc_id", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("total") / 1024), F.lit(1)) - 1)).alias("piece"))
+    due = due.select("doc_id", "piece", at.alias("first_token"), F.least(F.lit(1024), F.col("total") - at).alias("n_tokens"), F.lit(1).alias("side"))
+    both = due.unionByName(packed.where("container_id IS NOT NULL").drop("container_id").withColumn("side", F.lit(-1))).groupBy("doc_id", "piece", "first_token", "n_tokens").agg(F.count_if(F.col("side") == 1).alias("due"), F.count_if(F.col("side") == -1).alias("given"))
+    per = both.groupBy("doc_id").agg(F.sum(F.when(F.col("piece") == 0, F.col("given"))).alias("documents"), F.max(F.col("due") != F.col("given")).alias("broken"), F.sum(F.col("due") * F.col("n_tokens")).alias("tokens"))
+    held = per.agg(F.coalesce(F.sum("documents"), F.lit(0)).alias("documents"), F.count_if("broken").alias("broken"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     filled = packed.where("n_tokens > 0").groupBy("container_id").agg(F.sum("n_tokens").alias("n")).agg(F.count(F.lit(1)).alias("used"), F.count_if(F.col("n") > 1024).alias("overfull"))
-    return documents.join(F.broadcast(filled)).select("documents", "broken", "overfull", (F.col("used") > F.ceil(F.col("tokens") / 1024) * 1.01 + 1).alias("loose"))
+    return held.join(F.broadcast(filled)).select("documents", "broken", "overfull", (F.col("used") > F.ceil(F.col("tokens") / 1024) * 1.01 + 1).alias("loose"))
 
 
 QUERIES = {
