@@ -213,3 +213,25 @@ def test_prompt_modes(spark):
     for r in got.values():
         assert (r["cases"], r["schema_validity_rate"], r["citation_validity_rate"], r["insufficiency_accuracy"], r["average_confidence"]) == (2, 0.5, 0.5, 0.5, 0.4)
     assert got["zero_shot"]["average_prompt_characters"] < got["one_shot"]["average_prompt_characters"] < got["few_shot"]["average_prompt_characters"]
+
+
+def test_pairs_are_found_without_a_shuffle_of_pairs(spark):
+    import itertools
+    import random
+
+    pick = random.Random(3)
+    texts = [" ".join(pick.choices([f"word{i}" for i in range(12)] + ["not", "must", "may", "5 ms", "7 ms"], k=pick.randint(0, 7))) for _ in range(90)]
+    rows = C.numbered(spark.createDataFrame([(f"R{i:02}", t) for i, t in enumerate(texts)], "requirement_id string, text string"))
+    held = {r["requirement_id"]: (set(r["tokens"]), r["negated"], r["rank"], r["counted"]) for r in rows.collect()}
+    for least, most in ((0.18, 7), (0.5, 1000)):
+        want = {(a, b): len(held[a][0] & held[b][0]) / len(held[a][0] | held[b][0]) for a, b in itertools.combinations(sorted(held), 2) if held[a][0] & held[b][0]}
+        want = {k: v for k, v in want.items() if v >= least}
+        found = C.met_pairs(rows, least, most=most).collect()
+        assert {(r["l"]["requirement_id"], r["r"]["requirement_id"]): r["overlap"] for r in found} == want and len(found) == len(want)
+        may = lambda x, y: x[1] != y[1] or x[3] and y[3] or x[2] and y[2] and abs(x[2] - y[2]) >= 2
+        found = C.met_pairs(rows, least, True, most).collect()
+        assert {(r["l"]["requirement_id"], r["r"]["requirement_id"]) for r in found} == {(a, b) for a, b in want if may(held[a], held[b])}
+    # one exchange of rows, and none of pairs
+    pairs = C.conflicting_pairs(spark.createDataFrame([("a", "alpha must"), ("b", "alpha may")], "requirement_id string, text string"))
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and pairs.count() == 1

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +93,8 @@ def overlapping_pairs(rows: DataFrame, minimum_overlap: float, condition=None) -
 def numbered(requirements: DataFrame) -> DataFrame:
     """``described`` requirements, written once, with a number ``n`` each and what rules pairs out early."""
     # the numbers are written, as those of two scans may differ
-    return stored(described(requirements).select(F.monotonically_increasing_id().alias("n"), "*", F.col("modality.rank").alias("rank"), (F.size("facts") > 0).alias("counted")))
+    # and rise with the ids, then the texts
+    return stored(described(requirements).orderBy("requirement_id", "text").select(F.monotonically_increasing_id().alias("n"), "*", F.col("modality.rank").alias("rank"), (F.size("facts") > 0).alias("counted")))
 
 
 #: Requirements of a block where all pairs are compared.
@@ -108,6 +112,102 @@ def all_pairs(rows: DataFrame, condition, block: int = BLOCK) -> DataFrame:
     return left.join(right, ["x", "y"]).where((F.col("l") < F.col("r")) & ((F.col("l_own") != F.col("r_own")) | (F.col("x") == F.col("y")))).where(condition("l_", "r_")).select("l", "r")
 
 
+#: Most requirements of a block whose pairs are counted in one task, blocks that a small input gets, and pairs handed on at once.
+MEETING, FEW, PAIRS = 16_384, 8, 20_000
+
+
+def _meet(first: pa.Table, second: pa.Table | None, least: float, conflicting: bool) -> Iterator[pa.RecordBatch]:
+    """``l``, ``r``, ``overlap`` of the pairs of rows of two blocks, or of one, with a Jaccard similarity of ``least``."""
+    both = pa.concat_tables([first] + ([second] if second is not None else [])).combine_chunks()
+    n, negated, counted, rank = (both[c].to_numpy() for c in ("n", "negated", "counted", "rank"))
+    tokens, sides = both["tokens"].combine_chunks(), both["s"].combine_chunks()
+    sizes = np.diff(tokens.offsets.to_numpy())
+    start = np.concatenate(([0], np.cumsum(sizes)))
+    words = tokens.flatten().dictionary_encode()
+    words = (words.combine_chunks() if isinstance(words, pa.ChunkedArray) else words).indices.to_numpy()
+    begin = 0 if second is None else first.num_rows
+    size = len(n) - begin
+    # the rows of the second block by word
+    owner = np.repeat(np.arange(len(n)), sizes)[start[begin] :] - begin
+    order = np.argsort(words[start[begin] :], kind="stable")
+    owner, df = owner[order], np.bincount(words[start[begin] :], minlength=int(words.max()) + 1 if len(words) else 0)
+    at = np.concatenate(([0], np.cumsum(df)))
+    found: list[tuple] = []
+    waiting = 0
+
+    def give() -> pa.RecordBatch:
+        a, b, overlap = (np.concatenate(x) for x in zip(*found))
+        turned = n[a] > n[b]
+        l, r = np.where(turned, b, a), np.where(turned, a, b)  # noqa: E741
+        return pa.RecordBatch.from_arrays([sides.take(pa.array(l)), sides.take(pa.array(r)), pa.array(overlap)], ["l", "r", "overlap"])
+
+    for i in range(first.num_rows):
+        own = words[start[i] : start[i + 1]]
+        if not len(own):
+            continue
+        shared = np.bincount(np.concatenate([owner[at[w] : at[w + 1]] for w in own]), minlength=size)
+        if second is None:
+            shared[: i + 1] = 0
+        (near,) = ((1 + least) * shared >= least * (sizes[i] + sizes[begin:]) - 1e-6).nonzero()
+        near = near[shared[near] > 0]
+        overlap = shared[near] / (sizes[i] + sizes[begin + near] - shared[near])
+        keep = overlap >= least
+        if conflicting:
+            j = begin + near
+            keep &= (negated[j] != negated[i]) | (counted[j] & counted[i]) | ((rank[j] > 0) & (rank[i] > 0) & (np.abs(rank[j] - rank[i]) >= 2))
+        near, overlap = near[keep], overlap[keep]
+        for cut in range(0, len(near), PAIRS):
+            part = near[cut : cut + PAIRS]
+            found.append((np.full(len(part), i), begin + part, overlap[cut : cut + PAIRS]))
+            waiting += len(part)
+            if waiting >= PAIRS:
+                yield give()
+                found, waiting = [], 0
+    if found:
+        yield give()
+
+
+def met_pairs(rows: DataFrame, minimum_overlap: float, conflicting: bool = False, most: int | None = None) -> DataFrame:
+    """Pairs of ``rows`` (``numbered``) that overlap by ``minimum_overlap``, which is positive: ``l``, ``r``, ``overlap``, ``l`` with the smaller ``n``.
+
+    ``l`` and ``r`` are structs of the requirements' columns but their texts and
+    tokens. With ``conflicting`` only pairs are there that ``may_conflict``.
+    Every two blocks of rows meet in a task of their own, which hands the pairs
+    on as it finds them: what is shuffled are copies of the rows, one for each
+    block, and no pairs, which are quadratic.
+    """
+    count = rows.count()
+    blocks = max(1, min(FEW, -(-count // BLOCK)), -(-count // (most or MEETING)))
+    side = F.struct("requirement_id", "facts", "modality", "negated")
+    placed = rows.select("n", "tokens", "negated", "counted", "rank", side.alias("s"), F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int").alias("own")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = placed.withColumn("x", F.least("own", "other")).withColumn("y", F.greatest("own", "other")).drop("other")
+    together = met.repartition(blocks * (blocks + 1) // 2, "x", "y").sortWithinPartitions("x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judged(x: int, y: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(parts)
+            own = table["own"].to_numpy()
+            yield from _meet(table.filter(pa.array(own == x)), table.filter(pa.array(own == y)) if x != y else None, minimum_overlap, conflicting)
+
+        key, parts = None, []
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy() for c in ("x", "y"))
+            cuts = [0, *(np.flatnonzero((np.diff(x) != 0) | (np.diff(y) != 0)) + 1).tolist(), len(x)]
+            for begin, end in zip(cuts, cuts[1:]):
+                if begin == end:
+                    continue
+                if (now := (int(x[begin]), int(y[begin]))) != key:
+                    if parts:
+                        yield from judged(*key, parts)
+                    key, parts = now, []
+                parts.append(batch.slice(begin, end - begin))
+        if parts:
+            yield from judged(*key, parts)
+
+    kind = rows.select(side.alias("s")).schema["s"].dataType.simpleString()
+    return together.mapInArrow(run, f"l {kind}, r {kind}, overlap double")
+
+
 def may_conflict(a: str, b: str) -> Column:
     """Whether any kind of conflict is possible, by prefixes of the columns of ``numbered``."""
     ranks = (F.col(f"{a}rank") > 0) & (F.col(f"{b}rank") > 0) & (F.abs(F.col(f"{a}rank") - F.col(f"{b}rank")) >= 2)
@@ -130,22 +230,30 @@ def overlap_of(a: str, b: str) -> Column:
 
 
 def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> DataFrame:
-    """All conflicting pairs, the strongest first: ``left_id``, ``right_id``, ``kind``, ``score``, ``explanation``, ``evidence``.
+    """All conflicting pairs (``conflicting_pairs``), the strongest first; equal scores are ordered by ids, then explanation."""
+    return conflicting_pairs(requirements, minimum_overlap).orderBy(F.col("score").desc(), "left_id", "right_id", "explanation")
+
+
+def conflicting_pairs(requirements: DataFrame, minimum_overlap: float = 0.18) -> DataFrame:
+    """All conflicting pairs in any order: ``left_id``, ``right_id``, ``kind``, ``score``, ``explanation``, ``evidence``.
 
     ``left`` precedes ``right`` by id, then text. Negation decides before
     numbers, numbers before modality; the first pair of different values with
     the same unit counts, in the order of the left text. Repeated rows are one
     requirement. ``minimum_overlap`` 0 asks for all pairs, which are then compared
-    block by block; that work is quadratic. Equal scores are ordered by ids, then
-    explanation.
+    block by block; that work is quadratic.
     """
     if not 0 <= minimum_overlap <= 1 or math.isnan(minimum_overlap):
         raise ValueError("minimum_overlap must lie between 0 and 1")
-    rows = numbered(requirements)
-    pairs = overlapping_pairs(rows, minimum_overlap, may_conflict) if minimum_overlap > 0 else all_pairs(rows, may_conflict)
-    scored = with_sides(pairs, rows).withColumn("overlap", overlap_of("l_tokens", "r_tokens")).where(F.col("overlap") >= minimum_overlap)
+    # a fact is written out once per requirement, as it may stand in very many pairs
+    rows = numbered(requirements).withColumn("facts", F.transform("facts", lambda x: F.struct(x["value"].alias("value"), x["unit"].alias("unit"), F.concat(general_format(x["value"]), F.lit(" "), x["unit"]).alias("shown"))))
+    if minimum_overlap > 0:
+        names = ["requirement_id", "facts", "modality", "negated"]
+        scored = met_pairs(rows, minimum_overlap, True).select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in names], "overlap")
+    else:
+        scored = with_sides(all_pairs(rows, may_conflict), rows).withColumn("overlap", overlap_of("l_tokens", "r_tokens"))
     differing = F.filter(
-        F.flatten(F.transform("l_facts", lambda x: F.transform("r_facts", lambda y: F.struct(x["value"].alias("a"), x["unit"].alias("u"), y["value"].alias("b"), y["unit"].alias("v"))))),
+        F.flatten(F.transform("l_facts", lambda x: F.transform("r_facts", lambda y: F.struct(x["value"].alias("a"), x["unit"].alias("u"), x["shown"].alias("c"), y["value"].alias("b"), y["unit"].alias("v"), y["shown"].alias("d"))))),
         lambda p: (p["u"] == p["v"]) & (p["a"] != p["b"]),
     )
     judged = scored.withColumn("numbers", F.get(differing, F.lit(0)))
@@ -161,14 +269,12 @@ def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> Da
         F.when(negation, F.lit("Requirements have overlapping subject matter but opposite negation polarity."))
         .when(
             numeric,
-            F.concat(
-                F.lit("Requirements specify different values for the same unit: "), general_format(F.col("numbers.a")), F.lit(" "), F.col("numbers.u"), F.lit(" vs "), general_format(F.col("numbers.b")), F.lit(" "), F.col("numbers.v"), F.lit(".")
-            ),
+            F.concat(F.lit("Requirements specify different values for the same unit: "), F.col("numbers.c"), F.lit(" vs "), F.col("numbers.d"), F.lit(".")),
         )
         .otherwise(F.concat(F.lit("Normative strength differs materially: "), quoted("l_modality.word"), F.lit(" versus "), quoted("r_modality.word"), F.lit(".")))
     )
     found = judged.withColumn("kind", kind).where("kind is not null")
-    out = found.select(
+    return found.select(
         F.col("l_requirement_id").alias("left_id"),
         F.col("r_requirement_id").alias("right_id"),
         "kind",
@@ -176,4 +282,3 @@ def find_conflicts(requirements: DataFrame, minimum_overlap: float = 0.18) -> Da
         explanation.alias("explanation"),
         F.array("l_requirement_id", "r_requirement_id").alias("evidence"),
     )
-    return out.orderBy(F.col("score").desc(), "left_id", "right_id", "explanation")
